@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.session import cut
+
 SHARDS_PER_RACK = 5
 RACKS_PER_REGION = 2
 #: Rows that one group of the slot numbering holds, about.
@@ -90,6 +92,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         draws(F.col("doc_id"), shards + 1).alias("_draws"),
     )
     df = descend(df, F.slice("_draws", 1, shards), shards, "")
-    df = descend(df, F.col("_draws"), shards + 1, "grown_").drop("_draws")
+    # The numbering reads the rows twice; a checkpoint of these few columns keeps the draws from being made again.
+    df = cut(descend(df, F.col("_draws"), shards + 1, "grown_").drop("_draws", "grown_region", "grown_rack"))
     df = numbered(df, "shard", ["doc_id", "text_crc32", "size"], rows, shards, "slot")
     return df.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "region", "rack")
