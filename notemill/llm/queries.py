@@ -27,7 +27,21 @@ def op7_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_sharding, op7_minimum_bin_slack_packing)}
+def op4_bit_sliced_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.simhash_dedup import dedup_documents
+
+    return dedup_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_hash_tree_sharding, op4_bit_sliced_simhash_dedup, op7_minimum_bin_slack_packing, op10_subword_quality)
+}
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
