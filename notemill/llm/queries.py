@@ -27,6 +27,18 @@ def op7_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op2_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_bit_sliced_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.simhash_dedup import dedup_documents
 
@@ -40,7 +52,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree_sharding, op4_bit_sliced_simhash_dedup, op7_minimum_bin_slack_packing, op10_subword_quality)
+    f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_language_id, op3_line_block_extraction, op4_bit_sliced_simhash_dedup, op7_minimum_bin_slack_packing, op10_subword_quality)
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
