@@ -45,6 +45,12 @@ def op4_bit_sliced_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.quality import score_documents
 
@@ -52,7 +58,16 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_language_id, op3_line_block_extraction, op4_bit_sliced_simhash_dedup, op7_minimum_bin_slack_packing, op10_subword_quality)
+    f.__name__: f
+    for f in (
+        op1_hash_tree_sharding,
+        op2_ftrl_language_id,
+        op3_line_block_extraction,
+        op4_bit_sliced_simhash_dedup,
+        op7_minimum_bin_slack_packing,
+        op8_simhash_fingerprints,
+        op10_subword_quality,
+    )
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
