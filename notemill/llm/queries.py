@@ -51,6 +51,12 @@ def op8_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.secrets import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.quality import score_documents
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_bit_sliced_simhash_dedup,
         op7_minimum_bin_slack_packing,
         op8_simhash_fingerprints,
+        op9_forest_secret_scan,
         op10_subword_quality,
     )
 }
