@@ -21,6 +21,12 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.packing import pack_documents
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_ftrl_language_id,
         op3_line_block_extraction,
         op4_bit_sliced_simhash_dedup,
+        op5_collision_counting_neighbours,
         op7_minimum_bin_slack_packing,
         op8_simhash_fingerprints,
         op9_forest_secret_scan,
