@@ -27,6 +27,12 @@ def op5_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataF
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op7_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.packing import pack_documents
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_block_extraction,
         op4_bit_sliced_simhash_dedup,
         op5_collision_counting_neighbours,
+        op6_sampled_pieces,
         op7_minimum_bin_slack_packing,
         op8_simhash_fingerprints,
         op9_forest_secret_scan,
