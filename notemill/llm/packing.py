@@ -23,30 +23,54 @@ often as they occur; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
 END_ID = 2
-#: Runs remembered, and bytes of text looked up at once, for each task.
-RUNS_KEPT = 400_000
+#: Runs remembered in each of a worker's two tables.
+RUNS_KEPT = 500_000
 #: Rests that wait in a task's pool before they are packed.
 POOL = 4096
 SEQUENCE_BITS = 36
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class RunTable(dict):
-    """Ids of a run of non-space characters, as bytes."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a printable byte as itself and the others, in order, from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    table, more = {}, 256
+    for byte in range(256):
+        if byte not in plain:
+            table[byte] = chr(more)
+            more += 1
+    return table
 
-    #: What the tokenizer's white-space class holds.
-    SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+
+class Runs(dict):
+    """Ids, as bytes, of a run of non-space characters of lower-cased text.
+
+    Runs of plain characters (below U+0250, where composing changes nothing and lower case
+    goes character by character) are cut by the tokenizer's own pattern and handed to its
+    model; all others, and what may hold a special token, go through the whole tokenizer.
+    When the table is full it becomes the old one, and what is still in use comes back from there.
+    """
+
+    # The tokenizer's pre-tokenisation pattern and its class of white space.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    SPACE = re.compile("[" + "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
+    FAR = re.compile(f"[{chr(0x130)}{chr(0x250)}-{chr(0x10FFFF)}]")
+    #: str.split also cuts at these, which the tokenizer keeps.
+    SEPARATORS = re.compile(f"[{chr(0x1C)}-{chr(0x1F)}]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,22 +79,35 @@ class RunTable(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        value = b"".join(i.to_bytes(4, "little") for i in ids)
+        value = self.old.get(run)
+        if value is None:
+            if "<|" in run or self.FAR.search(run):
+                ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+            else:
+                ids = [t.id for p in self.PIECES.findall(run.lower()) for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
+            value = struct.pack(f"<{len(ids)}I", *ids)
         self[run] = value
         return value
 
     def ids(self, text: str) -> bytes:
         if len(self) > RUNS_KEPT:
+            self.old = dict(self)
             self.clear()
-        runs = text.split() if text.isascii() and not _ODD.search(text) else self.SPACE.split(text)
+        if "<|" not in text and not self.FAR.search(text):
+            text = text.lower()
+        runs = self.SPACE.split(text) if self.SEPARATORS.search(text) else text.split()
         return b"".join(map(self.__getitem__, runs))
 
 
-#: str.split also cuts at these, which the tokenizer keeps.
-_ODD = re.compile("[\x1c-\x1f]")
+@lru_cache(maxsize=2)
+def runs_of(path: str) -> Runs:
+    """A worker's table, kept from task to task."""
+    return Runs(path)
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -187,7 +224,7 @@ def _pack_partition(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
         packer = Packer(capacity, TaskContext.get().partitionId() << SEQUENCE_BITS)
-        table, end = RunTable(path), END_ID.to_bytes(4, "little")
+        table, end = runs_of(path), END_ID.to_bytes(4, "little")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, table.ids(text.as_py() or "") + end)
