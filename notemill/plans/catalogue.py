@@ -1,10 +1,417 @@
-"""The catalogue of named queries and of the SQL they are checked against."""
+"""The catalogue of named queries and of the SQL they are checked against.
+
+Doubles are rounded to six places on both sides of the comparison and arrays are joined to
+strings; the operators themselves return them unrounded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notemill.operators import analysis, graph, keywords, links, mentions, similarity, stats, tags, validation, vectors, zones
+from notemill.plans import oracle as o
+from notemill.sources import adapters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL where there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def joined(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.array_join(n, "; ") for n in names})
+
+
+# Lines and links
+
+
+@query(f"WITH {o.NOTES} SELECT path, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_number, unnest(string_split(content, chr(10))) AS line FROM notes")
+def q_lines(spark, d):
+    return links.lines(adapters.document_notes(spark, d))
+
+
+@query(f"WITH {o.LINKS} SELECT path, line_number::INT AS line_number, target, CASE WHEN alias <> '' THEN alias END AS alias FROM wiki")
+def q_wikilinks(spark, d):
+    return links.wikilinks(adapters.vault(spark, d)).select("path", "line_number", "target", "alias")
+
+
+@query(f"WITH {o.LINKS} SELECT path, line_number::INT AS line_number, text, url FROM regular")
+def q_regular_links(spark, d):
+    return links.regular_links(adapters.vault(spark, d))
+
+
+@query(f"WITH {o.LINKS} SELECT path, line_number::INT AS line_number, d.id AS id, d.alias AS alias, d.target AS target, d.title AS title FROM definition")
+def q_definitions(spark, d):
+    return links.definitions(adapters.vault(spark, d))
+
+
+@query(f"WITH {o.LINKS} SELECT source_file, link_text, link_type, line_number::INT AS line_number, target FROM dead")
+def q_dead_links(spark, d):
+    return links.dead_links(adapters.vault(spark, d))
+
+
+@query(
+    f"""WITH {o.LINKS}, ids AS (SELECT substring(file_id, 1, 4) AS prefix, list_sort(list(DISTINCT file_id))[1:4] AS ids FROM vault GROUP BY 1)
+SELECT source_file, link_text, link_type, line_number::INT AS line_number, target, CASE WHEN link_type = 'wikilink' AND length(target) >= 4 AND ids IS NOT NULL
+  THEN array_to_string(list_transform(list_filter(ids, lambda x: x <> target)[1:3], lambda x: concat('Did you mean ''', x, '''?')), '; ') ELSE '' END AS suggested_fixes
+FROM dead LEFT JOIN ids ON link_type = 'wikilink' AND prefix = substring(target, 1, 4)"""
+)
+def q_dead_suggestions(spark, d):
+    notes = adapters.vault(spark, d)
+    known = notes.select("file_id")
+    return joined(links.suggestions(links.dead_links(notes, known), known), "suggested_fixes")
+
+
+@query(f"WITH {o.LINKS} SELECT link_type, count(*) AS dead, count(DISTINCT source_file) AS files FROM dead GROUP BY ROLLUP (link_type)")
+def q_dead_by_type(spark, d):
+    return stats.dead_link_totals(links.dead_links(adapters.vault(spark, d)))
+
+
+@query(f"WITH {o.LINKS} SELECT source_file, link_text, link_type, line_number::INT AS line_number, target FROM dead WHERE link_type = 'wikilink' ORDER BY target, source_file, line_number, link_text LIMIT 50")
+def q_dead_sorted_limit(spark, d):
+    return links.selected(links.dead_links(adapters.vault(spark, d)), ["wikilink"], sort_by="target", limit=50)
+
+
+@query(
+    f"""WITH {o.LINKS}, w AS (SELECT path, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> ''))::INT AS words FROM vault),
+k AS (SELECT path, count(*) FILTER (kind = 'wikilink') AS wiki_links, count(*) FILTER (kind = 'regular_link') AS regular_links, count(*) FILTER (kind = 'link_reference_definition') AS definitions,
+  count(DISTINCT target) AS unique_targets, count(*) AS total FROM links GROUP BY path)
+SELECT path, words, coalesce(wiki_links, 0) AS wiki_links, coalesce(regular_links, 0) AS regular_links, coalesce(definitions, 0) AS definitions, coalesce(unique_targets, 0) AS unique_targets,
+  coalesce(total, 0) AS total_links, round(CASE WHEN words > 0 THEN coalesce(total, 0) / words::DOUBLE * 100 ELSE 0 END, 6) AS density FROM w LEFT JOIN k USING (path)"""
+)
+def q_link_density(spark, d):
+    return rounded(links.density(adapters.vault(spark, d)), "density")
+
+
+# Zones: the oracle recomputes fences with a window over lines.
+
+
+@query(
+    f"""WITH {o.LINKS}, s AS (SELECT *, starts_with(trim(line), '```') AS fence, sum(starts_with(trim(line), '```')::INT) OVER (PARTITION BY path ORDER BY line_number) AS upto,
+  sum(starts_with(trim(line), '```')::INT) OVER (PARTITION BY path) AS total FROM split),
+t AS (SELECT *, (upto % 2 = 1) OR fence AS inside, CASE WHEN upto % 2 = 1 THEN total > upto ELSE true END AS closed FROM s),
+z AS (SELECT 'code_block' AS zone_type, 1 AS n FROM t WHERE inside AND closed
+ UNION ALL SELECT 'heading', 1 FROM t WHERE NOT inside AND starts_with(trim(line), '# ')
+ UNION ALL SELECT 'table', 1 FROM t WHERE NOT inside AND starts_with(trim(line), '|') AND ends_with(trim(line), '|')
+ UNION ALL SELECT 'link_ref_def', len(regexp_extract_all(line, '\\[[^\\]]+\\|[^\\]]+\\]:\\s*\\S+')) FROM t WHERE NOT inside
+ UNION ALL SELECT 'url', len(regexp_extract_all(line, 'https?://[^\\s\\)]+')) FROM t WHERE NOT inside
+ UNION ALL SELECT 'inline_code', len(regexp_extract_all(line, '`[^`]+`')) FROM t WHERE NOT inside
+ UNION ALL SELECT 'wikilink', len(regexp_extract_all(line, '\\[\\[[^\\]]+\\]\\]')) FROM t WHERE NOT inside
+ UNION ALL SELECT 'template_variable', len(regexp_extract_all(line, '\\$\\{{[^}}]*\\}}')) FROM t WHERE NOT inside
+ UNION ALL SELECT 'template_templater', len(regexp_extract_all(line, '<%[^%]*%>')) FROM t WHERE NOT inside)
+SELECT zone_type, sum(n)::BIGINT AS zones FROM z GROUP BY 1 HAVING sum(n) > 0"""
+)
+def q_zones_by_type(spark, d):
+    kinds = ["code_block", "heading", "table", "link_ref_def", "url", "inline_code", "wikilink", "template_variable", "template_templater"]
+    found = zones.zones(adapters.vault(spark, d), tables=True)
+    return found.where(F.col("zone_type").isin(kinds)).groupBy("zone_type").agg(F.count("*").alias("zones"))
+
+
+# Statistics
+
+
+@query(f"WITH {o.VAULT} SELECT CASE WHEN grouping(ext) = 0 THEN ext END AS extension, count(*) AS total_files, count(*) AS with_frontmatter, count(*) AS with_id FROM (SELECT '.md' AS ext FROM vault) GROUP BY ROLLUP (ext)")
+def q_file_stats(spark, d):
+    return stats.file_statistics(adapters.vault(spark, d))
+
+
+@query(f"WITH {o.VAULT}, k AS (SELECT unnest(['title', 'tags', 'id']) AS field FROM order_notes UNION ALL SELECT unnest(['title', 'aliases', 'tags', 'id']) FROM part_notes) SELECT field, count(*) AS files FROM k GROUP BY 1")
+def q_field_distribution(spark, d):
+    return stats.field_distribution(adapters.vault(spark, d))
+
+
+@query(f"WITH {o.LINKS} SELECT kind, count(*) AS total, count(DISTINCT path) AS files, round(count(*) / (SELECT count(*) FROM vault)::DOUBLE, 6) AS average FROM links GROUP BY ROLLUP (kind)")
+def q_link_stats(spark, d):
+    notes = adapters.vault(spark, d)
+    return rounded(stats.link_statistics(links.all_links(notes), notes), "average")
+
+
+@query("SELECT sum(length(text))::BIGINT AS total_length, round(avg(length(text)), 6) AS average_length, max(length(text))::INT AS max_length, min(length(text))::INT AS min_length FROM documents")
+def q_content_stats(spark, d):
+    return rounded(stats.content_statistics(adapters.document_notes(spark, d)), "average_length")
+
+
+# Graph
+
+
+@query(f"WITH {o.LINKS} SELECT src, target AS dst FROM wiki WHERE target IN (SELECT file_id FROM vault)")
+def q_edges(spark, d):
+    notes = adapters.vault(spark, d)
+    return graph.edges(notes, links.wikilinks(notes))
+
+
+_DEGREES = f"""WITH {o.LINKS}, e AS (SELECT src, target AS dst FROM wiki WHERE target IN (SELECT file_id FROM vault)),
+deg AS (SELECT file_id AS fm_id, coalesce(i.n, 0) AS incoming, coalesce(u.n, 0) AS outgoing FROM vault LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) i ON i.dst = file_id
+  LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY 1) u ON u.src = file_id)"""
+
+
+@query(f"{_DEGREES} SELECT * FROM deg")
+def q_degrees(spark, d):
+    notes = adapters.vault(spark, d)
+    return graph.degrees(notes, graph.edges(notes, links.wikilinks(notes)))
+
+
+@query(
+    f"""{_DEGREES}, s AS (SELECT *, incoming + outgoing AS g, CASE WHEN incoming + outgoing = 0 THEN 1.0 ELSE 1 - least(1.0, (incoming + outgoing) / greatest(2.0, (SELECT count(*) FROM vault) * 0.05::DOUBLE)) END AS iso FROM deg)
+SELECT fm_id, incoming, outgoing, round(iso::DOUBLE, 6) AS isolation FROM s WHERE g = 0 OR (g <= 1 AND iso >= 0.7)"""
+)
+def q_orphans(spark, d):
+    notes = adapters.vault(spark, d)
+    return rounded(graph.orphans(notes, graph.degrees(notes, graph.edges(notes, links.wikilinks(notes)))), "isolation")
+
+
+@query(f"WITH {o.LINKS} SELECT path, file_id FROM vault v WHERE path NOT IN (SELECT path FROM wiki UNION SELECT path FROM regular) AND NOT EXISTS (SELECT 1 FROM wiki w WHERE w.target = v.file_id AND w.path <> v.path)")
+def q_orphans_strict(spark, d):
+    notes = adapters.vault(spark, d)
+    return graph.unlinked(notes, links.wikilinks(notes), links.regular_links(notes))
+
+
+# Tags
+
+_TAGS = f"WITH {o.VAULT}, t AS (SELECT path, unnest(list_distinct(tags)) AS tag FROM vault), f AS (SELECT tag, count(*) AS files FROM t GROUP BY 1)"
+_PAIRS = f"{_TAGS}, p AS (SELECT a.tag, b.tag AS other, count(*) AS together FROM t a JOIN t b ON a.path = b.path AND a.tag <> b.tag GROUP BY 1, 2)"
+
+
+@query(f"{_TAGS} SELECT tag, files FROM f")
+def q_tag_freq(spark, d):
+    return tags.frequencies(adapters.vault(spark, d))
+
+
+@query(f"{_PAIRS} SELECT p.tag, other, together, round(together / files::DOUBLE, 6) AS strength FROM p JOIN f ON p.tag = f.tag")
+def q_tag_cooc(spark, d):
+    return rounded(tags.cooccurrence(adapters.vault(spark, d)), "strength")
+
+
+@query(f"{_PAIRS} SELECT p.tag, other, round(together / files::DOUBLE, 6) AS strength FROM p JOIN f ON p.tag = f.tag WHERE together / files::DOUBLE >= 0.3")
+def q_tag_related(spark, d):
+    return rounded(tags.related(tags.cooccurrence(adapters.vault(spark, d))), "strength")
+
+
+@query(f"{_TAGS} SELECT tag FROM f WHERE files = 1")
+def q_tag_orphans(spark, d):
+    return tags.rare(adapters.vault(spark, d))
+
+
+@query(o.tag_suggestions())
+def q_tag_suggest(spark, d):
+    return rounded(tags.suggestions(adapters.document_notes(spark, d)), "confidence")
+
+
+# Keywords: texts here have no code, links or Japanese, so one token pattern tells all.
+
+
+@query()
+def q_keywords(spark, d):
+    return keywords.note_keywords(adapters.document_notes(spark, d))
+
+
+@query()
+def q_keyword_stats(spark, d):
+    return keywords.statistics(adapters.document_notes(spark, d))
+
+
+# Similarity
+
+
+@query(
+    f"""WITH {o.NOTES}, s AS (SELECT list_sort({o.word_set("title")}) AS w, min(path) AS id FROM notes GROUP BY 1), e AS (SELECT id, len(w) AS n, unnest(w) AS x FROM s),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, a.n AS na, b.n AS nb FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS similarity FROM p WHERE c / (na + nb - c)::DOUBLE >= 0.7"""
+)
+def q_title_jaccard(spark, d):
+    return rounded(similarity.similar_titles(adapters.document_notes(spark, d)), "similarity")
+
+
+@query()
+def q_duplicates(spark, d):
+    pairs = similarity.duplicates(adapters.document_notes(spark, d))
+    return rounded(similarity.merge_strategy(pairs), "title_similarity", "content_similarity", "filename_similarity", "similarity", "confidence")
+
+
+@query(f"WITH {o.NOTES}, c AS (SELECT title, content, min(path) AS representative FROM notes GROUP BY 1, 2) SELECT path, representative FROM notes JOIN c USING (title, content)")
+def q_copy_classes(spark, d):
+    return similarity.classes(adapters.document_notes(spark, d), "title", "content").select("path", "representative")
+
+
+# Mentions and rewriting
+
+
+def _mentions(spark, d):
+    notes = adapters.vault(spark, d)
+    return notes, zones.outside(mentions.candidates(notes, mentions.targets(adapters.part_notes(spark, d))), zones.zones(notes, tables=True))
+
+
+@query()
+def q_mentions(spark, d):
+    return _mentions(spark, d)[1]
+
+
+@query()
+def q_conflicts(spark, d):
+    return mentions.resolved(_mentions(spark, d)[1])
+
+
+@query()
+def q_rewritten(spark, d):
+    notes, found = _mentions(spark, d)
+    return mentions.rewritten(notes, mentions.capped(mentions.resolved(found), 50))
+
+
+@query()
+def q_alias_updates(spark, d):
+    _, found = _mentions(spark, d)
+    return joined(mentions.alias_updates(mentions.resolved(found), adapters.part_notes(spark, d)), "new_aliases")
+
+
+# Analysis
+
+_LOW = f"WITH {o.NOTES}, l AS (SELECT *, lower(content) AS low FROM notes)"
+
+
+@query(f"{_LOW} SELECT path, array_to_string({o.categories('low')}, '; ') AS categories FROM l")
+def q_category(spark, d):
+    notes = adapters.document_notes(spark, d)
+    return joined(notes.select("path", analysis.category(F.col("content")).alias("categories")), "categories")
+
+
+@query(f"{_LOW} SELECT path, array_to_string({o.content_tag_list('low')}, '; ') AS tags FROM l")
+def q_content_tags(spark, d):
+    notes = adapters.document_notes(spark, d)
+    return joined(notes.select("path", analysis.content_tags(F.col("content"))["tags"].alias("tags")), "tags")
+
+
+_CHECKS = f"""{_LOW}, c AS (SELECT path, len(list_filter({o.content_tag_list("low")}, lambda t: NOT list_contains(tags, t))) > 0 AS t, len({o.categories("low")}) > 0 AS g,
+  len(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#'))) > 0 AS a,
+  trim(title) <> '' AS has_title,
+  coalesce(len(list_intersect({o.word_set("stem")}, {o.word_set("title")})) / nullif(len(list_distinct(list_concat({o.word_set("stem")}, {o.word_set("title")}))), 0)::DOUBLE, 0) < 0.5 AND trim(title) <> '' AS m,
+  length(trim(content, E' \\n\\t\\r')) < 100 AS s, regexp_matches(content, '(?i)TODO|FIXME|placeholder|coming soon|to be written|未完成|作成中') AS u FROM l)"""
+
+
+@query(
+    f"""{_CHECKS} SELECT path, (4 + (NOT has_title)::INT + t::INT + a::INT + g::INT + m::INT + s::INT + u::INT)::INT AS improvements_found,
+  round(greatest(0, least(1, 1 - 0.25 * (4 + (NOT has_title)::INT) - 0.15 * t::INT - 0.15 * a::INT - 0.1 * g::INT - 0.1 * m::INT - 0.3 * s::INT - 0.25 * u::INT))::DOUBLE, 6) AS quality_score FROM c"""
+)
+def q_quality(spark, d):
+    return rounded(analysis.quality(analysis.improvements(adapters.document_notes(spark, d))), "quality_score")
+
+
+@query()
+def q_improvements(spark, d):
+    return analysis.improvement_counts(analysis.improvements(adapters.document_notes(spark, d)))
+
+
+@query()
+def q_improvement_areas(spark, d):
+    return analysis.categorised(analysis.improvements(adapters.document_notes(spark, d)))
+
+
+@query()
+def q_description(spark, d):
+    return analysis.descriptions(adapters.document_notes(spark, d)).select("path", "description")
+
+
+@query()
+def q_metadata(spark, d):
+    return analysis.metadata(adapters.document_notes(spark, d))
+
+
+@query("SELECT count(*) AS notes, 0::BIGINT AS without_title, 0::BIGINT AS without_id, 0::BIGINT AS without_tags, 0::BIGINT AS few_tags, 0::BIGINT AS high, 0::BIGINT AS medium, count(*) AS low FROM documents")
+def q_opportunities(spark, d):
+    return analysis.opportunities(adapters.document_notes(spark, d).withColumn("title", F.lit("x")))
+
+
+# Validation: a fixed schema on documents, with fields that some rows lack or break.
+
+
+def _fields(spark, d):
+    t = adapters.table(spark, d, "documents")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    pairs = F.array(
+        F.when(F.col("doc_id") % 5 != 0, F.struct(F.lit("title").alias("k"), quoted(F.col("source")).alias("v"))),
+        F.struct(F.lit("id").alias("k"), quoted(F.when(F.col("doc_id") % 3 == 0, F.lpad(F.col("doc_id").cast("string"), 14, "0")).otherwise(F.col("doc_id").cast("string"))).alias("v")),
+        F.when(F.col("doc_id") % 4 == 0, F.struct(F.lit("date").alias("k"), F.lit('"2024/1/5"').alias("v"))),
+        F.struct(F.lit("tags").alias("k"), F.when(F.col("doc_id") % 7 == 0, F.lit('"one"')).otherwise(F.lit('["one"]')).alias("v")),
+    )
+    return t.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), F.map_from_entries(F.array_compact(pairs)).alias("fields"))
+
+
+_VALID = """WITH v AS (SELECT concat('doc_', doc_id) AS path, CASE WHEN doc_id % 5 = 0 THEN 'title' ELSE '' END AS missing_fields,
+  array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'tags: expected array, got string' END, CASE WHEN doc_id % 3 <> 0 THEN 'id: does not match ^\\d{14}$' END,
+    CASE WHEN doc_id % 4 = 0 THEN 'date: does not match ^\\d{4}-\\d{2}-\\d{2}$' END], lambda x: x IS NOT NULL), '; ') AS invalid_fields FROM documents)"""
+
+
+@query(f"{_VALID} SELECT path, missing_fields = '' AND invalid_fields = '' AS is_valid, missing_fields, invalid_fields FROM v")
+def q_validation(spark, d):
+    return joined(validation.validate(_fields(spark, d)), "missing_fields", "invalid_fields").select("path", "is_valid", "missing_fields", "invalid_fields")
+
+
+@query(
+    f"""{_VALID}, w AS (SELECT *, (missing_fields = '' AND invalid_fields = '') AS ok, (missing_fields <> '')::INT AS m, CASE WHEN invalid_fields = '' THEN 0 ELSE len(string_split(invalid_fields, '; ')) END AS i FROM v)
+SELECT count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid, sum(m)::BIGINT AS missing_issues, sum(i)::BIGINT AS invalid_issues, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS valid_rate FROM w"""
+)
+def q_validation_summary(spark, d):
+    return rounded(validation.summary(validation.validate(_fields(spark, d))), "valid_rate")
+
+
+@query()
+def q_validation_fixes(spark, d):
+    rows = _fields(spark, d)
+    return validation.fixes(rows, validation.validate(rows), "20240101000000")
+
+
+# Vectors
+
+_UNIT = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), q AS (SELECT v FROM u WHERE vec_id = 0)"
+
+
+def _index(spark, d):
+    e = adapters.vectors(spark, d)
+    return e.withColumn("vector", vectors.unit(F.col("vector")))
+
+
+def _first(index: DataFrame) -> list[float]:
+    return index.where("ordinal = 0").select("vector").first()["vector"]
+
+
+@query(f"{_UNIT} SELECT vec_id::VARCHAR AS document_id, round(list_dot_product(u.v, q.v), 6) AS similarity FROM u, q ORDER BY list_dot_product(u.v, q.v) DESC, vec_id LIMIT 10")
+def q_vector_topk(spark, d):
+    index = _index(spark, d)
+    return rounded(vectors.search(index, _first(index), 10).select("document_id", "similarity"), "similarity")
+
+
+@query(f"{_UNIT}, k AS (SELECT vec_id, list_dot_product(u.v, q.v) AS s FROM u, q ORDER BY 2 DESC, 1 LIMIT 10) SELECT vec_id::VARCHAR AS document_id, round(s, 6) AS similarity FROM k WHERE s >= 0.3")
+def q_vector_threshold(spark, d):
+    index = _index(spark, d)
+    return rounded(vectors.search(index, _first(index), 10, 0.3).select("document_id", "similarity"), "similarity")
+
+
+@query("SELECT count(*) AS total_documents, max(len(embedding))::INT AS dimension, sum(len(embedding) * 4)::BIGINT AS memory_bytes, count(*) AS with_metadata FROM embeddings")
+def q_vector_stats(spark, d):
+    return vectors.statistics(_index(spark, d))
+
+
+@query(
+    f"""{_UNIT}, m AS (SELECT a.vec_id AS s, b.vec_id AS t, list_dot_product(a.v, b.v) AS x FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY x DESC, t::VARCHAR) AS n FROM m WHERE x >= 0.3) SELECT s::VARCHAR AS document_id, t::VARCHAR AS other_id, round(x, 6) AS similarity FROM r WHERE n <= 5"""
+)
+def q_semantic_links(spark, d):
+    index = _index(spark, d)
+    return rounded(vectors.semantic_links(index, index.where("ordinal % 100 = 0"), 5, 0.3), "similarity")
