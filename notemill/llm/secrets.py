@@ -48,7 +48,7 @@ KEYED = rf"(?i:{NAMING})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?[^\s\"',;<>]{{8,
 BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----"
 CANDIDATE = f"{BLOCK}|{KEYED}|{RUN}"
 
-FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "bigrams", "distinct", "hex_only", "digits_only", "covered", "slashes", "path_before", "dashes", "named", "harmless", "block")
+FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "bigrams", "distinct", "hex_only", "digits_only", "covered", "slashes", "path_before", "dashes", "named", "harmless", "harmless_after", "block")
 
 
 def features(before: Column, value: Column, after: Column) -> list[Column]:
@@ -72,7 +72,8 @@ def features(before: Column, value: Column, after: Column) -> list[Column]:
         flag(before.rlike(r"[/\\.#?&-]$|://\S*$")),
         count(value, "[_-]") / n,
         flag(before.rlike(rf"(?i)(?:{NAMING})\S{{0,8}}\s{{0,3}}\S{{0,3}}\s{{0,3}}[\"']?$")),
-        flag(F.concat(before, F.lit(" "), after).rlike(rf"(?i)\b(?:{HARMLESS})")),
+        flag(before.rlike(rf"(?i)\b(?:{HARMLESS})")),
+        flag(after.rlike(rf"(?i)^\W{{0,4}}(?:{HARMLESS})")),
         flag(value.startswith("-----BEGIN")),
     ]
 
