@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.operators import analysis, graph, keywords, links, mentions, similarity, stats, tags, validation, vectors, zones
+from notemill.operators import analysis, enhancement, graph, keywords, links, mentions, report, services, similarity, stats, tags, validation, vectors, zones
 from notemill.plans import oracle as o
 from notemill.sources import adapters
+from notemill.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,3 +416,49 @@ r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY x DESC, t::VARCHAR) A
 def q_semantic_links(spark, d):
     index = _index(spark, d)
     return rounded(vectors.semantic_links(index, index.where("ordinal % 100 = 0"), 5, 0.3), "similarity")
+
+
+# Enhancement, services, report, events
+
+
+@query()
+def q_enhanced(spark, d):
+    notes = adapters.document_notes(spark, d)
+    return joined(enhancement.enhanced(notes, tags.frequencies(notes)), "tags", "category", "changes")
+
+
+@query(f"WITH {o.NOTES} SELECT 'metadata' AS change, count(*) AS notes FROM notes")
+def q_enhancement_summary(spark, d):
+    return enhancement.summary(enhancement.enhanced(adapters.document_notes(spark, d))).where("change = 'metadata'")
+
+
+@query()
+def q_embedded(spark, d):
+    return services.embedded(adapters.document_notes(spark, d)).select("document_id", F.size("vector").alias("dimension"), F.round(vectors.norm(F.col("vector")), 4).alias("length"))
+
+
+@query()
+def q_summaries(spark, d):
+    return services.summarised(adapters.document_notes(spark, d))
+
+
+@query(
+    f"""WITH {o.LINKS}, c AS (SELECT 'orphans' AS task, count(*) AS issues FROM vault v WHERE path NOT IN (SELECT path FROM wiki UNION SELECT path FROM regular) AND NOT EXISTS (SELECT 1 FROM wiki w WHERE w.target = v.file_id AND w.path <> v.path)
+  UNION ALL SELECT 'dead-links', count(*) FROM dead) SELECT count(*) AS tasks, sum(issues)::BIGINT AS issues, round(greatest(0, (1 - least(sum(issues) * 0.01::DOUBLE, 0.5)) * 100)::DOUBLE, 6) AS health_score FROM c"""
+)
+def q_health(spark, d):
+    return rounded(report.health(report.task_counts(adapters.vault(spark, d), ["orphans", "dead-links"])), "health_score")
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def q_event_windows(spark, d):
+    return rounded(index.event_windows(adapters.table(spark, d, "events")), "total")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS "end", count(*) AS events FROM s GROUP BY user_id, n"""
+)
+def q_event_sessions(spark, d):
+    return index.sessions(adapters.table(spark, d, "events"))
