@@ -122,18 +122,19 @@ def neighbours(ids: DataFrame, rows: int) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row per document: fingerprints of its text and of its edited text, and their likenesses."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Plain columns up to the shuffle: both readers of the texts then share one exchange.
+    docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text")
     known = docs.where("doc_id IS NOT NULL")
-    ring = cut(neighbours(known.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("n")), docs.count()))
+    ring = cut(neighbours(known.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n")), docs.count()))
     own = known.join(ring.select("doc_id", "next_id", "prev_id", "prev_n"), "doc_id")
-    heads = own.select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"))
+    heads = own.select(F.col("prev_id").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"))
     heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
     paired = own.select("doc_id", "text", "next_id").join(heads, "doc_id")
     alone = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit("").alias("head"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("head", F.lit(1), third))
-    made = paired.unionByName(alone).select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    made = paired.unionByName(alone).withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     made = made.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), simhash(F.col("text")).alias("fp"), simhash(F.col("edited")).alias("edited_fp"))
     made = cut(made)
     following = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
