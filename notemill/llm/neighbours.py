@@ -8,11 +8,12 @@ by the same ratio (virtual rehashing) and only what a window newly covers is cou
 vector that has been covered in at least COLLIDES of the directions is a candidate. When
 VERIFIED of the block, and k vectors, are candidates, their inner products with the query
 are computed exactly from the original vectors and the k best leave the block; the blocks'
-results are merged.
+results are merged. A window is two places in each sorted array; as every vector's place
+is kept, whether it is covered is one comparison of small integers.
 
 Every vector is indexed; queries go to every block in chunks, so a task holds one block
 and one chunk whatever the sizes. On random unit vectors without clusters, the hardest
-case, recall of 20 is about 0.95 (tests/llm measure it).
+case, recall of 20 is about 0.94 (tests/llm measure it).
 
 Defined cases: vectors that are null, zero, empty, or hold a null or non-finite component,
 and rows without an id, neither ask nor are found; vectors of different lengths never
@@ -31,16 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS = 128
-COLLIDES = 0.7
-VERIFIED = 0.2
-FIRST_WINDOW = 0.9
-GROWTH = 1.2
+COLLIDES = 0.65
+VERIFIED = 0.1
+#: Verified in a small block, where the k nearest are a larger share.
+AT_LEAST = 640
+FIRST_WINDOW = 1.15
+GROWTH = 1.06
 BLOCK = 8192
 CHUNK = 512
 
 
 class Index:
-    """One block's sorted projections."""
+    """One block's sorted projections, and each vector's place in them."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 17):
         self.vectors = vectors
@@ -48,34 +51,35 @@ class Index:
         self.length = float(np.sqrt(norms.max()))
         lifted = np.column_stack((vectors, np.sqrt(np.maximum(norms.max() - norms, 0.0))))
         self.directions = np.random.default_rng(seed).standard_normal((lifted.shape[1], PROJECTIONS))
-        projected = lifted @ self.directions
-        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.sort(projected, axis=0).T)
+        projected = np.ascontiguousarray((lifted @ self.directions).T)
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.places = np.empty(order.shape, dtype=np.uint16 if len(vectors) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=self.places.dtype)[None, :], axis=1)
+        # The sorted arrays lie one behind the other, each shifted beyond the one before: one search finds all windows.
+        self.shifts = np.arange(PROJECTIONS) * (4.0 * (np.abs(projected).max() + 1.0))
+        self.sorted = (np.take_along_axis(projected, order, axis=1) + self.shifts[:, None]).ravel()
+        self.first = np.arange(PROJECTIONS) * len(vectors)
 
     def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
         """Positions of at least so many vectors, or all, by collision counting."""
         n = len(self.vectors)
         if least >= n:
             return np.arange(n)
-        centre = (query * (self.length / np.sqrt(query @ query))) @ self.directions[:-1]
-        counts = np.zeros(n, dtype=np.int64)
-        low = high = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        half, need = FIRST_WINDOW * self.length, math.ceil(COLLIDES * PROJECTIONS)
+        centre = (query * (self.length / np.sqrt(query @ query))) @ self.directions[:-1] + self.shifts
+        half, need, kind = FIRST_WINDOW * self.length, math.ceil(COLLIDES * PROJECTIONS), self.places.dtype
         while True:
-            a = np.array([np.searchsorted(s, c - half) for s, c in zip(self.sorted, centre, strict=True)])
-            b = np.array([np.searchsorted(s, c + half, side="right") for s, c in zip(self.sorted, centre, strict=True)])
-            a, b = np.minimum(a, low), np.maximum(b, high)
-            fresh = [o[i:j] for o, i, j in zip(self.order, a, low, strict=True)] + [o[i:j] for o, i, j in zip(self.order, high, b, strict=True)]
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            low, high = a, b
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= least or (not low.any() and (high == n).all()):
+            low = np.clip(np.searchsorted(self.sorted, centre - half) - self.first, 0, n)
+            width = np.clip(np.searchsorted(self.sorted, centre + half, side="right") - self.first, 0, n) - low
+            # A place is in the window if it is less than its width beyond the lower end; below it the difference wraps around.
+            covered = self.places - low.astype(kind)[:, None] < width.astype(kind)[:, None]
+            found = np.flatnonzero(covered.sum(axis=0, dtype=np.uint8) >= need)
+            if len(found) >= least or width.min() == n:
                 return found
             half *= GROWTH
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, exact inner products) of the candidates."""
-        at = self.candidates(query, max(4 * k, math.ceil(VERIFIED * len(self.vectors))))
+        at = self.candidates(query, max(AT_LEAST, 4 * k, math.ceil(VERIFIED * len(self.vectors))))
         return at, (self.vectors[at] * query).sum(axis=1)
 
 
