@@ -29,15 +29,20 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("document_id", "r.vector", "r.metadata", "r.ordinal")
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream needs time stamps with a zone for its watermark; a table stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(start, event_type, events, total) in tumbling windows; on a stream, rows later than late are dropped."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, events): bursts of a user's events without a longer gap."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     out = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
