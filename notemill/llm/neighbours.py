@@ -4,12 +4,12 @@ Vectors are dealt into blocks. A block lifts its vectors by one component to a c
 length, which turns the largest inner product into the least distance, and projects them on
 PROJECTIONS random directions; for each direction it keeps the projections sorted. A query
 is projected alike and a window is centred on it in every sorted array. All windows grow
-by the same ratio (virtual rehashing) and only what a window newly covers is counted; a
-vector that has been covered in at least COLLIDES of the directions is a candidate. When
-VERIFIED of the block, and k vectors, are candidates, their inner products with the query
-are computed exactly from the original vectors and the k best leave the block; the blocks'
-results are merged. A window is two places in each sorted array; as every vector's place
-is kept, whether it is covered is one comparison of small integers.
+by the same ratio (virtual rehashing), from a start that a few trial queries set; a vector
+that is covered in at least COLLIDES of the directions is a candidate. When VERIFIED of the
+block are candidates, their inner products with the query are computed exactly from the
+original vectors and the k best leave the block; the blocks' results are merged. A window
+is two places in each sorted array; as every vector's place is kept, whether it is covered
+is one comparison of small integers.
 
 Every vector is indexed; queries go to every block in chunks, so a task holds one block
 and one chunk whatever the sizes. On random unit vectors without clusters, the hardest
@@ -38,6 +38,8 @@ VERIFIED = 0.1
 AT_LEAST = 640
 FIRST_WINDOW = 1.15
 GROWTH = 1.06
+#: Vectors of a block that are tried to find where its windows should start.
+TRIED = 16
 BLOCK = 8192
 CHUNK = 512
 
@@ -59,14 +61,25 @@ class Index:
         self.shifts = np.arange(PROJECTIONS) * (4.0 * (np.abs(projected).max() + 1.0))
         self.sorted = (np.take_along_axis(projected, order, axis=1) + self.shifts[:, None]).ravel()
         self.first = np.arange(PROJECTIONS) * len(vectors)
+        self.half = FIRST_WINDOW * self.length
+        # A few of the block's own vectors show where windows end up; queries start a little below that.
+        tried = [self.window(v, self.least(0))[1] for v in vectors[:: max(1, len(vectors) // TRIED)]]
+        self.half = float(np.quantile(tried, 0.3))
+
+    def least(self, k: int) -> int:
+        return max(AT_LEAST, 4 * k, math.ceil(VERIFIED * len(self.vectors)))
 
     def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
         """Positions of at least so many vectors, or all, by collision counting."""
+        return self.window(query, least)[0]
+
+    def window(self, query: np.ndarray, least: int) -> tuple[np.ndarray, float]:
+        """(candidates, half the width of the windows that gave them)."""
         n = len(self.vectors)
         if least >= n:
-            return np.arange(n)
+            return np.arange(n), self.half
         centre = (query * (self.length / np.sqrt(query @ query))) @ self.directions[:-1] + self.shifts
-        half, need, kind = FIRST_WINDOW * self.length, math.ceil(COLLIDES * PROJECTIONS), self.places.dtype
+        half, need, kind = self.half, math.ceil(COLLIDES * PROJECTIONS), self.places.dtype
         while True:
             low = np.clip(np.searchsorted(self.sorted, centre - half) - self.first, 0, n)
             width = np.clip(np.searchsorted(self.sorted, centre + half, side="right") - self.first, 0, n) - low
@@ -74,12 +87,12 @@ class Index:
             covered = self.places - low.astype(kind)[:, None] < width.astype(kind)[:, None]
             found = np.flatnonzero(covered.sum(axis=0, dtype=np.uint8) >= need)
             if len(found) >= least or width.min() == n:
-                return found
+                return found, half
             half *= GROWTH
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, exact inner products) of the candidates."""
-        at = self.candidates(query, max(AT_LEAST, 4 * k, math.ceil(VERIFIED * len(self.vectors))))
+        at = self.candidates(query, self.least(k))
         return at, (self.vectors[at] * query).sum(axis=1)
 
 
