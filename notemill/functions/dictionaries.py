@@ -21,6 +21,51 @@ JAPANESE_TERMS = """プログラミング アルゴリズム データ構造 オ
 LONG_VOWELS = (("ー", ("", "ウ", "ー")), ("ウ", ("ー", "", "ウ")))
 CONSONANTS = (("ヴ", ("ブ", "バ")), ("ティ", ("テ",)), ("フィ", ("フ",)), ("ウィ", ("ウ",)), ("シェ", ("シエ",)), ("チェ", ("チエ",)))
 
+#: (English, Japanese names)
+PAIRS = (
+    ("API", ("エーピーアイ", "アプリケーションプログラミングインターフェース")),
+    ("DB", ("データベース", "ディービー")),
+    ("UI", ("ユーザーインターフェース", "ユーアイ")),
+    ("URL", ("ユーアールエル", "ユニフォームリソースロケータ")),
+    ("HTTP", ("エイチティーティーピー", "ハイパーテキストトランスファープロトコル")),
+    ("JSON", ("ジェイソン", "ジャバスクリプトオブジェクトノーテーション")),
+    ("XML", ("エックスエムエル", "エクステンシブルマークアップランゲージ")),
+    ("CSS", ("シーエスエス", "カスケーディングスタイルシート")),
+    ("HTML", ("エイチティーエムエル", "ハイパーテキストマークアップランゲージ")),
+    ("SQL", ("エスキューエル", "ストラクチャードクエリーランゲージ")),
+    ("AI", ("エーアイ", "人工知能", "じんこうちのう")),
+    ("ML", ("エムエル", "機械学習", "きかいがくしゅう")),
+    ("DL", ("ディーエル", "深層学習", "しんそうがくしゅう")),
+    ("IoT", ("アイオーティー", "モノのインターネット")),
+    ("VR", ("ブイアール", "仮想現実", "かそうげんじつ")),
+    ("AR", ("エーアール", "拡張現実", "かくちょうげんじつ")),
+    ("OS", ("オーエス", "オペレーティングシステム")),
+    ("CPU", ("シーピーユー", "中央処理装置", "ちゅうおうしょりそうち")),
+    ("GPU", ("ジーピーユー", "グラフィック処理装置")),
+    ("RAM", ("ラム", "メモリ", "主記憶装置")),
+    ("SSD", ("エスエスディー", "ソリッドステートドライブ")),
+    ("HDD", ("エイチディーディー", "ハードディスクドライブ")),
+)
+
+#: (abbreviation, variations)
+ABBREVIATIONS = (
+    ("DB", ("db", "データベース", "database")),
+    ("RDBMS", ("rdbms", "relational database")),
+    ("NoSQL", ("nosql", "non-relational database")),
+    ("OOP", ("oop", "object oriented")),
+    ("MVC", ("mvc", "model view controller")),
+    ("REST", ("rest", "restful")),
+    ("CRUD", ("crud", "create read update delete")),
+    ("TCP", ("tcp", "transmission control")),
+    ("UDP", ("udp", "user datagram")),
+    ("DNS", ("dns", "domain name")),
+    ("HTTPS", ("https", "secure http")),
+    ("SSL", ("ssl", "secure socket")),
+    ("TLS", ("tls", "transport security")),
+    ("JWT", ("jwt", "json token")),
+    ("OAuth", ("oauth", "open auth")),
+)
+
 #: (category, priority, pattern, keywords, weight)
 TAG_PATTERNS = (
     ("programming_languages", 8, "python", ("python", "py", "django", "flask", "pandas", "numpy", "fastapi"), 1.2),

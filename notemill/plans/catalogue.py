@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notemill.operators import analysis, enhancement, graph, keywords, links, mentions, report, services, similarity, stats, tags, validation, vectors, zones
+from notemill.operators import analysis, connections, enhancement, graph, japanese, keywords, links, mentions, report, services, similarity, stats, tags, validation, vectors, zones
 from notemill.plans import oracle as o
 from notemill.sources import adapters
 from notemill.streaming import index
@@ -489,3 +489,53 @@ SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIM
 )
 def q_event_sessions(spark, d):
     return index.sessions(adapters.table(spark, d, "events"))
+
+
+# Japanese and English terms
+
+
+@query(f"{o.term_matches()} SELECT path, term, matched, kind FROM hits")
+def q_term_matches(spark, d):
+    return japanese.matches(adapters.document_notes(spark, d))
+
+
+@query(
+    f"""{o.term_matches()}, t AS (SELECT DISTINCT path, tags, CASE WHEN length(term) <= 3 THEN concat('tech-', lower(term)) ELSE lower(term) END AS tag FROM hits)
+SELECT path, coalesce(string_agg(tag, '; ' ORDER BY tag) FILTER (tag IS NOT NULL AND NOT list_contains(t.tags, tag)), '') AS tags FROM notes LEFT JOIN t USING (path) GROUP BY path"""
+)
+def q_technical_tags(spark, d):
+    return joined(japanese.technical_tags(adapters.document_notes(spark, d)), "tags")
+
+
+@query(f"{o.term_matches()} SELECT count(*) AS notes, count(*) FILTER (regexp_matches(content, '[぀-ヿ一-龯]')) AS japanese, 0::BIGINT AS mixed, (SELECT count(DISTINCT path) FROM hits) AS technical FROM notes")
+def q_japanese_opportunities(spark, d):
+    return japanese.opportunities(adapters.document_notes(spark, d))
+
+
+@query()
+def q_aliases(spark, d):
+    return joined(japanese.aliases(adapters.document_notes(spark, d)), "aliases")
+
+
+# Connections of orphans, by tags: the oracle ranks classes of equal tag sets.
+
+
+@query(
+    f"""{_DEGREES}, orphan AS (SELECT fm_id FROM deg WHERE incoming + outgoing = 0), m AS (SELECT file_id, list_sort(list_distinct(tags)) AS s FROM vault), c AS (SELECT s, list_sort(list(file_id))[1:6] AS ids FROM m GROUP BY s),
+n AS (SELECT a.s, b.ids, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE AS x FROM c a JOIN c b ON len(list_intersect(a.s, b.s)) > 0),
+r AS (SELECT s, x, unnest(ids) AS target_id FROM n WHERE x >= 0.3), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY x DESC, target_id) AS i FROM r QUALIFY i <= 6),
+f AS (SELECT o.fm_id, k.target_id, x AS confidence, row_number() OVER (PARTITION BY o.fm_id ORDER BY x DESC, k.target_id) AS rank FROM orphan o JOIN m ON m.file_id = o.fm_id JOIN k ON k.s = m.s WHERE k.target_id <> o.fm_id)
+SELECT fm_id, target_id, round(confidence, 6) AS confidence, rank::INT AS rank FROM f WHERE rank <= 5"""
+)
+def q_suggest_connections(spark, d):
+    notes = adapters.vault(spark, d)
+    lonely = graph.degrees(notes, graph.edges(notes, links.wikilinks(notes))).where("incoming + outgoing = 0")
+    found = connections.shared_tags(lonely, notes)
+    rank = F.row_number().over(Window.partitionBy("fm_id").orderBy(F.col("confidence").desc(), "target_id"))
+    return rounded(found.withColumn("rank", rank).where("rank <= 5").select("fm_id", "target_id", "confidence", "rank"), "confidence")
+
+
+@query()
+def q_connections_by_keywords(spark, d):
+    notes = adapters.document_notes(spark, d)
+    return rounded(connections.shared_keywords(notes.select("fm_id"), notes), "confidence")

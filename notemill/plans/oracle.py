@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notemill.functions.dictionaries import CATEGORIES, CONTENT_TAGS, TAG_PATTERNS
+from notemill.functions.dictionaries import ABBREVIATIONS, CATEGORIES, CONTENT_TAGS, PAIRS, TAG_PATTERNS
 from notemill.operators.tags import spelled
 from notemill.sources.adapters import LINE_SQL
 
@@ -73,3 +73,11 @@ def categories(x: str) -> str:
 def content_tag_list(x: str) -> str:
     hits = ", ".join("CASE WHEN " + " OR ".join(f"contains({x}, '{k}')" for k in kw) + f" THEN [{', '.join(repr(t) for t in tags)}] ELSE [] END" for _, kw, tags in CONTENT_TAGS)
     return f"list_sort(list_distinct(flatten([{hits}])))"
+
+
+def term_matches() -> str:
+    def first(names) -> str:
+        return "CASE " + " ".join(f"WHEN contains(low, '{n.lower()}') THEN '{n}'" for n in names) + " END"
+
+    each = [f"SELECT path, tags, '{t}' AS term, {first((t, *n))} AS matched, '{k}' AS kind FROM lowered" for k, table in (("pair", PAIRS), ("abbreviation", ABBREVIATIONS)) for t, n in table]
+    return f"WITH {NOTES}, lowered AS (SELECT path, tags, lower(content) AS low FROM notes), hits AS (SELECT * FROM ({' UNION ALL '.join(each)}) WHERE matched IS NOT NULL)"
