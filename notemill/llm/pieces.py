@@ -40,10 +40,13 @@ MARK = chr(0x2581)
 OWN_MARK = chr(0xDFFF)
 FIRST_BYTE = 3
 LONGEST = 16
+#: Few positions end a piece longer than NEAR; sums are scaled each SCALED positions.
+NEAR = 6
+SCALED = 32
 SHARPNESS = 0.5
 SEED = 1
 #: Filtered positions kept by a worker, and characters sampled together.
-POSITIONS_KEPT = 1_000_000
+POSITIONS_KEPT = 1_400_000
 CHARACTERS = 2_000_000
 _RUNS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -83,9 +86,13 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, dtype=np.int32)[order]
         assert len(np.unique(self.keys)) == len(self.keys), "two pieces share a hash"
+        # Most runs of characters are no piece; their hash's upper bits mostly say so at once.
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         rank = np.array([-model.get_score(i) for i in range(len(names))], dtype=np.float64)
         self.weight = -SHARPNESS * np.log(2 + np.maximum(rank, 0))
         self.byte_weight = -SHARPNESS * np.log(2.0 + len(names))
+        self.chance, self.byte_chance = np.exp(self.weight), float(np.exp(self.byte_weight))
 
     @staticmethod
     def key(piece: str) -> np.uint64:
@@ -96,8 +103,12 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], np.int32(-1))
+        found = np.full(len(hashes), -1, dtype=np.int32)
+        maybe = np.flatnonzero(self.maybe[(hashes >> np.uint64(42)).astype(np.int64)])
+        asked = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        found[maybe] = np.where(self.keys[at] == asked, self.ids[at], np.int32(-1))
+        return found
 
 
 class Runs(dict):
@@ -137,37 +148,48 @@ class Runs(dict):
                 break
             hashes[at] = _reach(hashes[at], points[at - n + 1])
             pieces[at, n - 1] = v.find(hashes[at])
-        weights = np.where(pieces >= 0, v.weight[np.maximum(pieces, 0)], -np.inf).astype(np.float64)
         alone = pieces[:, 0] < 0
         # A character without a piece: one byte is that byte's piece; more bytes are marked by the negative code point.
         single = points[alone].astype(np.int64)
         pieces[alone, 0] = np.where(single < 128, FIRST_BYTE + single, -1 - single)
-        weights[alone, 0] = v.byte_weight
-        forward = np.zeros(len(points))
+        known = pieces >= 0
+        known[:, 0] = True
+        weights = np.zeros(pieces.shape)
+        weights[known] = v.chance[np.maximum(pieces[known], 0)]
+        weights[alone, 0] = v.byte_chance
+        reach = LONGEST - np.argmax(known[:, ::-1], axis=1)
+        chances = np.full(pieces.shape, 2.0, dtype=np.float32)
+        # Runs of like length are filtered in step. Sums are scaled to 1 at intervals, so that long runs don't vanish.
         order = np.argsort(-lengths, kind="stable")
-        ordered, longest = lengths[order], int(lengths.max())
-        active = np.searchsorted(-ordered, -np.arange(1, longest + 1), side="right")
-        for p in range(longest):
-            at = starts[order[: active[p]]] + p
-            reach = min(p + 1, LONGEST)
-            back = at[:, None] - np.arange(1, reach + 1)
-            before = forward[np.maximum(back, 0)]
-            if reach == p + 1:
-                before[:, -1] = 0.0
-            total = before + weights[at, :reach]
-            top = total.max(axis=1, keepdims=True)
-            share = np.exp(total - top)
-            summed = share.sum(axis=1, keepdims=True)
-            forward[at] = (top + np.log(summed))[:, 0]
-            weights[at, :reach] = share / summed
-        chances = np.where(np.isfinite(weights), weights, 0.0)
-        chances = np.cumsum(chances, axis=1)
-        # Beyond the last possible piece the cumulated chance counts as certain.
-        reach = LONGEST - 1 - np.argmax((pieces != -1)[:, ::-1], axis=1)
-        chances[np.arange(LONGEST)[None, :] >= reach[:, None]] = 2.0
+        bands = [*(np.flatnonzero((lengths[order] > low) & (lengths[order] <= high)) for low, high in ((0, 6), (6, 10), (10, 20), (20, 64))), *([i] for i in np.flatnonzero(lengths[order] > 64))]
+        for band in bands:
+            runs = order[band]
+            if not len(runs):
+                continue
+            longest = int(lengths[runs[0]])
+            active = np.searchsorted(-lengths[runs], -np.arange(1, longest + 1), side="right")
+            forward = np.zeros((len(runs), longest + LONGEST))
+            forward[:, LONGEST - 1] = 1.0
+            for p in range(longest):
+                at = starts[runs[: active[p]]] + p
+                far = reach[at] > NEAR
+                for some, wide in ((slice(None), NEAR), (np.flatnonzero(far), LONGEST)):
+                    where = at[some]
+                    if not len(where):
+                        continue
+                    before = forward[: len(at), p + LONGEST - wide : p + LONGEST][some][:, ::-1]
+                    summed = np.cumsum(before * weights[where, :wide], axis=1)
+                    total = summed[:, -1:]
+                    forward[: len(at)][some, p + LONGEST] = total[:, 0]
+                    chances[where, :wide] = summed / np.maximum(total, 1e-300)
+                if p % SCALED == SCALED - 1:
+                    window = forward[: len(at), p + 1 : p + LONGEST + 1]
+                    window /= window.max(axis=1, keepdims=True)
+        # From the last possible piece on the cumulated chance counts as certain.
+        chances[np.arange(LONGEST)[None, :] >= reach[:, None] - 1] = 2.0
         self.starts = np.concatenate((self.starts, starts + self.size))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.chances = np.concatenate((self.chances, chances.astype(np.float32)))
+        self.chances = np.concatenate((self.chances, chances))
         self.pieces = np.concatenate((self.pieces, pieces))
         self.size += len(points)
         self.fresh = []
