@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Both ends without white space of any script, as str.strip."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -43,12 +50,16 @@ def words(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets as arrays; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: _shared(s["a"], s["b"], lambda x, y: F.size(F.array_union(x, y))))
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Overlap coefficient, which is also the larger of it and Jaccard; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: _shared(s["a"], s["b"], lambda x, y: F.least(F.size(x), F.size(y))))
+
+
+def _shared(a: Column, b: Column, whole: Callable[[Column, Column], Column]) -> Column:
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / whole(a, b))
 
 
 def main_content(text: Column) -> Column:

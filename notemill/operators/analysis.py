@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.dictionaries import CATEGORIES, CONTENT_TAGS, PLACEHOLDERS, REQUIRED_FIELDS
-from notemill.functions.text import description, jaccard, normalised, strip, words
+from notemill.functions.text import description, jaccard, let, normalised, strip, words
 
 # What each kind of improvement takes off the score, and how sure it is.
 PENALTIES = {"missing_required_field": 0.25, "missing_tags": 0.15, "missing_description": 0.15, "missing_category": 0.1, "filename_mismatch": 0.1, "incomplete_content": 0.3, "placeholder_content": 0.25}
@@ -21,24 +21,32 @@ METADATA = {
 
 def category(content: Column) -> Column:
     """array<string>: the first two categories with a keyword in the text."""
-    low = F.lower(content)
-    hits = [F.when(_any([low.contains(k) for k in keywords]), F.lit(name)) for name, keywords in CATEGORIES]
-    return F.slice(F.array_compact(F.array(*hits)), 1, 2)
+
+    def of(low: Column) -> Column:
+        hits = [F.when(_any([F.contains(low, F.lit(k)) for k in keywords]), F.lit(name)) for name, keywords in CATEGORIES]
+        return F.slice(F.array_compact(F.array(*hits)), 1, 2)
+
+    return let(F.lower(content), of)
 
 
 def content_tags(content: Column) -> Column:
     """struct<tags array<string>, confidence>: the tags of all groups with keywords in the text, as sure as the best group (0.3 a keyword, at most 0.9)."""
-    low = F.lower(content)
-    groups = []
-    for _, keywords, tags in CONTENT_TAGS:
-        n: Column = F.lit(0)
-        for k in keywords:
-            n = n + F.when(low.contains(k), 1).otherwise(0)
-        groups.append(F.struct(n.alias("n"), F.array(*[F.lit(t) for t in tags]).alias("tags")))
-    hit = F.filter(F.array(*groups), lambda g: g["n"] > 0)
-    tags = F.array_sort(F.array_distinct(F.flatten(F.transform(hit, lambda g: g["tags"]))))
-    best = F.coalesce(F.array_max(F.transform(hit, lambda g: F.least(F.lit(0.9), g["n"] * F.lit(0.3)))), F.lit(0.0))
-    return F.struct(tags.alias("tags"), best.alias("confidence"))
+
+    def of(low: Column) -> Column:
+        groups = []
+        for _, keywords, tags in CONTENT_TAGS:
+            n: Column = F.lit(0)
+            for k in keywords:
+                n = n + F.when(F.contains(low, F.lit(k)), 1).otherwise(0)
+            groups.append(F.struct(n.alias("n"), F.array(*[F.lit(t) for t in tags]).alias("tags")))
+        return F.filter(F.array(*groups), lambda g: g["n"] > 0)
+
+    def summed(hit: Column) -> Column:
+        tags = F.array_sort(F.array_distinct(F.flatten(F.transform(hit, lambda g: g["tags"]))))
+        best = F.coalesce(F.array_max(F.transform(hit, lambda g: F.least(F.lit(0.9), g["n"] * F.lit(0.3)))), F.lit(0.0))
+        return F.struct(tags.alias("tags"), best.alias("confidence"))
+
+    return let(let(F.lower(content), of), summed)
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -59,9 +67,8 @@ def improvements(notes: DataFrame) -> DataFrame:
         kind = dict(notes.dtypes).get(name)
         has[name] = F.lit(False) if kind is None else (F.coalesce(F.size(name), F.lit(0)) > 0) if kind.startswith("array") else strip(F.coalesce(name, F.lit(""))) != ""
     required = [F.when(~has[f], one("missing_required_field", f, 0.9)) for f in REQUIRED_FIELDS]
-    suggested = content_tags(F.col("content"))
-    fresh = F.size(F.array_except(suggested["tags"], "tags")) > 0
-    tags = F.when(fresh, F.struct(F.lit("missing_tags").alias("improvement_type"), F.lit("tags").alias("field_name"), suggested["confidence"].alias("confidence")))
+    fresh = lambda s: F.when(F.size(F.array_except(s["tags"], "tags")) > 0, F.struct(F.lit("missing_tags").alias("improvement_type"), F.lit("tags").alias("field_name"), s["confidence"].alias("confidence")))
+    tags = let(content_tags(F.col("content")), fresh)
     about = F.when(~has["description"] & description(F.col("content")).isNotNull(), one("missing_description", "description", 0.7))
     kind = F.when(~has["category"] & (F.size(category(F.col("content"))) > 0), one("missing_category", "category", 0.7))
     a, b = normalised(F.col("stem")), normalised(F.col("title"))

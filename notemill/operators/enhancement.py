@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.functions.text import description
+from notemill.functions.text import description, let
 from notemill.operators.analysis import category, content_tags, metadata
 
 
@@ -23,8 +23,8 @@ def enhanced(notes: DataFrame, vault_tags: DataFrame | None = None) -> DataFrame
     3 description and category where it lacks them. 4 title: the stem, or Note and the day
     for a time stamp. Every effective step adds a line to changes.
     """
-    suggested = content_tags(F.col("content"))
-    fresh = F.array_union(hashtags(F.col("content")), F.when(suggested["confidence"] >= 0.7, suggested["tags"]).otherwise(F.array().cast("array<string>")))
+    sure = let(content_tags(F.col("content")), lambda s: F.when(s["confidence"] >= 0.7, s["tags"]).otherwise(F.array().cast("array<string>")))
+    fresh = F.array_union(hashtags(F.col("content")), sure)
     base = notes.select("path", "stem", "title", "content", F.col("tags").alias("own"), fresh.alias("fresh"))
     if vault_tags is not None:
         # One row a word, so notes meet only tags that share it.

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.dictionaries import ABBREVIATIONS, PAIRS
+from notemill.functions.text import let
 from notemill.operators.mentions import variations
 
 
 def _hits(content: Column, table: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
     """array<struct<term, matched>>: for each entry the first of its name and other names that the text contains."""
-    low = F.lower(content)
-    found = []
-    for term, names in table:
-        first = F.coalesce(*[F.when(low.contains(n.lower()), F.lit(n)) for n in (term, *names)])
-        found.append(F.when(first.isNotNull(), F.struct(F.lit(term).alias("term"), first.alias("matched"))))
-    return F.array_compact(F.array(*found))
+
+    def of(low: Column) -> Column:
+        each = [F.struct(F.lit(term).alias("term"), F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in (term, *names)]).alias("matched")) for term, names in table]
+        return F.filter(F.array(*each), lambda h: h["matched"].isNotNull())
+
+    return let(F.lower(content), of)
 
 
 def matches(notes: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def suggestions(notes: DataFrame, patterns: Sequence[tuple] = TAG_PATTERNS, leas
 
     The patterns are literals of the plan, so a text is read once and nothing is joined.
     """
-    low = F.lower("content")
+    low = F.col("low")
 
     def one(category: str, _priority: int, name: str, keywords: Sequence[str], weight: float) -> Column:
         hits: Column = F.lit(0)
@@ -72,7 +72,8 @@ def suggestions(notes: DataFrame, patterns: Sequence[tuple] = TAG_PATTERNS, leas
             hits = hits + F.when(_any([low.contains(s.lower()) for s in spelled(k)]), 1).otherwise(0)
         return F.struct(F.lit(category).alias("category"), F.lit(name).alias("pattern"), hits.alias("matched"), F.least(F.lit(0.95), hits * F.lit(0.2) * F.lit(weight)).alias("confidence"))
 
-    found = notes.select("path", F.explode(F.array(*[one(*p) for p in patterns])).alias("s")).select("path", "s.*")
+    lowered = notes.select("path", F.lower("content").alias("low"))
+    found = lowered.select("path", F.explode(F.array(*[one(*p) for p in patterns])).alias("s")).select("path", "s.*")
     return found.where(F.col("confidence") > least)
 
 

@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table that comes in fewer pieces than there are cores, such as one small file, to all cores; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as notes: the title is the start of the first line, the tags language and source."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     file_id = F.lpad(F.col("doc_id").cast("string"), 14, "0")
     return d.select(
