@@ -21,13 +21,14 @@ def lines(notes: DataFrame) -> DataFrame:
 
 
 def template_spans(line):
-    """array<struct<start, hit>> of template expressions in a line."""
-    return F.concat(*[matches(line, p) for p in TEMPLATES])
+    """array<struct<start, hit>> of template expressions in a line; most lines have no opening sign and are left at that."""
+    opens = F.contains(line, F.lit("{")) | F.contains(line, F.lit("<%"))
+    return F.when(opens, F.concat(*[matches(line, p) for p in TEMPLATES])).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
 
 
 def wikilinks(notes: DataFrame) -> DataFrame:
     """(path, line_number, column_start, column_end, target, alias): wiki links that do not start in a template expression."""
-    found = lines(notes).where(F.col("line").rlike(r"\[\[")).select("path", "line_number", template_spans(F.col("line")).alias("z"), F.explode(matches(F.col("line"), WIKI)).alias("m"))
+    found = lines(notes).where(F.contains("line", F.lit("[["))).select("path", "line_number", template_spans(F.col("line")).alias("z"), F.explode(matches(F.col("line"), WIKI)).alias("m"))
     start = F.col("m.start")
     inside = F.exists("z", lambda z: (start >= z["start"]) & (start < z["start"] + F.length(z["hit"])))
     alias = strip(F.regexp_extract("m.hit", WIKI, 2))
