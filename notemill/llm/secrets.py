@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are keyword assignments, private-key blocks and long runs of key characters
-that hold a digit. Each gets features of its length, its character transitions, how much
+Candidates are assignments to a name that says secret, private-key blocks, tokens of a
+known form and long runs of key characters that hold a digit. Each gets features of its length, its character transitions, how much
 of it common words cover, whether it looks like part of a path, and the words beside it.
 A random forest, trained in numpy from labelled findings, gives the probability that it is
 a secret; the trained trees are compiled into one expression, so scanning is a single
@@ -43,12 +43,22 @@ WORDS = (
 )
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le"
 
-RUN = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]{16,}){0,2}={0,2}"
-KEYED = rf"(?i:{NAMING})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?[^\s\"',;<>]{{8,}}"
-BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----"
-CANDIDATE = f"{BLOCK}|{KEYED}|{RUN}"
+# The start of tokens that are known by their form; they may stand behind any sign.
+KNOWN = (
+    r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|[rs]k_(?:live|test)_[A-Za-z0-9]{10,}|sk-(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{20,}|"
+    r"xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{16,}){2}|hooks\.slack\.com/services/[A-Za-z0-9/]{16,})"
+)
+BLOCK = (
+    r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr]){0,4}(?:[A-Za-z][A-Za-z-]{0,30}: [^\r\n\\]{0,200}(?:[\r\n]|\\[nr]){1,4}){0,8}"
+    r"[A-Za-z0-9+/=\\\s]{0,65536}-----END [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+)
+NAMED = rf"(?i:{NAMING})[A-Za-z0-9_-]{{0,32}}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
+KEYED = rf"{NAMED}(?:{BLOCK}|[^\s\"',;<>]{{8,}})"
+# A run that is the name of an assignment leaves its place to KEYED.
+RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]{{0,64}}[0-9])(?=[A-Za-z0-9+/_-]{{16}})(?![A-Za-z0-9_-]{{0,64}}?{NAMED}[^\s\"',;<>]{{8}})[A-Za-z0-9+/_-]{{16,}}(?:\.[A-Za-z0-9_-]{{16,}}){{0,2}}={{0,2}}"
+CANDIDATE = f"{BLOCK}|{KEYED}|{KNOWN}|{RUN}"
 
-FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "bigrams", "distinct", "hex_only", "digits_only", "covered", "slashes", "path_before", "dashes", "named", "harmless", "harmless_after", "block")
+FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "bigrams", "distinct", "hex_only", "digits_only", "covered", "slashes", "path_before", "dashes", "named", "harmless", "harmless_after", "block", "known")
 
 
 def features(before: Column, value: Column, after: Column) -> list[Column]:
@@ -71,45 +81,66 @@ def features(before: Column, value: Column, after: Column) -> list[Column]:
         count(value, "/") / n,
         flag(before.rlike(r"[/\\.#?&-]$|://\S*$")),
         count(value, "[_-]") / n,
-        flag(before.rlike(rf"(?i)(?:{NAMING})\S{{0,8}}\s{{0,3}}\S{{0,3}}\s{{0,3}}[\"']?$")),
+        flag(before.rlike(rf"(?i)(?:{NAMING})[A-Za-z0-9_-]{{0,32}}\S{{0,8}}\s{{0,3}}\S{{0,3}}\s{{0,3}}[\"']?$")),
         flag(before.rlike(rf"(?i)\b(?:{HARMLESS})")),
         flag(after.rlike(rf"(?i)^\W{{0,4}}(?:{HARMLESS})")),
         flag(value.startswith("-----BEGIN")),
+        flag(value.rlike(KNOWN)),
     ]
 
 
+# How the labelled findings name a secret, and the signs behind the name.
+NAMES = ("token", "secret", "api_key", "API-KEY", "password", "access_key", "auth_token", "client_secret", "SECRET_KEY", "AWS_ACCESS_KEY_ID", "DB_PASSWORD_2", "GITHUB_PAT", "STRIPE_KEY")
+SIGNS = (" = ", "=", ": ", ' = "', "='", '": "')
+B64 = string.ascii_letters + string.digits + "+/"
+#: Kinds of secret_values that are known by their form, so that they need no name; the others need one of NAMES that says secret.
+FORMED = (2, 3, 4, 5, 7, 8, 9, 10, 11, 12)
+SAYING = len(NAMES) - 2
+
+
+def secret_values(rng: random.Random) -> tuple[str, ...]:
+    """One made secret of each kind."""
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    url, alnum, body = B64.replace("+/", "-_"), string.ascii_letters + string.digits, lambda k: "\n".join(pick(B64, 64) for _ in range(k))
+    return (
+        pick("0123456789abcdef", rng.choice((32, 40, 64))),
+        pick(B64, rng.choice((24, 32, 40, 44))),
+        "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
+        "ghp_" + pick(alnum, 36),
+        "sk-" + pick(alnum, rng.choice((24, 48))),
+        "eyJ" + pick(url, 20) + "." + pick(url, 40) + "." + pick(url, 43),
+        pick(alnum + "!@#$%^&*", rng.randrange(10, 20)),
+        "-----BEGIN PRIVATE KEY-----\n" + pick(B64, 200) + "\n-----END PRIVATE KEY-----",
+        "sk_live_" + pick(alnum, 24),
+        "AIza" + pick(url, 35),
+        "hooks.slack.com/services/T" + pick(string.ascii_uppercase + string.digits, 8) + "/B" + pick(string.ascii_uppercase + string.digits, 8) + "/" + pick(alnum, 24),
+        "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick("0123456789ABCDEF", 32) + "\n\n" + body(4) + "\n-----END RSA PRIVATE KEY-----",
+        "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2.0.22 (GNU/Linux)\n\n" + body(4) + "\n=" + pick(B64, 4) + "\n-----END PGP PRIVATE KEY BLOCK-----",
+    )
+
+
 def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, int]]:
     """(before, value, after, label): secrets (1) and what is mistaken for them (0), by fixed rules from a seed."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    b64 = string.ascii_letters + string.digits + "+/"
     word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "in", "ou", "ent", "ment", "ich", "ado", "eau", "ly")) for _ in range(rng.randrange(1, 4)))
     prose = lambda: " ".join(word() for _ in range(rng.randrange(2, 7))) + " "
     terms = WORDS.split("|")
 
     def secret() -> tuple[str, str]:
-        kind = rng.randrange(8)
-        name = rng.choice(("token", "secret", "api_key", "API-KEY", "password", "access_key", "auth_token", "client_secret", "SECRET_KEY"))
-        sign = rng.choice((" = ", "=", ": ", ' = "', "='", '": "'))
-        value = (
-            pick("0123456789abcdef", rng.choice((32, 40, 64))),
-            pick(b64, rng.choice((24, 32, 40, 44))),
-            "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
-            "ghp_" + pick(string.ascii_letters + string.digits, 36),
-            "sk-" + pick(string.ascii_letters + string.digits, rng.choice((24, 48))),
-            "eyJ" + pick(b64.replace("+/", "-_"), 20) + "." + pick(b64.replace("+/", "-_"), 40) + "." + pick(b64.replace("+/", "-_"), 43),
-            pick(string.ascii_letters + string.digits + "!@#$%^&*", rng.randrange(10, 20)),
-            "-----BEGIN PRIVATE KEY-----\n" + pick(b64, 200) + "\n-----END PRIVATE KEY-----",
-        )[kind]
-        if kind in (2, 3, 4, 5, 7) and rng.random() < 0.5:
-            return prose(), value
-        return prose() + name + sign, value
+        values = secret_values(rng)
+        # Those known by their name alone are the harder ones and come more often.
+        kind = rng.choice((0, 0, 0, 0, 0, 1, 1, 6, 6, *range(len(values))))
+        name = rng.choice(NAMES if kind in FORMED else NAMES[:SAYING])
+        if kind in FORMED and rng.random() < 0.5:
+            return prose() + rng.choice(("", "", "", "https://", "https://" + word() + ".com/api?key=", "https://" + word() + ".com/")), values[kind]
+        return prose() + name + rng.choice(SIGNS), values[kind]
 
     def other() -> tuple[str, str]:
-        kind = rng.randrange(12)
+        kind = rng.randrange(15)
         hexes = "0123456789abcdef"
         return (
-            lambda: (prose() + rng.choice(("commit ", "revision ", "sha1 ", "checksum: ", "md5 ", "digest ", "etag ", "hash: ")), pick(hexes, rng.choice((32, 40, 64)))),
+            lambda: (prose() + rng.choice(("commit ", "revision ", "sha1 ", "checksum: ", "md5 ", "digest ", "etag ", "hash: ", "commit=", "sha256=", "?v=", "etag=")), pick(hexes, rng.choice((32, 40, 64)))),
             lambda: (prose() + rng.choice(("uuid ", "id ", "guid: ", "")), "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))),
             lambda: (prose() + rng.choice(("see /", "https://", "src=", "file ")), "/".join(rng.choice(terms) for _ in range(4)) + str(rng.randrange(1000))),
             lambda: (prose() + rng.choice(("password = ", "token: ", "api_key=", "secret = '")), rng.choice(("changeme", "your_api_key_here", "xxxxxxxxxxxxxxxx", "<password>", "password123", "insert_token_here", "example_secret", "********"))),
@@ -120,7 +151,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
             lambda: (prose() + rng.choice(("token = ", "password: ", "auth: ")), "get" + rng.choice(terms).capitalize() + "From" + rng.choice(terms).capitalize()),
             lambda: (prose(), "-".join(pick(string.digits, k) for k in (4, 2, 2, 6, 3))),
             lambda: (prose(), word() + word() + word() + str(rng.randrange(100)) + word()),
-            lambda: (prose() + "data:image/png;base64,", pick(b64, 120)),
+            lambda: (prose() + rng.choice(("author: ", "authors: ", "authority = ", "tokenizer: ", "secretary: ", "tokens=")), rng.choice((word() + word() + word(), rng.choice(terms).capitalize() + rng.choice(terms) + word())) + "ation"),
+            lambda: (prose() + "https://" + word() + ".com/" + word() + rng.choice(("?id=", "?page=", "?q=", "?ref=", "?slug=")), "-".join(rng.choice(terms) for _ in range(4)) + "-" + str(rng.randrange(1000))),
+            lambda: (prose() + rng.choice(("id=", "class=", "name=", "target=")), "_".join(rng.choice(terms) for _ in range(4)) + str(rng.randrange(100))),
+            lambda: (prose() + "data:image/png;base64,", pick(B64, 120)),
         )[kind]()
 
     rows = []
@@ -214,8 +248,8 @@ def findings(text: Column, forest: list[Node]) -> Column:
     """array<struct<start, length, kind, value, score, is_secret>> of a text."""
 
     def placed(c: Column) -> Column:
-        value = F.regexp_replace(c["hit"], rf"^(?i:{NAMING})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?", "")
-        kind = F.when(c["hit"].startswith("-----BEGIN"), "private_key").when(F.length(value) < F.length(c["hit"]), "assignment").otherwise("run")
+        value = F.regexp_replace(c["hit"], rf"^{NAMED}(?=[^\s\"',;<>]{{8}})", "")
+        kind = F.when(value.startswith("-----BEGIN"), "private_key").when(F.length(value) < F.length(c["hit"]), "assignment").otherwise("run")
         return F.struct((c["start"] + F.length(c["hit"]) - F.length(value)).alias("start"), value.alias("value"), kind.alias("kind"))
 
     def judged(c: Column) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -53,3 +54,24 @@ def test_odd_rows(odd, empty, forest):
     kept = s.redact(odd, forest)
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert s.scan_documents(empty, forest).count() == 0 and s.redact(empty, forest).count() == 0
+
+
+def test_every_labelled_secret_is_a_candidate(spark):
+    rng = random.Random(4)
+    rows = [(v, f"see {name}{sign}{v}") for name in s.NAMES for sign in s.SIGNS for k, v in enumerate(s.secret_values(rng)) if k in s.FORMED or name in s.NAMES[: s.SAYING]]
+    rows += [(v, t) for k, v in enumerate(s.secret_values(rng)) if k in s.FORMED for t in (v, f"https://maps.example.com/api?key={v}", f"https://{v} x", f"a.{v}\n")]
+    rows += [(v, t) for v, t in (("hunter2!xyz", "MY_APP_V2_DB_PASSWORD=hunter2!xyz"), ("k" * 15 + "9==", "k" * 15 + "9== end"), ("auth1234567890abcd==", "auth1234567890abcd== end"))]
+    found = s.findings(F.col("text"), [s.Node(1.0)])
+    out = spark.createDataFrame(rows, "value string, text string").select("value", "text", F.transform(found, lambda c: c["value"]).alias("found")).collect()
+    assert not [(r.text, r.found) for r in out if not any(r.value in f for f in r.found)]
+
+
+def test_secrets_behind_signs_are_masked(spark, forest):
+    v, rng = s.secret_values, random.Random(6)
+    made = [v(rng) for _ in range(5)]
+    texts = [t for m in made for t in (f"SECRET_KEY={m[0]}", f"AWS_ACCESS_KEY_ID={m[2]}", f"GITHUB_PAT={m[3]}", f"STRIPE_KEY={m[8]}", f"https://maps.example.com/api?key={m[9]}", f"https://{m[10]}", m[11], m[12])]
+    df = spark.createDataFrame([(i, f"in the file {t} end of it") for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in s.redact(df, forest).collect()}
+    assert [t for i, t in enumerate(texts) if s.MASK not in out[i]] == []
+    plain = [(0, "author: Christopherson and tokenizer: Sentencepiece"), (1, "see https://example.com/list?slug=update-content-page-2024 there")]
+    assert {r.doc_id: r.text for r in s.redact(spark.createDataFrame(plain, "doc_id long, text string"), forest).collect()} == dict(plain)
