@@ -1,10 +1,11 @@
 """Nearest neighbours by largest inner product: collision counting on query-aware hashes.
 
-Vectors are dealt into blocks. A block lifts its vectors by one component to a common
-length, which turns the largest inner product into the least distance, and projects them on
+Vectors are dealt into blocks, and a block's into groups of like length. A group lifts its
+vectors by one component to a common length, which turns the largest inner product into the least distance, and projects them on
 PROJECTIONS random directions; for each direction it keeps the projections sorted. A query
 is projected alike and a window is centred on it in every sorted array. All windows grow
-by the same ratio (virtual rehashing), from a start that a few trial queries set; a vector
+together (virtual rehashing), in each group to the width that stands for the same inner
+product, from a start that a few trial queries set; a vector
 that is covered in at least COLLIDES of the directions is a candidate. When VERIFIED of the
 block are candidates, their inner products with the query are computed exactly from the
 original vectors and the k best leave the block; the blocks' results are merged. A window
@@ -25,6 +26,7 @@ goes first; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,14 @@ VERIFIED = 0.1
 #: Verified in a small block, where the k nearest are a larger share.
 AT_LEAST = 640
 FIRST_WINDOW = 1.15
+#: By how much the least product falls from window to window, as a share of the mean length, and the ratio by which that grows.
+STEP = 0.1
 GROWTH = 1.06
+#: Half a window of a distance that is covered in COLLIDES of the directions, as a share of that distance.
+SPREAD = NormalDist().inv_cdf((1 + COLLIDES) / 2)
+#: The greatest ratio of lengths in a group, and the most groups.
+LIKE = 1.15
+GROUPS = 64
 #: Vectors of a block that are tried to find where its windows should start.
 TRIED = 16
 BLOCK = 8192
@@ -45,54 +54,95 @@ CHUNK = 512
 
 
 class Index:
-    """One block's sorted projections, and each vector's place in them."""
+    """One block's sorted projections, and each vector's place in them, by groups of like length.
+
+    Each group is lifted to its own greatest length. A distance d of lifted vectors stands
+    for an inner product of length - d * d / (2 * length) with the query's direction, so one
+    least product tau gives every group its window, and all groups' candidates are as good.
+    """
 
     def __init__(self, vectors: np.ndarray, seed: int = 17):
         self.vectors = vectors
-        norms = (vectors * vectors).sum(axis=1)
-        self.length = float(np.sqrt(norms.max()))
-        lifted = np.column_stack((vectors, np.sqrt(np.maximum(norms.max() - norms, 0.0))))
-        self.directions = np.random.default_rng(seed).standard_normal((lifted.shape[1], PROJECTIONS))
+        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
+        self.groups = []
+        order = np.argsort(-lengths, kind="stable")
+        at = 0
+        while at < len(order):
+            top = lengths[order[at]]
+            end = len(order) if len(self.groups) == GROUPS - 1 else int(np.searchsorted(-lengths[order], -top / LIKE, side="right"))
+            self.groups.append(self._group(order[at:end], float(top)))
+            at = end
+        self.step = STEP * float(lengths.mean())
+        self.tau = float(np.quantile(lengths, 0.9)) * (1 - (FIRST_WINDOW / SPREAD) ** 2 / 2)
+        self.ratio = SPREAD
+        # A few of the block's own vectors show where windows end up; queries start a little below that.
+        tried = [self.window(v, self.least(0))[1:] for v in vectors[:: max(1, len(vectors) // TRIED)]]
+        self.tau, self.ratio = float(np.quantile([t for t, _ in tried], 0.7)), float(np.quantile([r for _, r in tried], 0.3))
+
+    def _group(self, members: np.ndarray, length: float) -> tuple:
+        own = self.vectors[members]
+        lifted = np.column_stack((own, np.sqrt(np.maximum(length * length - (own * own).sum(axis=1), 0.0))))
         projected = np.ascontiguousarray((lifted @ self.directions).T)
         order = np.argsort(projected, axis=1, kind="stable")
-        self.places = np.empty(order.shape, dtype=np.uint16 if len(vectors) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=self.places.dtype)[None, :], axis=1)
+        places = np.empty(order.shape, dtype=np.uint16 if len(own) < 1 << 16 else np.uint32)
+        np.put_along_axis(places, order, np.arange(len(own), dtype=places.dtype)[None, :], axis=1)
         # The sorted arrays lie one behind the other, each shifted beyond the one before: one search finds all windows.
-        self.shifts = np.arange(PROJECTIONS) * (4.0 * (np.abs(projected).max() + 1.0))
-        self.sorted = (np.take_along_axis(projected, order, axis=1) + self.shifts[:, None]).ravel()
-        self.first = np.arange(PROJECTIONS) * len(vectors)
-        self.half = FIRST_WINDOW * self.length
-        # A few of the block's own vectors show where windows end up; queries start a little below that.
-        tried = [self.window(v, self.least(0))[1] for v in vectors[:: max(1, len(vectors) // TRIED)]]
-        self.half = float(np.quantile(tried, 0.3))
+        shifts = np.arange(PROJECTIONS) * (4.0 * (np.abs(projected).max() + length))
+        return members, length, places, shifts, (np.take_along_axis(projected, order, axis=1) + shifts[:, None]).ravel(), np.arange(PROJECTIONS) * len(own)
 
     def least(self, k: int) -> int:
         return max(AT_LEAST, 4 * k, math.ceil(VERIFIED * len(self.vectors)))
 
-    def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Positions of at least so many vectors, or all, by collision counting."""
-        return self.window(query, least)[0]
-
-    def window(self, query: np.ndarray, least: int) -> tuple[np.ndarray, float]:
-        """(candidates, half the width of the windows that gave them)."""
-        n = len(self.vectors)
-        if least >= n:
-            return np.arange(n), self.half
-        centre = (query * (self.length / np.sqrt(query @ query))) @ self.directions[:-1] + self.shifts
-        half, need, kind = self.half, math.ceil(COLLIDES * PROJECTIONS), self.places.dtype
-        while True:
-            low = np.clip(np.searchsorted(self.sorted, centre - half) - self.first, 0, n)
-            width = np.clip(np.searchsorted(self.sorted, centre + half, side="right") - self.first, 0, n) - low
+    def candidates(self, query: np.ndarray, least: int, k: int = 20) -> np.ndarray:
+        """Positions of at least so many vectors, or all that can be among the k nearest, by collision counting."""
+        return self.window(query, least, k)[0]
+
+    def covered(self, centre: np.ndarray, halves: list[float]) -> tuple[np.ndarray, bool]:
+        """(candidates, whether the windows hold all) for half a window's width in each group; none where it is 0."""
+        need, found, whole = math.ceil(COLLIDES * PROJECTIONS), [], True
+        for (members, length, places, shifts, projected, first), half in zip(self.groups, halves, strict=True):
+            if half <= 0:
+                continue
+            n, kind = len(members), places.dtype
+            middle = centre * length + shifts
+            low = np.clip(np.searchsorted(projected, middle - half) - first, 0, n)
+            width = np.clip(np.searchsorted(projected, middle + half, side="right") - first, 0, n) - low
             # A place is in the window if it is less than its width beyond the lower end; below it the difference wraps around.
-            covered = self.places - low.astype(kind)[:, None] < width.astype(kind)[:, None]
-            found = np.flatnonzero(covered.sum(axis=0, dtype=np.uint8) >= need)
-            if len(found) >= least or width.min() == n:
-                return found, half
-            half *= GROWTH
+            inside = places - low.astype(kind)[:, None] < width.astype(kind)[:, None]
+            found.append(members[inside.sum(axis=0, dtype=np.uint8) >= need])
+            whole = whole and width.min() == n
+        return np.concatenate(found) if found else np.empty(0, dtype=np.int64), whole
+
+    def window(self, query: np.ndarray, least: int, k: int = 20) -> tuple[np.ndarray, float, float]:
+        """(candidates, the least product and the ratio of the windows that gave them)."""
+        if least >= len(self.vectors):
+            return np.arange(len(self.vectors)), self.tau, self.ratio
+        direction = query / np.sqrt(query @ query)
+        centre = direction @ self.directions[:-1]
+        lengths, several = [g[1] for g in self.groups], len(self.groups) > 1
+        tau, step = self.tau, self.step
+        while True:
+            found, whole = self.covered(centre, [SPREAD * math.sqrt(2 * m * max(m - tau, 0.0)) for m in lengths])
+            if len(found) >= (max(k, least // 2) if several else least) or whole and tau < min(lengths):
+                break
+            tau -= step
+            step *= GROWTH
+        if not several or len(found) < k:
+            return found, tau, self.ratio
+        # The k-th product so far: groups that cannot exceed it are out, and in all others a vector that reaches it is as likely to be covered.
+        reached = float(np.partition(self.vectors[found] @ direction, -k)[-k]) if k else tau
+        ratio, possible = self.ratio, [2 * m * max(m - reached, 0.0) for m in lengths]
+        while True:
+            more, whole = self.covered(centre, [ratio * math.sqrt(p) for p in possible])
+            more = np.union1d(found, more)
+            if len(more) >= least or whole:
+                return more, tau, ratio
+            ratio *= GROWTH
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, exact inner products) of the candidates."""
-        at = self.candidates(query, self.least(k))
+        at = self.candidates(query, self.least(k), k)
         return at, (self.vectors[at] * query).sum(axis=1)
 
 

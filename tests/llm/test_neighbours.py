@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from notemill.llm import neighbours as n
 
@@ -55,3 +56,23 @@ def test_few_and_unusable_vectors(spark):
     twice = table(spark, good).union(table(spark, good))
     own = sorted((r for r in n.nearest(twice, 3, 4).collect()), key=lambda r: r.rank)
     assert [r.vec_id for r in own] == [1, 1, 2]
+
+
+@pytest.mark.parametrize("lengths", ["sigma 0.25", "sigma 0.5", "one of 2", "one of 5", "one of 1000"])
+def test_recall_of_a_full_block_with_unequal_lengths(lengths):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((n.BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    kind, value = lengths.rsplit(" ", 1)
+    if kind == "sigma":
+        x *= rng.lognormal(0, float(value), (n.BLOCK, 1))
+    else:
+        x[5] *= float(value)
+    index, hits, asked = n.Index(x), 0, range(0, n.BLOCK, 128)
+    for q in asked:
+        at, scores = index.search(x[q], 21)
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len({int(i) for i in at[np.argsort(-scores)] if i != q} & set(np.argsort(-exact)[:20].tolist()))
+        assert len(at) < n.BLOCK / 4
+    assert hits / (20 * len(asked)) >= 0.9
