@@ -281,6 +281,11 @@ def q_mentions(spark, d):
     return _mentions(spark, d)[1]
 
 
+@query()
+def q_mention_targets(spark, d):
+    return mentions.members(mentions.targets(adapters.part_notes(spark, d)))
+
+
 @query()
 def q_conflicts(spark, d):
     return mentions.resolved(_mentions(spark, d)[1])

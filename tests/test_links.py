@@ -81,6 +81,17 @@ def test_mentions_conflicts_and_rewriting(notes):
     assert [r.target_file_id for r in own.where("path = 'v/b.md'").collect()] == ["20230101120002"]
 
 
+def test_notes_of_one_text_are_members_and_conflicts(notes):
+    same = [note(f"v/{i}.md", "", f"2023010112000{i}", "Design") for i in range(4)]
+    n = notes(*same, note("v/5.md", "", "20230101120005", "Plan"), note("v/a.md", "Design and Plan", "20230101120009", "A"), note("v/b.md", "Design", "20230101120002", "Design"))
+    targets = mentions.targets(n)
+    assert {r.file_id for r in mentions.members(targets).where("low = 'design'").collect()} == {f"2023010112000{i}" for i in range(4)}
+    found = mentions.candidates(n, targets).where("path IN ('v/a.md', 'v/b.md') AND text <> 'a'")
+    chosen = mentions.resolved(found)
+    assert {(r.path, r.text, r.target_file_id, r.conflicts, r.others) for r in chosen.collect()} == {("v/a.md", "Design", "20230101120000", 0, 3), ("v/a.md", "Plan", "20230101120005", 0, 0), ("v/b.md", "Design", "20230101120000", 0, 2)}
+    assert [r.text for r in mentions.capped(chosen.where("path = 'v/a.md'"), 1).collect()] == ["Plan"]
+
+
 def test_orphan_rules(notes):
     n = notes(note("v/a.md", "[[2]]", "1"), note("v/b.md", "", "2"), note("v/c.md", "[x](y)", "3"), note("v/d.md", "[[4]]", "4"), note("v/e.md", "", None))
     wiki = links.wikilinks(n)
