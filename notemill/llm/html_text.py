@@ -1,21 +1,29 @@
 """Main text of web pages by the distribution of line blocks.
 
-1. Markup is stripped: every block element starts a line; comments, scripts, styles and
-   other elements without readable text go. A line that stands in an element of page
-   furniture (by its name, role, class or id) or that is mostly links has length 0.
-2. The lengths are summed over windows of WINDOW lines. A window above SURGE that follows
-   a calmer one is a surge point; the next window of sum 0 is the dive point.
-3. The lines between a surge and its dive are kept, in page order, those of length 0 not.
-
-Where a page marks its article (article or main), lines outside it have length 0 and
-lines inside count SURGE more, so that a short paragraph of the article is never calm.
+1. Markup is stripped. Every block element starts a line, every bound of a container
+   (div, section, table and the like) leaves an empty line, that of an article or main
+   element a whole window of them, and comments, scripts, styles and other elements without
+   readable text go. The lines of page furniture (known by an
+   element's name, role, class or id) are empty ones.
+2. A line weighs its length; one that is mostly links weighs nothing, unless it stands
+   alone between two lines of prose. Lines in an article or main element are raised: they
+   weigh RAISE times their length and one surge more, and the surge asked for on such a
+   page is RAISE times as high, so text beside the article must be that much denser.
+3. The weights are summed over windows of WINDOW lines. A window whose sum exceeds the
+   surge, at a line with weight, is a surge point; the next window of sum 0 is the dive
+   point. Without a surge, the block between two dives that weighs most is taken.
+4. The lines with weight between a surge and its dive are kept, in page order.
 
 Within a line character references are decoded and white space is folded; lines are
-joined by one space.
-
-Defined cases: a null or empty page, and one without a surge, have the empty text;
-repeated rows give equal texts; unclosed elements end with the page; an empty table gives
-an empty result; other columns are ignored.
+joined by one space. The end tags that HTML lets out (p, li, dt, dd, option, tr, td, th)
+are implied, so a paragraph of furniture ends where the next one begins. A paragraph in an
+article whose class only hints at furniture (HINTS) is furniture if it is shorter than
+SURGE or mostly links.
+
+Defined cases: a null or empty page has the empty text, as has one of furniture only; of
+blocks that weigh the same the first is taken; repeated rows give equal texts; unclosed
+elements end with the page; an empty table gives an empty result; other columns are
+ignored, also those called text or n_chars.
 """
 
 from __future__ import annotations
@@ -30,21 +38,36 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+#: How much more a line of an article weighs than one beside it.
+RAISE = 4
 LINKED = 0.5
 
 # Element names of the HTML standard and usual names of page furniture.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas")
-FURNITURE = frozenset("head nav header footer aside form menu dialog button select fieldset figcaption".split())
+FURNITURE = frozenset("head nav header footer aside form menu dialog button select fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo "
     "related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
-BLOCKS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section "
-    "summary table tbody td tfoot th thead title tr ul".split()
+HINTS = frozenset("ad ads banner comment comments header menu notice related reply share sharing social widget".split())
+LINES = frozenset("address br caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li option p pre summary td th title tr".split())
+CONTAINERS = frozenset(
+    "article aside blockquote body center details dialog dir div dl fieldset figure footer form head header html main menu nav ol section table tbody tfoot thead ul".split()
 )
+BLOCKS = LINES | CONTAINERS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end tag may be left out, and the start tags that imply it.
+IMPLIED = {
+    "p": BLOCKS - {"br"},
+    "li": frozenset({"li"}),
+    "dt": frozenset({"dt", "dd"}),
+    "dd": frozenset({"dt", "dd"}),
+    "option": frozenset({"option"}),
+    "tr": frozenset({"tr", "tbody", "tfoot"}),
+    "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
+    "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
+}
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -55,87 +78,150 @@ _MARKUP = re.compile(
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
+# What a line is: prose, mostly links, or furniture and empty.
+PROSE, LINKS, EMPTY = range(3)
+
 
-def _is_furniture(name: str, rest: str) -> bool:
+def _named(name: str, rest: str) -> tuple[bool, bool]:
+    """(whether an element is furniture, whether no more than hints say so)."""
     if name in FURNITURE:
-        return True
+        return True, False
     if not rest or name in ("html", "body", "article", "main") or "=" not in rest:
-        return False
+        return False, False
+    found: set[str] = set()
     for kind, *value in _NAMED.findall(rest):
-        words = _PARTS.split("".join(value).lower())
-        if not (ROLES if kind.lower() == "role" else NAMES).isdisjoint(words):
+        found |= (ROLES if kind.lower() == "role" else NAMES).intersection(_PARTS.split("".join(value).lower()))
+    return bool(found), found <= HINTS
+
+
+class _Page:
+    """The lines of a page as (text, kind, whether in an article), built tag by tag."""
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[str, int, bool]] = []
+        self.parts: list[str] = []
+        self.linked = 0
+        self.barred: list[str] = []
+        self.hinted = False
+        self.articles, self.marked = 0, False
+        self.in_link = self.fresh_link = False
+
+    def text(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.in_link:
+            self.linked += len(piece.strip())
+
+    def flush(self) -> None:
+        if self.parts:
+            if text := " ".join(html.unescape("".join(self.parts)).split()):
+                links = self.linked > LINKED * len(text)
+                if self.barred and not (self.hinted and len(text) >= SURGE and not links):
+                    self.lines.append(("", EMPTY, False))
+                else:
+                    self.lines.append((text, LINKS if links else PROSE, self.articles > 0))
+            self.parts.clear()
+        self.linked = 0
+
+    def tag(self, name: str, end: bool, rest: str) -> None:
+        if name in BLOCKS:
+            self.flush()
+            if end and self.fresh_link:  # a link that its block leaves open ends with it
+                self.in_link = False
+            self.fresh_link = False
+        if self.barred and self._in_furniture(name, end):
+            return
+        if name == "a":
+            self.in_link = self.fresh_link = not end
+        if not end and name not in VOID:
+            furniture, hints = _named(name, rest)
+            if furniture:
+                self.flush()
+                self.barred, self.hinted = [name], hints and name == "p" and self.articles > 0
+                return
+        if name in CONTAINERS:
+            # What stands in an article and what stands beside it surge apart.
+            self.lines += [("", EMPTY, False)] * (WINDOW if name in ("article", "main") else 1)
+        if name in ("article", "main"):
+            self.articles = max(0, self.articles + (-1 if end else 1))
+            self.marked = True
+
+    def _in_furniture(self, name: str, end: bool) -> bool:
+        """Follows the elements within furniture; whether the tag still belongs to it."""
+        if name not in BLOCKS and name not in self.barred:
             return True
-    return False
+        if end:
+            if name in self.barred:
+                del self.barred[len(self.barred) - 1 - self.barred[::-1].index(name) :]
+                return True
+            if name in BLOCKS and all(x in IMPLIED for x in self.barred):
+                self.barred = []  # the end of what the furniture stands in
+                return False
+            return True
+        while self.barred and name in IMPLIED.get(self.barred[-1], ()):
+            self.barred.pop()
+        if self.barred == ["head"] and name == "body":
+            self.barred = []
+        if not self.barred:
+            return False
+        if name not in VOID:
+            self.barred.append(name)
+        return True
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """([(text, length, in an article)], whether the page marks an article). Length 0: furniture or links."""
-    lines: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    linked = 0
-    barred, depth, anchors, articles, marked = "", 0, 0, 0, False
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            if text := " ".join(html.unescape("".join(parts)).split()):
-                lines.append((text, 0 if barred or linked > LINKED * len(text) else len(text), articles > 0))
-            parts.clear()
-        linked = 0
-
+    """([(text, kind, in an article)], whether the page marks an article)."""
+    made = _Page()
     at = 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
-            if anchors:
-                linked += len(parts[-1].strip())
+            made.text(page[at : m.start()])
         at = m.end()
-        name = m["name"]
-        if name is None:
-            continue
-        name, end = name.lower(), bool(m["end"])
-        if name in BLOCKS:
-            flush()
-        if barred:
-            if name == barred and name not in VOID:
-                depth += -1 if end else 1
-            elif barred == "head" and name == "body":
-                depth = 0
-            if not depth:
-                flush()
-                barred = ""
-        elif not end and name not in VOID and _is_furniture(name, m["rest"]):
-            flush()
-            barred, depth = name, 1
-        elif name == "a":
-            anchors = 0 if end else 1
-        elif name in ("article", "main"):
-            articles = max(0, articles + (-1 if end else 1))
-            marked = True
+        if m["name"] is not None:
+            made.tag(m["name"].lower(), bool(m["end"]), m["rest"])
     if at < len(page):
-        parts.append(page[at:])
-    flush()
-    return lines, marked
+        made.text(page[at:])
+    made.flush()
+    return made.lines, made.marked
+
+
+def weights(lines: list[tuple[str, int, bool]]) -> list[int]:
+    """What each line weighs."""
+    texts = [i for i, (_, kind, _) in enumerate(lines) if kind != EMPTY]
+    alone = set()
+    for before, i, after in zip(texts, texts[1:], texts[2:], strict=False):
+        if after == before + 2 and lines[before][1] == PROSE == lines[after][1]:
+            alone.add(i)
+    out = []
+    for i, (text, kind, inside) in enumerate(lines):
+        n = len(text) if kind == PROSE or i in alone or (inside and kind == LINKS) else 0
+        out.append(RAISE * (n + SURGE) + 1 if inside and n else n)
+    return out
+
+
+def between_surge_and_dive(weighed: list[int], surge: int) -> list[int]:
+    """The places of the lines that are kept."""
+    padded = [*weighed, *[0] * WINDOW]
+    sums = sum(padded[:WINDOW])
+    kept: list[int] = []
+    blocks: list[list[int]] = [[]]
+    surged = False
+    for i, weight in enumerate(weighed):
+        if not sums:
+            surged = False
+            blocks.append([])
+        elif weight:
+            surged = surged or sums > surge
+            blocks[-1].append(i)
+            if surged:
+                kept.append(i)
+        sums += padded[i + WINDOW] - weight
+    return kept or max(blocks, key=lambda b: sum(weighed[i] for i in b))
 
 
 def main_text(page: str | None) -> str:
     """The text between the surge and dive points of a page."""
     lines, marked = lines_of(page or "")
-    sizes = [(n + SURGE if inside else 0) if marked and n else n for _, n, inside in lines]
-    kept, inside_run, run = [], False, []
-    sums = sum(sizes[: WINDOW - 1])
-    tail = [*sizes, *[0] * WINDOW]
-    for i, size in enumerate(sizes):
-        sums += tail[i + WINDOW - 1]
-        if not inside_run and sums > SURGE and size:
-            inside_run = True
-        elif inside_run and not sums:
-            inside_run = False
-        if inside_run and size:
-            run.append(i)
-        sums -= size
-    kept = [lines[i][0] for i in run]
-    return " ".join(kept)
+    return " ".join(lines[i][0] for i in between_surge_and_dive(weights(lines), RAISE * SURGE if marked else SURGE))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

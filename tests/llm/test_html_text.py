@@ -1,8 +1,10 @@
 from html import unescape
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from notemill.llm.html_text import extract_pages, main_text
+from notemill.llm.html_text import SURGE, WINDOW, between_surge_and_dive, extract_pages, lines_of, main_text, weights
 from notemill.llm.queries import op3_line_block_extraction
 
 LONG = "Some words that a reader would read, at length and with care, in a paragraph of its own here."
@@ -13,7 +15,7 @@ LONG = "Some words that a reader would read, at length and with care, in a parag
     [
         (None, ""),
         ("", ""),
-        ("no markup but far too short", ""),
+        ("no markup and short", "no markup and short"),
         (f"<article><h1>Title &amp; more</h1><p>a</p><p>b\n  c&nbsp;d</p></article><footer>{LONG}</footer>", "Title & more a b c d"),
         (f"<div><a href=x>Home</a></div><p>{LONG}</p><p>End.</p><div class='comments'><p>{LONG}</p></div>", f"{LONG} End."),
         (f"<nav>{LONG}</nav><p>{LONG}</p><script>var x='</p><p>{LONG}';</script><style>p{{}}</style><!-- {LONG} -->", LONG),
@@ -21,12 +23,54 @@ LONG = "Some words that a reader would read, at length and with care, in a parag
         (f"<article>one<b>two</b><aside>{LONG}</aside><p>three", "onetwo three"),
         ("<article>" + "<p>x</p>" * 3 + "<nav>" + "<li>m</li>" * 9 + "</nav>" + "<p>y</p></article>", "x x x y"),
         (f"<div id=cookie-notice>{LONG}</div><main><p>&lt;tag&gt; &#233;&#xe9;</p></main>", "<tag> éé"),
+        # End tags that are left out.
+        (f'<p class="share">x<p>{LONG}', LONG),
+        (f"<ul><li class=nav>x<li>{LONG}</ul><p>{LONG}", f"{LONG} {LONG}"),
+        (f"<div><p class=ad>x</div><p>{LONG}", LONG),
+        (f"<table><tr><td class=sidebar>{LONG}<td>{LONG}<tr><td>y</table>", f"{LONG} y"),
+        (f"<p><a href=x>open link</p><p>{LONG}</p>", LONG),
+        # Captions, paragraphs of one link and classes that only hint at furniture, in an article.
+        (f"<article><p class='related'>{LONG}</p><p class=share>x</p><figure><figcaption>cap</figcaption></figure><p><a href=x>one link</a></p></article>", f"{LONG} cap one link"),
+        (f"<p>{LONG}</p><p><a href=x>a linked line between prose</a></p><p>{LONG}</p>", f"{LONG} a linked line between prose {LONG}"),
+        # Without an article tag: what lies beyond a dive and does not surge goes.
+        (f"<div><p>Site name</p></div></div><div><div><p>{LONG}</p><p>Two.</p></div></div><div><p>All rights reserved</p></div>", f"{LONG} Two."),
+        ("<div><p>A short article of few words.</p><p>Its end.</p></div></div><div><div><p>Made by me</p></div>", "A short article of few words. Its end."),
+        # With one: text beside it must be denser than the article's own by far, so the tag alone decides neither way.
+        (f"<article><p>The beginning.</p></article><div><p>{LONG}</p></div>", "The beginning."),
+        (f"<article><p>The beginning.</p></article><div><p>{LONG * 5}</p></div>", f"The beginning. {LONG * 5}"),
     ],
 )
 def test_pages(page, text):
     assert main_text(page) == text
 
 
+def brute_force(weighed, surge):
+    """Every place is looked at by itself, with sums made anew."""
+    total = lambda i: sum(weighed[i : i + WINDOW])
+    dives = [i for i in range(len(weighed)) if total(i) == 0]
+    since = lambda i: max([d for d in dives if d <= i], default=-1) + 1
+    kept = [i for i, w in enumerate(weighed) if w and any(weighed[j] and total(j) > surge for j in range(since(i), i + 1))]
+    if kept:
+        return kept
+    blocks = [[i for i, w in enumerate(weighed) if w and since(i) == s] for s in sorted({since(i) for i in range(len(weighed))})]
+    return max(blocks, key=lambda b: sum(weighed[i] for i in b), default=[])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 5, 30, 45, 81, 200]), max_size=25))
+def test_surge_and_dive_against_brute_force(weighed):
+    assert between_surge_and_dive(weighed, SURGE) == brute_force(weighed, SURGE)
+
+
+def test_pages_without_their_article_tag(spark, sf):
+    """The same pages, bare of the tag: the windows alone find all that is long, and no furniture."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        bare = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        lines, marked = lines_of(bare)
+        kept = between_surge_and_dive(weights(lines), SURGE)
+        assert not marked and main_text(bare) == main_text(r.html) and kept == brute_force(weights(lines), SURGE)
+
+
 def test_query_against_the_article_itself(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     out = op3_line_block_extraction(spark, sf).collect()
@@ -42,7 +86,7 @@ def test_query_against_the_article_itself(spark, sf):
 def test_odd_rows(spark):
     schema = "page_id long, url string, html string, text string"
     long = f"<article>{'<p>word</p>' * 50000}</article>"
-    rows = [(1, None, None, "clash"), (None, "u", "", None), (2, "u", long, None), (2, "u", long, None), (3, "u", "<" * 5000 + "<p '" * 2000, None)]
+    rows = [(1, None, None, "clash"), (None, "u", "", None), (2, "u", long, None), (2, "u", long, None), (3, "u", "<" * 5000 + "<p '" * 2000, None), (4, "u", f"<nav>{LONG}</nav>", None)]
     out = extract_pages(spark.createDataFrame(rows, schema)).collect()
-    assert [r.n_chars for r in out][:4] == [0, 0, 249999, 249999]
+    assert [r.n_chars for r in out][:4] == [0, 0, 249999, 249999] and out[5].text == ""
     assert extract_pages(spark.createDataFrame([], schema)).count() == 0
