@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Numbers that are added up at a time by sums_before.
+RUN = 256
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, however often body uses it."""
@@ -18,6 +21,23 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def sums_before(sizes: Column) -> Column:
+    """array<int>: for each size the sum of all before it.
+
+    Sums are made over runs of RUN sizes first, so the work grows with their number and not
+    with its square, and no array is copied while it grows.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    run = lambda i: F.floor(i / RUN).cast("int")
+
+    def each(s: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), run(F.size(s))), lambda r: total(F.slice(s, r * RUN + 1, RUN)))
+        before = let(runs, lambda t: F.transform(t, lambda _, r: total(F.slice(t, F.lit(1), r))))
+        return let(before, lambda t: F.transform(s, lambda _, i: F.get(t, run(i)) + total(F.slice(s, run(i) * RUN + 1, i % RUN))))
+
+    return let(sizes, each)
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start int, hit string>>: where a pattern that never matches the empty string hits, in code points.
 
@@ -27,15 +47,12 @@ def matches(text: Column, pattern: str | Column) -> Column:
     hits = F.regexp_extract_all(text, regex, F.lit(0))
     gaps = F.transform(F.split(text, regex, -1), lambda s: F.length(s))
     empty = F.array().cast("array<struct<start:int,hit:string>>")
-    folded = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-            F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["hit"].alias("hit")))).alias("found"),
-        ),
-    )
-    return F.when(F.rlike(text, regex), folded["found"]).otherwise(empty)
+
+    def placed(x: Column) -> Column:
+        sizes = F.transform(x["hits"], lambda h, i: F.get(x["gaps"], i) + F.length(h))
+        return let(sums_before(sizes), lambda at: F.transform(x["hits"], lambda h, i: F.struct((F.get(at, i) + F.get(x["gaps"], i)).alias("start"), h.alias("hit"))))
+
+    return F.when(F.rlike(text, regex), let(F.struct(hits.alias("hits"), gaps.alias("gaps")), placed)).otherwise(empty)
 
 
 def normalised(text: Column) -> Column:
@@ -70,16 +87,14 @@ def main_content(text: Column) -> Column:
 
 def body_without_rules(text: Column) -> Column:
     """The body after front matter, where every --- line goes (kept text starts after the first pair, or at once without one)."""
-    start = F.struct(F.lit(0).alias("rules"), F.array().cast("array<string>").alias("kept"))
-    folded = F.aggregate(
-        F.split(text, "\n"),
-        start,
-        lambda a, x: F.struct(
-            (a["rules"] + F.when(strip(x) == "---", 1).otherwise(0)).alias("rules"),
-            F.when((strip(x) == "---") | (a["rules"] == 1), a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"),
-        ),
-    )
-    return F.array_join(folded["kept"], "\n")
+    is_rule = lambda x: strip(x) == "---"
+
+    def kept(lines: Column) -> Column:
+        rules = F.filter(F.transform(lines, lambda x, i: F.when(is_rule(x), i)), lambda i: i.isNotNull())
+        between = lambda i, r: F.coalesce((i > F.get(r, F.lit(0))) & (i < F.coalesce(F.get(r, F.lit(1)), i + 1)), F.lit(False))
+        return let(rules, lambda r: F.filter(lines, lambda x, i: ~is_rule(x) & ~between(i, r)))
+
+    return F.array_join(let(F.split(text, "\n"), kept), "\n")
 
 
 def description(text: Column) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -63,3 +64,27 @@ def test_similarities(spark):
         x, y = norm(r.a), norm(r.b)
         both = len(x & y)
         assert r.j == (both / len(x | y) if x and y else 0) and r.o == (both / min(len(x), len(y)) if x and y else 0)
+
+
+def test_places_of_many_matches(spark):
+    rng = random.Random(1)
+    texts = ["", "a", "é👍 ab 👍ab", *("".join(rng.choice("ab x👍") for _ in range(rng.randrange(60))) for _ in range(40)), *("ab " * n for n in (255, 256, 257, 3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", t.matches(F.col("x"), "ab+").alias("m")).collect()
+    for r in rows:
+        assert [(m.start, m.hit) for m in r.m] == [(m.start(), m[0]) for m in re.finditer("ab+", texts[r.i])]
+
+
+def test_body_without_rules(spark):
+    def body(x):
+        rules, kept = 0, []
+        for line in x.split("\n"):
+            if line.strip() == "---":
+                rules += 1
+            elif rules != 1:
+                kept.append(line)
+        return "\n".join(kept)
+
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(["---", " --- ", "a", "", "b"]) for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", t.body_without_rules(F.col("x")).alias("b")).collect()
+    assert all(r.b == body(texts[r.i]) for r in rows)
