@@ -1,14 +1,21 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are assignments to a name that says secret, private-key blocks, tokens of a
-known form and long runs of key characters that hold a digit. Each gets features of its length, its character transitions, how much
-of it common words cover, whether it looks like part of a path, and the words beside it.
-A random forest, trained in numpy from labelled findings, gives the probability that it is
-a secret; the trained trees are compiled into one expression, so scanning is a single
+known form and long runs of key characters that hold a digit, of any length. Each gets
+features of its length, its character transitions (the mean log-odds of its pairs of
+neighbouring characters in secrets against others, learned from labelled findings), how
+much of it common words cover, whether it looks like part of a path, and the words beside
+it. A random forest, trained in numpy from labelled findings, gives the probability that
+it is a secret; the trained trees are compiled into one expression, so scanning is a single
 pass of DataFrame functions over the texts, without a shuffle.
 
+A text is cut once into its candidates and what stands between them. What is beside a
+candidate comes from the few pieces next to it, and places are sums over those before, so
+the cost grows with the text and with the number of candidates, not with its square.
+
 Labelled findings are a small table (before, value, after, label); labelled_findings()
-makes the one shipped with the library. Its size (FINDINGS) does not follow the data.
+makes the one shipped with the library. Its size (FINDINGS) does not follow the data. The
+transitions are learned from half of it and the forest from the other half.
 
 Defined cases: a null or empty text has no findings and stays as it is; repeated rows
 give repeated findings; candidates do not overlap, the leftmost wins; an empty table
@@ -26,11 +33,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notemill.functions.text import let, sums_before
+
 TREES = 15
 DEPTH = 6
-FINDINGS = 1600
+FINDINGS = 3200
 SECRET = 0.5
+#: Characters beside a candidate that its features see, and pieces of text that surely hold so many.
 BESIDE = 48
+PIECES = 6
 MASK = "[SECRET]"
 
 # What names a secret, what names something harmless, and common filler words.
@@ -41,39 +52,51 @@ WORDS = (
     "manager|handler|factory|component|request|response|session|database|table|column|function|method|class|object|string|number|image|file|path|page|post|article|content|update|create|delete|build|assets|static|"
     "public|private|local|server|client|admin|data|time|date|year|month|week|this|that|with|from|have|and|the|for"
 )
-BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le"
 
 # The start of tokens that are known by their form; they may stand behind any sign.
 KNOWN = (
-    r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|[rs]k_(?:live|test)_[A-Za-z0-9]{10,}|sk-(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{20,}|"
-    r"xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{16,}){2}|hooks\.slack\.com/services/[A-Za-z0-9/]{16,})"
+    r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|[rs]k_(?:live|test)_[A-Za-z0-9]{10,}|"
+    r"xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|hooks\.slack\.com/services/[A-Za-z0-9/]{16,})"
+    r"|(?<![A-Za-z0-9_-])(?:sk-(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{16,}){2})"
 )
+# Whole key blocks of any length, with header lines where there are any.
 BLOCK = (
-    r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr]){0,4}(?:[A-Za-z][A-Za-z-]{0,30}: [^\r\n\\]{0,200}(?:[\r\n]|\\[nr]){1,4}){0,8}"
-    r"[A-Za-z0-9+/=\\\s]{0,65536}-----END [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+    r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr])*+(?:[A-Za-z][A-Za-z-]*+: [^\r\n\\]*+(?:[\r\n]|\\[nr])++)*+"
+    r"[A-Za-z0-9+/=\\\s]*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 )
-NAMED = rf"(?i:{NAMING})[A-Za-z0-9_-]{{0,32}}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
+NAMED = rf"(?i:{NAMING})[A-Za-z0-9_-]{{0,32}}+[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
 KEYED = rf"{NAMED}(?:{BLOCK}|[^\s\"',;<>]{{8,}})"
 # A run that is the name of an assignment leaves its place to KEYED.
-RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]{{0,64}}[0-9])(?=[A-Za-z0-9+/_-]{{16}})(?![A-Za-z0-9_-]{{0,64}}?{NAMED}[^\s\"',;<>]{{8}})[A-Za-z0-9+/_-]{{16,}}(?:\.[A-Za-z0-9_-]{{16,}}){{0,2}}={{0,2}}"
+RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Za-z0-9+/_-]{{16}})(?![A-Za-z0-9_-]*?{NAMED}[^\s\"',;<>]{{8}})[A-Za-z0-9+/_-]{{16,}}+(?:\.[A-Za-z0-9_-]{{16,}}+){{0,2}}={{0,2}}"
 CANDIDATE = f"{BLOCK}|{KEYED}|{KNOWN}|{RUN}"
 
-FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "bigrams", "distinct", "hex_only", "digits_only", "covered", "slashes", "path_before", "dashes", "named", "harmless", "harmless_after", "block", "known")
+#: Letters, a digit and any other sign: what transitions are counted between.
+SIGNS_TOLD = 28
+FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "transitions", "distinct", "hex_only", "digits_only", "covered", "slashes", "path_before", "dashes", "named", "harmless", "harmless_after", "block", "known")
+
 
+def pair_codes(value: Column) -> Column:
+    """array<int>: a number below SIGNS_TOLD squared for each pair of neighbouring characters."""
+    code = lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97).when(c.between("0", "9"), 26).otherwise(27)
+    codes = F.transform(F.filter(F.split(F.lower(value), ""), lambda c: c != ""), code)
+    return let(codes, lambda k: F.transform(F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))), lambda c, i: F.get(k, i) * SIGNS_TOLD + c))
 
-def features(before: Column, value: Column, after: Column) -> list[Column]:
-    """The doubles of FEATURES, in their order."""
+
+def features(before: Column, value: Column, after: Column, odds: np.ndarray) -> list[Column]:
+    """The doubles of FEATURES, in their order; odds is the log-odds of each pair (see transitions)."""
     low = F.lower(value)
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     count = lambda x, p: F.regexp_count(x, F.lit(p)).cast("double")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    table = F.array(*[F.lit(float(x)) for x in odds])
+    odd = let(pair_codes(value), lambda k: F.aggregate(k, F.lit(0.0), lambda a, c: a + F.get(table, c)) / F.greatest(F.size(k), F.lit(1)))
     return [
         F.least(n, F.lit(256.0)),
         count(value, "[0-9]") / n,
         count(value, "[A-Z]") / n,
         count(value, "(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]") / n,
         count(value, "(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]") / n,
-        count(low, BIGRAMS) / n,
+        odd,
         F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
         flag(value.rlike("^[0-9a-fA-F]+$")),
         flag(value.rlike("^[0-9_-]+$")),
@@ -110,12 +133,14 @@ def secret_values(rng: random.Random) -> tuple[str, ...]:
         "sk-" + pick(alnum, rng.choice((24, 48))),
         "eyJ" + pick(url, 20) + "." + pick(url, 40) + "." + pick(url, 43),
         pick(alnum + "!@#$%^&*", rng.randrange(10, 20)),
-        "-----BEGIN PRIVATE KEY-----\n" + pick(B64, 200) + "\n-----END PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----\n" + pick(B64, rng.choice((200, 1600))) + "\n-----END PRIVATE KEY-----",
         "sk_live_" + pick(alnum, 24),
         "AIza" + pick(url, 35),
         "hooks.slack.com/services/T" + pick(string.ascii_uppercase + string.digits, 8) + "/B" + pick(string.ascii_uppercase + string.digits, 8) + "/" + pick(alnum, 24),
         "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick("0123456789ABCDEF", 32) + "\n\n" + body(4) + "\n-----END RSA PRIVATE KEY-----",
         "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2.0.22 (GNU/Linux)\n\n" + body(4) + "\n=" + pick(B64, 4) + "\n-----END PGP PRIVATE KEY BLOCK-----",
+        # Letters and digits apart, as in keys that were typed or made in groups.
+        "".join(pick(string.digits, 10) + pick("abcdef", rng.choice((6, 10))) for _ in range(rng.choice((2, 3)))),
     )
 
 
@@ -134,7 +159,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
         name = rng.choice(NAMES if kind in FORMED else NAMES[:SAYING])
         if kind in FORMED and rng.random() < 0.5:
             return prose() + rng.choice(("", "", "", "https://", "https://" + word() + ".com/api?key=", "https://" + word() + ".com/")), values[kind]
-        return prose() + name + rng.choice(SIGNS), values[kind]
+        # A harmless word somewhere before the name says nothing about what the name says.
+        aside = rng.choice(("in the file ", "version 2: ", "for the build ", "order it by path, ")) if rng.random() < 0.3 else ""
+        return prose() + aside + name + rng.choice(SIGNS), values[kind]
 
     def other() -> tuple[str, str]:
         kind = rng.randrange(15)
@@ -200,22 +227,42 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = DE
     return node
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None, seed: int = 3) -> list[Node]:
+@dataclass
+class Forest:
+    """Trained trees, and the log-odds of pairs of characters that one of their features is made of."""
+
+    trees: list[Node]
+    odds: np.ndarray
+
+
+def transitions(pairs: list[list[int]], labels: np.ndarray) -> np.ndarray:
+    """For each pair of characters the log of how much more often it stands in secrets than in other findings, one occurrence added to each."""
+    seen = np.ones((2, SIGNS_TOLD * SIGNS_TOLD))
+    for own, label in zip(pairs, labels.astype(int), strict=True):
+        np.add.at(seen[label], own, 1)
+    share = seen / seen.sum(axis=1, keepdims=True)
+    return np.log(share[1] / share[0])
+
+
+def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None, seed: int = 3) -> Forest:
     """The forest from labelled findings; their features come from the same expressions as in the scan."""
     rows = labelled_findings() if findings is None else findings
-    table = spark.createDataFrame(rows, "before string, value string, after string, label int")
-    made = table.select("label", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("before"), F.col("value"), F.col("after")), strict=True)]).toArrow()
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "before string, value string, after string, label int, i int")
+    # Findings i and i + 1 are of both kinds in turn, so half of each kind teaches the transitions and half the forest.
+    learned = table.where("i % 4 < 2").select("label", pair_codes(F.col("value")).alias("pairs")).toArrow()
+    odds = transitions(learned.column("pairs").to_pylist(), np.asarray(learned.column("label")))
+    made = table.where("i % 4 >= 2").orderBy("i").select("label", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("before"), F.col("value"), F.col("after"), odds), strict=True)]).toArrow()
     y = np.asarray(made.column("label"), dtype=float)
     x = np.column_stack([np.asarray(made.column(n), dtype=float) for n in FEATURES])
     rng = np.random.default_rng(seed)
-    forest = []
+    trees = []
     for _ in range(TREES):
         own = rng.integers(0, len(y), len(y))
-        forest.append(grow(x[own], y[own], rng))
-    return forest
+        trees.append(grow(x[own], y[own], rng))
+    return Forest(trees, odds)
 
 
-def probability(forest: list[Node], f: list[Column]) -> Column:
+def probability(forest: Forest, f: list[Column]) -> Column:
     """The mean share of the leaves that a candidate reaches."""
 
     def of(node: Node) -> Column:
@@ -223,60 +270,74 @@ def probability(forest: list[Node], f: list[Column]) -> Column:
             return F.lit(node.share)
         return F.when(f[node.feature] <= node.at, of(node.low)).otherwise(of(node.high))
 
-    return sum((of(t) for t in forest[1:]), of(forest[0])) / len(forest)
+    return sum((of(t) for t in forest.trees[1:]), of(forest.trees[0])) / len(forest.trees)
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start int, hit string>>: the candidates of a text, start from 0 in code points.
+def cut_up(text: Column) -> Column:
+    """struct<hits array<string>, gaps array<string>>: the candidates of a text and what stands before, between and behind them."""
+    return F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split(text, CANDIDATE, -1).alias("gaps"))
 
-    What stands between the hits gives their places: a hit starts after all texts between
-    up to it and all earlier hits.
-    """
-    pattern = F.lit(CANDIDATE)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    empty = F.array().cast("array<struct<start:int,hit:string>>")
-    folded = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda b, h: F.struct(F.length(b).alias("gap"), h.alias("hit"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["hit"])).alias("at"), F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["hit"].alias("hit")))).alias("found")),
-    )
-    return F.when(text.rlike(CANDIDATE), folded["found"]).otherwise(empty)
-
-
-def findings(text: Column, forest: list[Node]) -> Column:
-    """array<struct<start, length, kind, value, score, is_secret>> of a text."""
 
-    def placed(c: Column) -> Column:
-        value = F.regexp_replace(c["hit"], rf"^{NAMED}(?=[^\s\"',;<>]{{8}})", "")
-        kind = F.when(value.startswith("-----BEGIN"), "private_key").when(F.length(value) < F.length(c["hit"]), "assignment").otherwise("run")
-        return F.struct((c["start"] + F.length(c["hit"]) - F.length(value)).alias("start"), value.alias("value"), kind.alias("kind"))
+def judged(pieces: Column, forest: Forest) -> Column:
+    """array<struct<name, value, kind, score>> of the candidates of a text that was cut up: name is what an assignment has before its value."""
 
-    def judged(c: Column) -> Column:
-        begin = F.greatest(c["start"] - BESIDE, F.lit(0))
-        before = F.substring(text, begin + 1, c["start"] - begin)
-        after = F.substring(text, c["start"] + F.length(c["value"]) + 1, F.lit(BESIDE))
-        return F.struct(c["start"].alias("start"), c["value"].alias("value"), c["kind"].alias("kind"), F.array(*features(before, c["value"], after)).alias("f"))
+    def named(hit: Column) -> Column:
+        value = F.regexp_replace(hit, rf"^{NAMED}(?=[^\s\"',;<>]{{8}})", "")
+        return F.struct(F.substring(hit, F.lit(1), F.length(hit) - F.length(value)).alias("name"), value.alias("value"))
 
-    def scored(c: Column) -> Column:
-        score = probability(forest, [F.get(c["f"], F.lit(i)) for i in range(len(FEATURES))])
-        return F.struct(c["start"].alias("start"), c["value"].alias("value"), c["kind"].alias("kind"), score.alias("score"))
-
-    found = F.transform(F.transform(F.transform(candidates(text), placed), judged), scored)
-    return F.transform(
-        found,
-        lambda c: F.struct(
-            c["start"].cast("long").alias("start"),
-            F.length(c["value"]).cast("long").alias("length"),
-            c["kind"].alias("kind"),
-            c["value"].alias("value"),
-            c["score"].alias("score"),
-            (c["score"] >= SECRET).alias("is_secret"),
-        ),
+    # Only the ends of a piece can stand beside a candidate; the pieces next to it hold BESIDE characters, as no candidate is shorter than 8.
+    last = lambda x: F.substring(x, -BESIDE, BESIDE)
+    first = lambda x: F.substring(x, 1, BESIDE)
+    ends = lambda p: F.struct(
+        p["hits"].alias("hits"),
+        F.transform(p["hits"], lambda h, i: F.concat(last(F.get(p["gaps"], i)), last(h))).alias("before"),
+        F.transform(p["hits"], lambda h, i: F.concat(first(h), first(F.get(p["gaps"], i + 1)))).alias("after"),
+        F.transform(p["gaps"], last).alias("gap_before"),
+        F.transform(p["gaps"], first).alias("gap_after"),
     )
 
+    def beside(e: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            low = F.greatest(i - PIECES, F.lit(0))
+            ahead = F.concat(F.array_join(F.slice(e["before"], low + 1, i - low), ""), F.get(e["gap_before"], i))
+            behind = F.concat(F.get(e["gap_after"], i + 1), F.array_join(F.slice(e["after"], i + 2, PIECES), ""))
+            return let(named(h), lambda v: F.struct(v["name"].alias("name"), v["value"].alias("value"), last(F.concat(ahead, v["name"])).alias("before"), first(behind).alias("after")))
+
+        return F.transform(e["hits"], one)
 
-def scan_documents(docs: DataFrame, forest: list[Node] | None = None) -> DataFrame:
+    def scored(c: Column) -> Column:
+        kind = F.when(c["value"].startswith("-----BEGIN"), "private_key").when(c["name"] != "", "assignment").otherwise("run")
+        f = F.array(*features(c["before"], c["value"], c["after"], forest.odds))
+        score = let(f, lambda x: probability(forest, [F.get(x, F.lit(i)) for i in range(len(FEATURES))]))
+        return F.struct(c["name"].alias("name"), c["value"].alias("value"), kind.alias("kind"), score.alias("score"))
+
+    return F.transform(let(let(pieces, ends), beside), scored)
+
+
+def findings(text: Column, forest: Forest) -> Column:
+    """array<struct<start, length, kind, value, score, is_secret>> of a text, start from 0 in code points."""
+
+    def placed(p: Column) -> Column:
+        gaps = F.transform(p["gaps"], lambda g: F.length(g))
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(p["hits"])), p["hits"], lambda g, h: g + F.length(h))
+        starts = F.zip_with(sums_before(sizes), F.slice(gaps, 1, F.size(p["hits"])), lambda a, g: a + g)
+        return F.zip_with(
+            starts,
+            judged(p, forest),
+            lambda at, c: F.struct(
+                (at + F.length(c["name"])).cast("long").alias("start"),
+                F.length(c["value"]).cast("long").alias("length"),
+                c["kind"].alias("kind"),
+                c["value"].alias("value"),
+                c["score"].alias("score"),
+                (c["score"] >= SECRET).alias("is_secret"),
+            ),
+        )
+
+    return let(cut_up(text), placed)
+
+
+def scan_documents(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """(doc_id, start, length, kind, value_sha256, score, is_secret): one row per candidate."""
     forest = train(docs.sparkSession) if forest is None else forest
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(CANDIDATE))
@@ -284,21 +345,19 @@ def scan_documents(docs: DataFrame, forest: list[Node] | None = None) -> DataFra
     return rows.select("doc_id", "f.start", "f.length", "f.kind", F.sha2("f.value", 256).alias("value_sha256"), "f.score", "f.is_secret")
 
 
-def redact(docs: DataFrame, forest: list[Node] | None = None) -> DataFrame:
-    """The documents with every secret replaced by MASK; n_chars, where there is one, follows the text."""
+def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """The documents with every secret replaced by MASK; n_chars, where there is one, follows a changed text."""
     forest = train(docs.sparkSession) if forest is None else forest
     text = F.col("text")
-    spans = F.filter(findings(text, forest), lambda c: c["is_secret"])
-    folded = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, c: F.struct((c["start"] + c["length"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (c["start"] - a["at"]).cast("int")), F.lit(MASK)).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.length(text))),
-    )
-    changed = docs.withColumn("text", F.when(text.rlike(CANDIDATE), folded).otherwise(text))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+
+    def masked(p: Column) -> Column:
+        shown = F.transform(judged(p, forest), lambda c: F.concat(c["name"], F.when(c["score"] >= SECRET, F.lit(MASK)).otherwise(c["value"])))
+        return F.concat(F.array_join(F.zip_with(F.slice(p["gaps"], 1, F.size(p["hits"])), shown, lambda g, s: F.concat(g, s)), ""), F.element_at(p["gaps"], -1))
+
+    new = "_masked_text"
+    changed = docs.withColumn(new, F.when(text.rlike(CANDIDATE), let(cut_up(text), masked)).otherwise(text))
+    length = lambda c: F.when(F.col(new) != text, F.length(new).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    return changed.select(*[F.col(new).alias(c) if c == "text" else length(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def digest(value: str) -> str:
