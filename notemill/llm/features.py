@@ -21,6 +21,12 @@ def bounded_sample(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return rows.orderBy(F.xxhash64(key), *rows.columns).limit(n)
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text): one row for each row of a bounded sample that docs has, with the text that sorts first, however often the keys occur."""
+    met = docs.select(*keys, "text").join(F.broadcast(sample.distinct()), list(keys))
+    return met.groupBy(*sample.columns).agg(F.min("text").alias("text"))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 

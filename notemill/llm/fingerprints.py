@@ -20,8 +20,8 @@ the needed beginnings once more.
 Everything is DataFrame expressions. Defined cases: a null text is empty; a text without
 words has fingerprint 0; with a single doc_id the next document is the document itself;
 of rows that share a doc_id the one whose beginning (then fingerprint) sorts first is the
-neighbour's next text; a row with a null doc_id has no next document, so its edited text
-only loses its last third and near_next is null; an empty table gives an empty result;
+neighbour's next text; a row with a null doc_id is followed by the empty document, so its edited
+text only loses its last third and near_next is the likeness to fingerprint 0; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -145,5 +145,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         as_hex(F.col("fp")).alias("fingerprint"),
         as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.coalesce("next_fp", F.lit(0).cast("long"))).alias("near_next"),
     )

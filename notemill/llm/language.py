@@ -7,12 +7,12 @@ leaves most of them at exactly 0. A temperature, found by golden-section search
 documents of the sample that the weights have not seen, calibrates the probabilities.
 
 Model and document frequencies are fitted on a bounded sample of rows with a language
-(TRAIN_ROWS, those with the least hash of doc_id), never on held-out ones; every
-document's whole text is predicted.
+(TRAIN_ROWS, those with the least hash of doc_id, each doc_id and language once with the
+text that sorts first), never on held-out ones; every document's whole text is predicted.
 
 Defined cases: a null text and one without a letter are `und` with score 0; without
 learned languages everything is; a null lang is not learned from; repeated rows get equal
-predictions; an empty table gives an empty result; other columns are ignored.
+predictions; of languages that are equally likely the one that sorts first is predicted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.features import bounded_sample, char_grams, code_points, held_out, pieces
+from notemill.llm.features import bounded_sample, char_grams, code_points, held_out, pieces, sampled_texts
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -142,8 +142,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from at most so many documents with a language, outside the held-out fifth."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = bounded_sample(known.select("doc_id", "lang"), rows).distinct()
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
+    texts = sampled_texts(docs, bounded_sample(known.select("doc_id", "lang"), rows), "doc_id", "lang").select("text", "lang")
     found = texts.mapInArrow(_count_batches, "buckets binary, counts binary, lang string").toArrow()
     data = [(np.frombuffer(b, "<i4"), np.frombuffer(n, "<i4"), y) for b, n, y in zip(*(c.to_pylist() for c in found.columns), strict=True)]
     data.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes(), r[2]))

@@ -8,11 +8,13 @@ trains both layers. As the output is linear in the average, scoring needs only e
 bucket's projection on the softmax weights.
 
 The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS, those with the least
-hash of doc_id), never on held-out ones; every document's whole text is scored.
+hash of doc_id, each with the text that sorts first), never on held-out ones; every
+document's whole text is scored.
 
 Defined cases: a null text is empty; an empty text gets the score of the bias alone;
 without labelled rows every score is 0.5; a document labelled twice takes the smaller
-label; repeated rows get equal scores; an empty table gives an empty result; other columns
+label; repeated rows get equal scores; a score of exactly ACCEPT
+is predicted 1; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.features import bounded_sample, char_grams, code_points, held_out, mixed, pieces, word_hashes
+from notemill.llm.features import bounded_sample, char_grams, code_points, held_out, mixed, pieces, sampled_texts, word_hashes
 
 BITS = 17
 DIM = 16
@@ -108,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     """Trains on at most so many labelled documents outside the held-out fifth."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     sample = bounded_sample(known, rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    texts = sampled_texts(docs, sample, "doc_id").select("text", "label")
     found = texts.mapInArrow(_count_batches, "buckets binary, counts binary, label int").toArrow()
     data = [(np.frombuffer(b, "<i4"), np.frombuffer(n, "<i4"), y) for b, n, y in zip(*(c.to_pylist() for c in found.columns), strict=True)]
     # Rows come in any order; the order of training must not depend on it.

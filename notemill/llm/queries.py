@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from notemill.session import ship
 
-TOKENIZERS = "/opt/tokenizers"
+#: Where the vocabularies are; operators take a file's path as their parameter.
+TOKENIZERS = public_tokenizers.path("").rstrip("/")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +32,13 @@ def op5_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataF
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.pieces import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
