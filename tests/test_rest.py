@@ -1,4 +1,8 @@
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +106,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(re.fullmatch(r"(q|op)\w+|pipeline", n) for n in entry.queries())
+
+
+@pytest.mark.parametrize("gone", [("notemill/llm", "tests/llm"), ("notemill/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_without_llm(tmp_path, gone):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = str(tmp_path / "copy")
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", *[g for g in gone if "/" not in g], "llm" if "notemill/llm" in gone else "-"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
