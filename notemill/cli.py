@@ -68,7 +68,7 @@ def maintain(notes: DataFrame, args: argparse.Namespace) -> None:
     counts = report.task_counts(notes, args.task, args.threshold)
     show(counts, args)
     show(report.health(counts), args)
-    edges = graph.edges(notes, links.wikilinks(notes))
+    edges = graph.edges(notes)
     show(connections.suggestions(graph.orphans(notes, graph.degrees(notes, edges)), notes, edges), args)
 
 

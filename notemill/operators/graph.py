@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notemill.operators.links import all_links
 
-def edges(notes: DataFrame, wikilinks: DataFrame) -> DataFrame:
+
+def edges(notes: DataFrame) -> DataFrame:
     """(src, dst): wiki links between notes with front-matter ids; loops and parallel links stay."""
-    ids = notes.where("fm_id IS NOT NULL").select("path", F.col("fm_id").alias("src"))
-    known = ids.select(F.col("src").alias("dst")).distinct()
-    return wikilinks.select("path", F.col("target").alias("dst")).join(ids, "path").join(known, "dst", "left_semi").select("src", "dst")
+    ids = notes.where("fm_id IS NOT NULL")
+    known = ids.select(F.col("fm_id").alias("dst")).distinct()
+    return all_links(ids, ["wikilink"], "fm_id").select(F.col("fm_id").alias("src"), F.col("target").alias("dst")).join(known, "dst", "left_semi").select("src", "dst")
 
 
 def degrees(notes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.functions.text import body_without_rules, matches, strip
+from notemill.functions.text import body_without_rules, let, matches, strip
 
 # The link grammars of Markdown notes.
 WIKI = r"\[\[([^|\]]+)(?:\|([^\]]+))?\]\]"
@@ -15,9 +17,10 @@ TEMPLATES = (r"\$\{[^}]*\}", r"\{\{[^}]*\}\}", r"<%[^%]*%>", r"<%\*.*?\*%>")
 LINK_TYPES = ("wikilink", "regular_link", "link_reference_definition")
 
 
-def lines(notes: DataFrame) -> DataFrame:
-    """(path, line_number, line): the lines of each body, from 1."""
-    return notes.select("path", F.posexplode(F.split("content", "\n", -1)).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_number"), "line")
+def lines(notes: DataFrame, *carried: str) -> DataFrame:
+    """(path, line_number, line): the lines of each body, from 1; carried columns of the note stand behind path."""
+    each = notes.select("path", *carried, F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
+    return each.select("path", *carried, (F.col("n") + 1).alias("line_number"), "line")
 
 
 def template_spans(line):
@@ -26,17 +29,22 @@ def template_spans(line):
     return F.when(opens, F.concat(*[matches(line, p) for p in TEMPLATES])).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
 
 
-def wikilinks(notes: DataFrame) -> DataFrame:
+def outside_templates(line: Column) -> Column:
+    """array<struct<start, hit>> of the wiki links of a line that do not start in a template expression."""
+    inside = lambda m, z: F.exists(z, lambda x: (m["start"] >= x["start"]) & (m["start"] < x["start"] + F.length(x["hit"])))
+    return let(template_spans(line), lambda z: F.filter(matches(line, WIKI), lambda m: ~inside(m, z)))
+
+
+def wikilinks(notes: DataFrame, *carried: str) -> DataFrame:
     """(path, line_number, column_start, column_end, target, alias): wiki links that do not start in a template expression."""
-    found = lines(notes).where(F.contains("line", F.lit("[["))).select("path", "line_number", template_spans(F.col("line")).alias("z"), F.explode(matches(F.col("line"), WIKI)).alias("m"))
-    start = F.col("m.start")
-    inside = F.exists("z", lambda z: (start >= z["start"]) & (start < z["start"] + F.length(z["hit"])))
+    found = lines(notes, *carried).where(F.contains("line", F.lit("[["))).select("path", *carried, "line_number", F.explode(outside_templates(F.col("line"))).alias("m"))
     alias = strip(F.regexp_extract("m.hit", WIKI, 2))
-    return found.where(~inside).select(
+    return found.select(
         "path",
+        *carried,
         "line_number",
-        start.alias("column_start"),
-        (start + F.length("m.hit")).alias("column_end"),
+        F.col("m.start").alias("column_start"),
+        (F.col("m.start") + F.length("m.hit")).alias("column_end"),
         strip(F.regexp_extract("m.hit", WIKI, 1)).alias("target"),
         F.when(alias != "", alias).alias("alias"),
     )
@@ -55,12 +63,30 @@ def definitions(notes: DataFrame) -> DataFrame:
     return lines(notes).where(line.rlike(DEFINITION)).select("path", "line_number", part(1).alias("id"), part(2).alias("alias"), part(3).alias("target"), part(4).alias("title"))
 
 
-def all_links(notes: DataFrame) -> DataFrame:
-    """(path, kind, target, text, line_number) of the three kinds."""
-    w = wikilinks(notes).select("path", F.lit("wikilink").alias("kind"), "target", F.coalesce("alias", "target").alias("text"), "line_number")
-    r = regular_links(notes).select("path", F.lit("regular_link").alias("kind"), F.col("url").alias("target"), "text", "line_number")
-    d = definitions(notes).select("path", F.lit("link_reference_definition").alias("kind"), "target", F.col("alias").alias("text"), "line_number")
-    return w.unionByName(r).unionByName(d)
+def line_links(line: Column, kinds: Sequence[str] = LINK_TYPES) -> Column:
+    """array<struct<kind, target, text, alias>> of all links of a line; alias is null where the link has none."""
+    one = lambda kind, target, text, alias: F.struct(F.lit(kind).alias("kind"), target.alias("target"), text.alias("text"), alias.alias("alias"))
+
+    def wiki(m: Column) -> Column:
+        target, alias = strip(F.regexp_extract(m["hit"], WIKI, 1)), strip(F.regexp_extract(m["hit"], WIKI, 2))
+        return let(F.struct(target.alias("t"), F.when(alias != "", alias).alias("a")), lambda x: one("wikilink", x["t"], F.coalesce(x["a"], x["t"]), x["a"]))
+
+    none = F.array().cast("array<struct<kind:string,target:string,text:string,alias:string>>")
+    regular = lambda m: one("regular_link", F.regexp_extract(m, REGULAR, 2), F.regexp_extract(m, REGULAR, 1), F.lit(None).cast("string"))
+    bare = strip(line)
+    definition = one("link_reference_definition", F.regexp_extract(bare, DEFINITION, 3), F.regexp_extract(bare, DEFINITION, 2), F.regexp_extract(bare, DEFINITION, 2))
+    found = {
+        "wikilink": F.when(F.contains(line, F.lit("[[")), F.transform(outside_templates(line), wiki)).otherwise(none),
+        "regular_link": F.when(F.contains(line, F.lit("](")), F.transform(F.regexp_extract_all(line, F.lit(REGULAR), F.lit(0)), regular)).otherwise(none),
+        "link_reference_definition": F.when(bare.rlike(DEFINITION), F.array(definition)).otherwise(none),
+    }
+    return F.concat(*[found[k] for k in kinds])
+
+
+def all_links(notes: DataFrame, kinds: Sequence[str] = LINK_TYPES, *carried: str) -> DataFrame:
+    """(path, kind, target, text, line_number, alias) of the kinds asked for, from one pass over the lines."""
+    found = lines(notes, *carried).where(F.contains("line", F.lit("["))).select("path", *carried, "line_number", F.explode(line_links(F.col("line"), kinds)).alias("l"))
+    return found.select("path", *carried, "l.kind", "l.target", "l.text", "line_number", "l.alias")
 
 
 def registry(notes: DataFrame) -> DataFrame:
@@ -70,14 +96,18 @@ def registry(notes: DataFrame) -> DataFrame:
 
 
 def dead_links(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(source_file, link_text, link_type, line_number, target): wiki links without a note and links without an address."""
-    known = (registry(notes) if known is None else known).select(F.col("file_id").alias("target"))
-    w = wikilinks(notes).join(known, "target", "left_anti")
-    text = F.concat(F.lit("[["), "target", F.when(F.col("alias").isNotNull(), F.concat(F.lit("|"), "alias")).otherwise(""), F.lit("]]"))
-    w = w.select(F.col("path").alias("source_file"), text.alias("link_text"), F.lit("wikilink").alias("link_type"), "line_number", "target")
-    r = regular_links(notes).where(strip(F.col("url")) == "")
-    r = r.select(F.col("path").alias("source_file"), F.concat(F.lit("["), "text", F.lit("]("), "url", F.lit(")")).alias("link_text"), F.lit("regular_link").alias("link_type"), "line_number", F.col("url").alias("target"))
-    return w.unionByName(r)
+    """(source_file, link_text, link_type, line_number, target): wiki links without a note and links without an address.
+
+    Both kinds come from one pass. Links without an address meet no id; they are dealt by
+    their note, so that they do not all wait in one task.
+    """
+    known = (registry(notes) if known is None else known).select(F.col("file_id").alias("key"), F.lit(True).alias("known"))
+    wiki = F.col("kind") == "wikilink"
+    found = all_links(notes, ["wikilink", "regular_link"]).where(wiki | (strip(F.col("target")) == ""))
+    found = found.withColumn("key", F.when(wiki, F.col("target")).otherwise(F.col("path"))).join(known, "key", "left").where(~wiki | F.col("known").isNull())
+    as_wiki = F.concat(F.lit("[["), "target", F.when(F.col("alias").isNotNull(), F.concat(F.lit("|"), "alias")).otherwise(""), F.lit("]]"))
+    text = F.when(wiki, as_wiki).otherwise(F.concat(F.lit("["), "text", F.lit("]("), "target", F.lit(")")))
+    return found.select(F.col("path").alias("source_file"), text.alias("link_text"), F.col("kind").alias("link_type"), "line_number", "target")
 
 
 def suggestions(dead: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
@@ -118,16 +148,23 @@ def selected(dead: DataFrame, types: list[str] | None = None, only_with_suggesti
 
 
 def density(notes: DataFrame) -> DataFrame:
-    """(path, words, wiki_links, regular_links, definitions, total_links, unique_targets, density): links for each 100 words."""
+    """(path, words, wiki_links, regular_links, definitions, total_links, unique_targets, density): links for each 100 words.
+
+    All is counted within a note's row; nothing is shuffled.
+    """
     body = body_without_rules(F.col("content"))
-    counted = notes.select("path", F.size(F.filter(F.split(body, r"(?U)\s+"), lambda w: w != "")).alias("words"))
-    kinds = all_links(notes).groupBy("path").agg(
-        F.count_if(F.col("kind") == "wikilink").alias("wiki_links"),
-        F.count_if(F.col("kind") == "regular_link").alias("regular_links"),
-        F.count_if(F.col("kind") == "link_reference_definition").alias("definitions"),
-        F.count_distinct("target").alias("unique_targets"),
+    words = F.size(F.filter(F.split(body, r"(?U)\s+"), lambda w: w != ""))
+    kinds = F.flatten(F.transform(F.filter(F.split("content", "\n", -1), lambda x: F.contains(x, F.lit("["))), lambda x: F.transform(line_links(x), lambda m: F.struct(m["kind"].alias("kind"), m["target"].alias("target")))))
+    of = lambda kind: F.size(F.filter("l", lambda m: m["kind"] == kind)).cast("long")
+    counted = notes.select("path", words.alias("words"), kinds.alias("l"))
+    total = F.size("l").cast("long")
+    return counted.select(
+        "path",
+        "words",
+        of("wikilink").alias("wiki_links"),
+        of("regular_link").alias("regular_links"),
+        of("link_reference_definition").alias("definitions"),
+        F.size(F.array_distinct(F.transform("l", lambda m: m["target"]))).cast("long").alias("unique_targets"),
+        total.alias("total_links"),
+        F.when(F.col("words") > 0, total / F.col("words") * 100).otherwise(0.0).alias("density"),
     )
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    out = counted.join(kinds, "path", "left").select("path", "words", zero("wiki_links"), zero("regular_links"), zero("definitions"), zero("unique_targets"))
-    total = F.col("wiki_links") + F.col("regular_links") + F.col("definitions")
-    return out.select("*", total.alias("total_links"), F.when(F.col("words") > 0, total / F.col("words") * 100).otherwise(0.0).alias("density"))

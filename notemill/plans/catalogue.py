@@ -156,7 +156,7 @@ def q_content_stats(spark, d):
 @query(f"WITH {o.LINKS} SELECT src, target AS dst FROM wiki WHERE target IN (SELECT file_id FROM vault)")
 def q_edges(spark, d):
     notes = adapters.vault(spark, d)
-    return graph.edges(notes, links.wikilinks(notes))
+    return graph.edges(notes)
 
 
 _DEGREES = f"""WITH {o.LINKS}, e AS (SELECT src, target AS dst FROM wiki WHERE target IN (SELECT file_id FROM vault)),
@@ -167,7 +167,7 @@ deg AS (SELECT file_id AS fm_id, coalesce(i.n, 0) AS incoming, coalesce(u.n, 0)
 @query(f"{_DEGREES} SELECT * FROM deg")
 def q_degrees(spark, d):
     notes = adapters.vault(spark, d)
-    return graph.degrees(notes, graph.edges(notes, links.wikilinks(notes)))
+    return graph.degrees(notes, graph.edges(notes))
 
 
 @query(
@@ -176,7 +176,7 @@ SELECT fm_id, incoming, outgoing, round(iso::DOUBLE, 6) AS isolation FROM s WHER
 )
 def q_orphans(spark, d):
     notes = adapters.vault(spark, d)
-    return rounded(graph.orphans(notes, graph.degrees(notes, graph.edges(notes, links.wikilinks(notes)))), "isolation")
+    return rounded(graph.orphans(notes, graph.degrees(notes, graph.edges(notes))), "isolation")
 
 
 @query(f"WITH {o.LINKS} SELECT path, file_id FROM vault v WHERE path NOT IN (SELECT path FROM wiki UNION SELECT path FROM regular) AND NOT EXISTS (SELECT 1 FROM wiki w WHERE w.target = v.file_id AND w.path <> v.path)")
@@ -534,7 +534,7 @@ SELECT fm_id, target_id, round(confidence, 6) AS confidence, rank::INT AS rank F
 )
 def q_suggest_connections(spark, d):
     notes = adapters.vault(spark, d)
-    lonely = graph.degrees(notes, graph.edges(notes, links.wikilinks(notes))).where("incoming + outgoing = 0")
+    lonely = graph.degrees(notes, graph.edges(notes)).where("incoming + outgoing = 0")
     found = connections.shared_tags(lonely, notes)
     rank = F.row_number().over(Window.partitionBy("fm_id").orderBy(F.col("confidence").desc(), "target_id"))
     return rounded(found.withColumn("rank", rank).where("rank <= 5").select("fm_id", "target_id", "confidence", "rank"), "confidence")

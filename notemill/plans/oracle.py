@@ -10,25 +10,25 @@ _LINE = LINE_SQL.format(s="VARCHAR").strip()
 
 #: CTEs: order_notes, part_notes and vault with path, file_id, title, tags, content.
 VAULT = f"""
-items AS (SELECT l_orderkey, l_linenumber, {_LINE} AS line FROM lineitem JOIN part ON l_partkey = p_partkey),
+items AS MATERIALIZED (SELECT l_orderkey, l_linenumber, {_LINE} AS line FROM lineitem JOIN part ON l_partkey = p_partkey),
 fenced AS (SELECT l_orderkey, l_linenumber, CASE
   WHEN l_linenumber = 1 AND l_orderkey % 7 = 0 THEN concat('```', chr(10), line, chr(10), '```')
   WHEN l_linenumber = 2 AND l_orderkey % 11 = 0 THEN concat('```', chr(10), line) ELSE line END AS line FROM items),
-order_notes AS (SELECT concat('vault/orders/order_', o_orderkey, '.md') AS path, concat('9', lpad(CAST(o_orderkey AS VARCHAR), 13, '0')) AS file_id,
+order_notes AS MATERIALIZED (SELECT concat('vault/orders/order_', o_orderkey, '.md') AS path, concat('9', lpad(CAST(o_orderkey AS VARCHAR), 13, '0')) AS file_id,
   concat('Order ', o_orderkey) AS title, [o_orderstatus, o_orderpriority] AS tags, concat('order_', o_orderkey) AS stem,
   string_agg(line, chr(10) ORDER BY l_linenumber, line) AS content FROM orders JOIN fenced ON o_orderkey = l_orderkey GROUP BY ALL),
 part_notes AS (SELECT concat('vault/parts/part_', p_partkey, '.md') AS path, lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS file_id, p_name AS title,
   [p_brand, p_type] AS tags, concat('part_', p_partkey) AS stem, concat('A part of size ', p_size, '.') AS content FROM part WHERE p_size <= 25),
-vault AS (SELECT * FROM order_notes UNION ALL SELECT * FROM part_notes)
+vault AS MATERIALIZED (SELECT * FROM order_notes UNION ALL SELECT * FROM part_notes)
 """
 
 #: CTEs on top: lines (from 1), wiki links outside template expressions, regular links, definitions.
 LINKS = VAULT + r""",
-split AS (SELECT path, file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM vault),
+split AS MATERIALIZED (SELECT path, file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM vault),
 wiki0 AS (SELECT path, file_id, line_number, line, unnest(regexp_extract_all(line, '\[\[([^|\]]+)(?:\|([^\]]+))?\]\]')) AS hit FROM split WHERE line LIKE '%[[%'),
-wiki AS (SELECT path, file_id AS src, line_number, regexp_extract(hit, '\[\[([^|\]]+)', 1) AS target, regexp_extract(hit, '\|([^\]]+)\]\]', 1) AS alias, hit FROM wiki0
+wiki AS MATERIALIZED (SELECT path, file_id AS src, line_number, regexp_extract(hit, '\[\[([^|\]]+)', 1) AS target, regexp_extract(hit, '\|([^\]]+)\]\]', 1) AS alias, hit FROM wiki0
   WHERE strpos(line, concat('${', hit, '}')) = 0),
-regular AS (SELECT path, line_number, regexp_extract(hit, '\[([^\]]+)\]\(([^)]+)\)', 1) AS text, regexp_extract(hit, '\[([^\]]+)\]\(([^)]+)\)', 2) AS url FROM
+regular AS MATERIALIZED (SELECT path, line_number, regexp_extract(hit, '\[([^\]]+)\]\(([^)]+)\)', 1) AS text, regexp_extract(hit, '\[([^\]]+)\]\(([^)]+)\)', 2) AS url FROM
   (SELECT path, line_number, unnest(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)')) AS hit FROM split)),
 definition AS (SELECT path, line_number, regexp_extract(line, '^\[([^|\]]+)\|([^\]]+)\]:\s*(\S+)(?:\s+"([^"]+)")?', ['id', 'alias', 'target', 'title']) AS d FROM split
   WHERE regexp_matches(line, '^\[([^|\]]+)\|([^\]]+)\]:\s*(\S+)')),

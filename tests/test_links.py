@@ -95,7 +95,7 @@ def test_notes_of_one_text_are_members_and_conflicts(notes):
 def test_orphan_rules(notes):
     n = notes(note("v/a.md", "[[2]]", "1"), note("v/b.md", "", "2"), note("v/c.md", "[x](y)", "3"), note("v/d.md", "[[4]]", "4"), note("v/e.md", "", None))
     wiki = links.wikilinks(n)
-    edges = graph.edges(n, wiki)
+    edges = graph.edges(n)
     assert {(r.src, r.dst) for r in edges.collect()} == {("1", "2"), ("4", "4")}
     assert {r.fm_id for r in graph.orphans(n, graph.degrees(n, edges)).collect()} == {"3"}
     assert {r.path for r in graph.unlinked(n, wiki, links.regular_links(n)).collect()} == set()
