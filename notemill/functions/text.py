@@ -21,21 +21,40 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def literal(x: str) -> str:
+    """A string as SQL writes it."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def worded(body: str, **columns: Column) -> Column:
+    """An expression in SQL over columns by name.
+
+    Deep expressions are written in SQL: in Python each of their parts is a call to the JVM,
+    and building them takes longer than running them on a small table.
+    """
+    fields = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return F.get(F.call_function("transform", F.array(fields), F.expr(f"it -> {body}")), F.lit(0))
+
+
+def _bound(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _sums_before(sizes: str) -> str:
+    total = lambda x: f"aggregate({x}, 0, (sum, n) -> sum + n)"
+    runs = f"transform(sequence(0, int(size(s) div {RUN})), r -> {total(f'slice(s, r * {RUN} + 1, {RUN})')})"
+    before = _bound("t", runs, f"transform(t, (x, r) -> {total('slice(t, 1, r)')})")
+    each = f"transform(s, (x, i) -> b[int(i div {RUN})] + {total(f'slice(s, int(i div {RUN}) * {RUN} + 1, i % {RUN})')})"
+    return _bound("s", sizes, _bound("b", before, each))
+
+
 def sums_before(sizes: Column) -> Column:
     """array<int>: for each size the sum of all before it.
 
     Sums are made over runs of RUN sizes first, so the work grows with their number and not
     with its square, and no array is copied while it grows.
     """
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
-    run = lambda i: F.floor(i / RUN).cast("int")
-
-    def each(s: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), run(F.size(s))), lambda r: total(F.slice(s, r * RUN + 1, RUN)))
-        before = let(runs, lambda t: F.transform(t, lambda _, r: total(F.slice(t, F.lit(1), r))))
-        return let(before, lambda t: F.transform(s, lambda _, i: F.get(t, run(i)) + total(F.slice(s, run(i) * RUN + 1, i % RUN))))
-
-    return let(sizes, each)
+    return worded(_sums_before("it.sizes"), sizes=sizes)
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -43,16 +62,12 @@ def matches(text: Column, pattern: str | Column) -> Column:
 
     What stands between the hits gives their places.
     """
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    hits = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.transform(F.split(text, regex, -1), lambda s: F.length(s))
-    empty = F.array().cast("array<struct<start:int,hit:string>>")
-
-    def placed(x: Column) -> Column:
-        sizes = F.transform(x["hits"], lambda h, i: F.get(x["gaps"], i) + F.length(h))
-        return let(sums_before(sizes), lambda at: F.transform(x["hits"], lambda h, i: F.struct((F.get(at, i) + F.get(x["gaps"], i)).alias("start"), h.alias("hit"))))
-
-    return F.when(F.rlike(text, regex), let(F.struct(hits.alias("hits"), gaps.alias("gaps")), placed)).otherwise(empty)
+    p = literal(pattern) if isinstance(pattern, str) else "it.pattern"
+    places = "transform(m.hits, (h, i) -> struct(at[i] + m.gaps[i] AS start, h AS hit))"
+    placed = _bound("at", _sums_before("transform(m.hits, (h, i) -> m.gaps[i] + length(h))"), places)
+    cut = f"struct(regexp_extract_all(it.text, {p}, 0) AS hits, transform(split(it.text, {p}, -1), g -> length(g)) AS gaps)"
+    found = f"IF(it.text RLIKE {p}, {_bound('m', cut, placed)}, CAST(array() AS array<struct<start:int,hit:string>>))"
+    return worded(found, text=text, **({} if isinstance(pattern, str) else {"pattern": pattern}))
 
 
 def normalised(text: Column) -> Column:
