@@ -10,7 +10,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.operators import analysis, connections, enhancement, graph, links, mentions, report, services, similarity, stats, tags, validation, vectors, zones
+from notemill.operators import analysis, connections, enhancement, graph, links, mentions, report, services, similarity, stats, tags, validation, vectors
 from notemill.session import local_session
 from notemill.sources import frontmatter, sinks, vault
 
@@ -43,8 +43,8 @@ def dead_links(notes: DataFrame, args: argparse.Namespace) -> None:
 
 
 def auto_link(notes: DataFrame, args: argparse.Namespace) -> None:
-    found = mentions.candidates(notes, mentions.targets(notes))
-    chosen = mentions.capped(mentions.resolved(zones.outside(found, zones.zones(notes, args.exclude_tables, args.exclude_content))), args.max_links)
+    found = mentions.candidates(notes, mentions.targets(notes), args.exclude_tables, args.exclude_content)
+    chosen = mentions.capped(mentions.resolved(found), args.max_links)
     if args.target:
         chosen = chosen.where(F.col("path").isin(args.target))
     changed = mentions.rewritten(notes, chosen)

@@ -33,17 +33,17 @@ def _spans(line: Column, kind: str, pattern: str) -> Column:
     return F.transform(matches(line, pattern), lambda m: F.struct(m["start"].alias("column_start"), (m["start"] + F.length(m["hit"])).alias("column_end"), F.lit(kind).alias("zone_type")))
 
 
-def zones(notes: DataFrame, tables: bool = False, custom: list[str] | None = None) -> DataFrame:
-    """(path, line_number, column_start, column_end, zone_type): one row for each zone and line it covers."""
+def fenced_lines(notes: DataFrame, *carried: str) -> DataFrame:
+    """(path, line_number, line, state): state is fenced, unclosed, front, open or plain."""
     texts = F.split("content", "\n", -1)
     index = F.sequence(F.lit(0), F.size("lines") - 1)
     fences = F.filter(index, lambda i: strip(F.get("lines", i)).startswith("```"))
-    base = notes.select("path", texts.alias("lines")).withColumn("fences", fences)
+    base = notes.select("path", *carried, texts.alias("lines")).withColumn("fences", fences)
     # Front matter: from a first line of --- to the next one; open to the end if there is none.
     rule = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size("lines") - 1, F.lit(1))), lambda i: strip(F.get("lines", i)) == "---"), F.lit(0))
     front = F.when(strip(F.get("lines", F.lit(0))) == "---", F.coalesce(rule, F.size("lines")))
     base = base.withColumn("front", F.coalesce(front, F.lit(-1)))
-    each = base.select("path", "fences", "front", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    each = base.select("path", *carried, "fences", "front", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
     before = F.size(F.filter("fences", lambda x: x < F.col("i")))
     total = F.size("fences")
     on_fence = F.array_contains("fences", F.col("i"))
@@ -51,21 +51,26 @@ def zones(notes: DataFrame, tables: bool = False, custom: list[str] | None = Non
     inside = (before % 2 == 1) | (on_fence & (before % 2 == 0))
     closed = F.when(before % 2 == 1, total > before).otherwise(total > before + 1)
     in_front = (F.col("i") <= F.col("front")) & (F.col("front") < F.col("n"))
-    open_front = (F.col("front") >= F.col("n")) & (F.col("i") >= 0)
-    each = each.select("path", (F.col("i") + 1).alias("line_number"), "line", inside.alias("fenced"), closed.alias("closed"), (in_front & ~inside).alias("in_front"), (open_front & ~inside).alias("open_front"))
-    width = F.length("line")
-    whole = lambda kind: F.struct(F.lit(0).alias("column_start"), width.alias("column_end"), F.lit(kind).alias("zone_type"))
+    state = F.when(inside, F.when(closed, "fenced").otherwise("unclosed")).when(in_front, "front").when(F.col("front") >= F.col("n"), "open").otherwise("plain")
+    return each.select("path", *carried, (F.col("i") + 1).alias("line_number"), "line", state.alias("state"))
+
+
+def line_zones(line: Column, state: Column, tables: bool = False, custom: list[str] | None = None) -> Column:
+    """array<struct<column_start, column_end, zone_type>> of a line in its state."""
+    width = F.length(line)
+    whole = lambda kind: F.array(F.struct(F.lit(0).alias("column_start"), width.alias("column_end"), F.lit(kind).alias("zone_type")))
     none = F.array().cast("array<struct<column_start:int,column_end:int,zone_type:string>>")
-    spans = [_spans(F.col("line"), k, p) for k, p in (*SPAN_ZONES, *(("custom", f"(?iu){p}") for p in custom or ()))]
-    heading = F.when(strip(F.col("line")).startswith("# "), F.array(whole("heading"))).otherwise(none)
-    row = F.when(is_table_row(F.col("line")), F.array(whole("table"))).otherwise(none) if tables else none
+    spans = [_spans(line, k, p) for k, p in (*SPAN_ZONES, *(("custom", f"(?iu){p}") for p in custom or ()))]
+    heading = F.when(strip(line).startswith("# "), whole("heading")).otherwise(none)
+    row = F.when(is_table_row(line), whole("table")).otherwise(none) if tables else none
     plain = F.concat(heading, row, *spans)
-    found = (
-        F.when(F.col("fenced"), F.when(F.col("closed"), F.array(whole("code_block"))).otherwise(none))
-        .when(F.col("in_front"), F.array(whole("frontmatter")))
-        .when(F.col("open_front"), none)
-        .otherwise(plain)
-    )
+    return F.when(state == "fenced", whole("code_block")).when(state == "front", whole("frontmatter")).when(state == "plain", plain).otherwise(none)
+
+
+def zones(notes: DataFrame, tables: bool = False, custom: list[str] | None = None) -> DataFrame:
+    """(path, line_number, column_start, column_end, zone_type): one row for each zone and line it covers."""
+    each = fenced_lines(notes)
+    found = line_zones(F.col("line"), F.col("state"), tables, custom)
     return each.select("path", "line_number", F.explode(found).alias("z")).select("path", "line_number", "z.column_start", "z.column_end", "z.zone_type")
 
 

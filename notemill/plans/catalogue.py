@@ -273,34 +273,40 @@ def q_copy_classes(spark, d):
 
 def _mentions(spark, d):
     notes = adapters.vault(spark, d)
-    return notes, zones.outside(mentions.candidates(notes, mentions.targets(adapters.part_notes(spark, d))), zones.zones(notes, tables=True))
+    return notes, mentions.candidates(notes, mentions.targets(adapters.part_notes(spark, d)), tables=True)
 
 
-@query()
+@query(f"WITH {o.MENTIONS} SELECT * EXCLUDE (low) FROM mention")
 def q_mentions(spark, d):
     return _mentions(spark, d)[1]
 
 
-@query()
+@query(f"WITH {o.TARGETS} SELECT * FROM target")
 def q_mention_targets(spark, d):
     return mentions.members(mentions.targets(adapters.part_notes(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {o.CONFLICTS} SELECT * FROM resolved")
 def q_conflicts(spark, d):
     return mentions.resolved(_mentions(spark, d)[1])
 
 
-@query()
+@query(f"WITH RECURSIVE {o.REWRITTEN} SELECT path, content, applied FROM rewritten")
 def q_rewritten(spark, d):
     notes, found = _mentions(spark, d)
     return mentions.rewritten(notes, mentions.capped(mentions.resolved(found), 50))
 
 
-@query()
+# Brands as notes whose titles are spelled otherwise in the texts, so that every one gets an alias.
+
+
+@query(f"WITH {o.brand_mentions()} SELECT file_id, new_aliases FROM updates")
 def q_alias_updates(spark, d):
-    _, found = _mentions(spark, d)
-    return joined(mentions.alias_updates(mentions.resolved(found), adapters.part_notes(spark, d)), "new_aliases")
+    brand = F.regexp_replace("p_brand", "Brand#", "")
+    names = adapters.table(spark, d, "part").select(brand.alias("b")).distinct().select(F.concat(F.lit("brand-"), "b").alias("file_id"), F.concat(F.lit("サーバー"), "b").alias("title"), F.array().cast("array<string>").alias("aliases"))
+    notes = adapters.vault(spark, d).withColumn("content", F.replace("content", F.lit("Brand#"), F.lit("サバ")))
+    found = mentions.candidates(notes, mentions.targets(names), tables=True)
+    return joined(mentions.alias_updates(mentions.resolved(found), names), "new_aliases")
 
 
 # Analysis

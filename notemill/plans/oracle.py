@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from notemill.functions.dictionaries import ABBREVIATIONS, CATEGORIES, CONTENT_TAGS, PAIRS, TAG_PATTERNS
 from notemill.operators.tags import spelled
+from notemill.operators.zones import SPAN_ZONES
 from notemill.sources.adapters import LINE_SQL
 
 _LINE = LINE_SQL.format(s="VARCHAR").strip()
@@ -37,6 +38,84 @@ dead AS (SELECT path AS source_file, hit AS link_text, 'wikilink' AS link_type,
   UNION ALL SELECT path, concat('[', text, '](', url, ')'), 'regular_link', line_number, url FROM regular WHERE trim(url) = '')
 """
 
+#: CTE target: what a text in lower case may mean.
+TARGETS = VAULT + """,
+target AS (SELECT lower(title) AS low, file_id, title AS text, 'title' AS source_type, 1.0::DOUBLE AS confidence FROM part_notes
+  UNION ALL SELECT lower(tags[2]), file_id, tags[2], 'alias', 1.0::DOUBLE FROM part_notes WHERE lower(tags[2]) <> lower(title))
+"""
+
+
+def _spans(line: str) -> str:
+    """Where the zones of a line outside fences begin and end, each from what stands before it."""
+    each = []
+    for _, pattern in SPAN_ZONES:
+        p = "'" + pattern.replace("'", "''") + "'"
+        cut = f"{{'h': regexp_extract_all({line}, {p}), 'g': regexp_split_to_array({line}, {p})}}"
+        n = "(coalesce(list_sum(list_transform(c.g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(c.h[1:i-1], lambda x: length(x))), 0))"
+        each.append(f"flatten(list_transform([{cut}], lambda c: list_transform(range(1, len(c.h) + 1), lambda i: {{'s': {n}, 'e': {n} + length(c.h[i])}})))")
+    return f"list_concat({each[0]}, {_concat(each[1:])})"
+
+
+def _concat(each: list[str]) -> str:
+    return each[0] if len(each) == 1 else f"list_concat({each[0]}, {_concat(each[1:])})"
+
+
+def _mentions(content: str) -> str:
+    """CTE mention, from CTEs vault and target: places of the targets' texts outside zones."""
+    return rf"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY low ORDER BY -confidence, file_id, text, source_type) AS r, count(*) OVER (PARTITION BY low) AS notes FROM target),
+named AS MATERIALIZED (SELECT a.low, a.notes, a AS best, b AS second FROM ranked a LEFT JOIN ranked b ON a.low = b.low AND b.r = 2 WHERE a.r = 1),
+parts AS (SELECT path, file_id, {content} AS content FROM vault),
+cut AS MATERIALIZED (SELECT path, file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM parts),
+fence AS (SELECT *, starts_with(trim(line), '```') AS f, sum(starts_with(trim(line), '```')::INT) OVER (PARTITION BY path ORDER BY line_number) AS upto, sum(starts_with(trim(line), '```')::INT) OVER (PARTITION BY path) AS total FROM cut),
+state AS (SELECT path, file_id, line, line_number, (upto % 2 = 1) OR f AS inside, CASE WHEN upto % 2 = 1 THEN total > upto ELSE true END AS closed FROM fence),
+met AS (SELECT s.*, n.*, string_split(lower(line), low) AS pieces, CASE WHEN s.file_id = n.best.file_id THEN n.second ELSE n.best END AS t FROM state s JOIN named n ON contains(lower(line), low)),
+placed AS (SELECT *, unnest(range(1, len(pieces))) AS i FROM met WHERE t.file_id IS NOT NULL),
+found AS (SELECT *, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * length(low))::BIGINT AS s FROM placed),
+zoned AS MATERIALIZED (SELECT *, CASE WHEN inside THEN closed WHEN starts_with(trim(line), '# ') OR (starts_with(trim(line), '|') AND ends_with(trim(line), '|')) THEN true
+  ELSE len(list_filter({_spans("line")}, lambda z: s >= z.s AND s < z.e)) > 0 END AS barred FROM found
+  WHERE NOT regexp_matches(substring(line, s, 1), '[\p{{L}}\p{{N}}_]') AND NOT regexp_matches(substring(line, s + length(low) + 1, 1), '[\p{{L}}\p{{N}}_]')),
+mention AS (SELECT low, path, line_number::INT AS line_number, s::INT AS column_start, (s + length(low))::INT AS column_end, substring(line, s + 1, length(low)) AS text, t.file_id AS target_file_id, t.confidence AS confidence,
+  t.source_type AS source_type, notes, notes - 1 - (EXISTS (SELECT 1 FROM target x WHERE x.low = zoned.low AND x.file_id = zoned.file_id))::BIGINT AS others FROM zoned WHERE NOT barred)
+"""
+
+
+MENTIONS = f"{TARGETS}, {_mentions('content')}"
+
+
+def _step(source: str) -> str:
+    """One round of the fold: the first candidate left takes all that overlap it, and their best wins."""
+    return f"""SELECT path, line_number, list_filter(l, lambda x: NOT (x.s < l[1].e AND l[1].s < x.e)) AS l, list_filter(g, lambda x: x.r = list_max(list_transform(g, lambda y: y.r)))[1] AS won,
+  len(g) - 1 AS conflicts, list_sum(list_transform(g, lambda x: x.o)) AS others FROM (SELECT path, line_number, l, list_filter(l, lambda x: x.s < l[1].e AND l[1].s < x.e) AS g FROM {source} WHERE len(l) > 0)"""
+
+
+#: CTE resolved: the mentions that stay; needs WITH RECURSIVE.
+CONFLICTS = f"""{MENTIONS},
+held AS (SELECT path, line_number, list({{'s': column_start, 'f': target_file_id, 'e': column_end, 't': text, 'c': confidence, 'st': source_type, 'r': (column_end - column_start) * 10 + confidence * 20, 'o': others}}
+  ORDER BY column_start, target_file_id, column_end, text, confidence, source_type) AS l FROM mention GROUP BY 1, 2),
+fold AS ({_step("held")} UNION ALL {_step("fold")}),
+resolved AS (SELECT path, line_number, won.s AS column_start, won.e AS column_end, won.t AS text, won.f AS target_file_id, won.c AS confidence, won.st AS source_type, conflicts::INT AS conflicts, others::BIGINT AS others FROM fold)
+"""
+
+#: CTE rewritten: the notes with their chosen mentions as links; needs WITH RECURSIVE.
+REWRITTEN = f"""{CONFLICTS},
+chosen AS (SELECT * FROM resolved QUALIFY row_number() OVER (PARTITION BY path ORDER BY (conflicts + others > 0)::INT, line_number, column_start) <= 50),
+edits AS (SELECT path, line_number, list({{'s': column_start, 'e': column_end, 'k': concat('[[', target_file_id, '|', text, ']]')}} ORDER BY column_start) AS k FROM chosen GROUP BY 1, 2),
+fresh AS (SELECT path, c.line_number, CASE WHEN k IS NULL THEN line ELSE concat(array_to_string(list_transform(range(1, len(k) + 1),
+  lambda i: concat(substring(line, coalesce(k[i-1].e, 0) + 1, k[i].s - coalesce(k[i-1].e, 0)), k[i].k)), ''), substring(line, k[len(k)].e + 1)) END AS line FROM cut c LEFT JOIN edits e USING (path, line_number)),
+rewritten AS (SELECT path, string_agg(line, chr(10) ORDER BY line_number) AS content, any_value(n)::INT AS applied FROM fresh JOIN (SELECT path, count(*) AS n FROM chosen GROUP BY 1) USING (path) GROUP BY path)
+"""
+
+
+def brand_mentions() -> str:
+    """CTE updates: brands as notes named in katakana, whose other spellings stand in the texts."""
+    names = "SELECT DISTINCT regexp_replace(p_brand, 'Brand#', '') AS b FROM part"
+    spelled = " UNION ALL ".join(f"SELECT concat('{x}', b), concat('brand-', b), concat('{x}', b), '{kind}', {c}::DOUBLE FROM brand" for x, kind, c in (("サーバー", "title", 1.0), ("サバ", "title_variation", 0.9), ("サウバウ", "title_variation", 0.9)))
+    content = "replace(content, 'Brand#', 'サバ')"
+    return f"""{VAULT}, brand AS ({names}), target(low, file_id, text, source_type, confidence) AS ({spelled}), {_mentions(content)},
+updates AS (SELECT target_file_id AS file_id, string_agg(DISTINCT text, '; ') AS new_aliases FROM mention WHERE text <> concat('サーバー', substring(target_file_id, 7)) GROUP BY 1)"""
+
+
 #: CTE notes: documents as notes.
 NOTES = """
 notes AS (SELECT concat('vault/', source, '/doc_', doc_id, '.md') AS path, concat('vault/', source) AS dir, concat('doc_', doc_id) AS stem, lpad(CAST(doc_id AS VARCHAR), 14, '0') AS file_id,
