@@ -37,6 +37,11 @@ def orphans(notes: DataFrame, degrees: DataFrame) -> DataFrame:
     return out.where((degree == 0) | ((degree <= 1) & (F.col("isolation") >= 0.7)))
 
 
+def most_isolated(orphans: DataFrame) -> DataFrame:
+    """The orphans in order, the most isolated first."""
+    return orphans.orderBy(F.col("isolation").desc(), "fm_id")
+
+
 def unlinked(notes: DataFrame, wikilinks: DataFrame, regular: DataFrame) -> DataFrame:
     """(path, file_id): the maintenance rule; no wiki or regular link out, and no wiki link in from another note."""
     out = wikilinks.select("path").unionByName(regular.select("path")).distinct()

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notemill.operators import analysis, connections, enhancement, graph, japanese, keywords, links, mentions, report, services, similarity, stats, tags, validation, vectors, zones
+from notemill.operators import analysis, connections, enhancement, graph, japanese, keywords, links, mentions, repair, report, services, similarity, stats, tags, validation, vectors, zones
 from notemill.plans import oracle as o
 from notemill.sources import adapters
 from notemill.streaming import index
@@ -416,6 +416,76 @@ def q_validation_fixes(spark, d):
     return validation.fixes(rows, validation.validate(rows), "20240101000000")
 
 
+# Repair: front matter with values of the wrong type, and with fields that a template asks for and some rows lack.
+
+_Field = validation.Field
+TYPED_SCHEMA = (*validation.NOTE_SCHEMA, _Field("rating", "number"), _Field("pages", "integer"))
+TEMPLATE = (*validation.NOTE_SCHEMA, _Field("published"), _Field("image"), _Field("description"))
+
+
+def _map(df: DataFrame, *pairs: tuple) -> DataFrame:
+    """(path, fields) from (name, condition, JSON value); a field is there where its condition holds."""
+    each = [F.when(there, F.struct(F.lit(k).alias("k"), (v if not isinstance(v, str) else F.lit(v)).alias("v"))) for k, there, v in pairs]
+    return df.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), F.map_from_entries(F.array_compact(F.array(*each))).alias("fields"))
+
+
+def _typed(spark, d):
+    n, always = F.col("doc_id"), F.lit(True)
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    return _map(
+        adapters.table(spark, d, "documents"),
+        ("title", always, F.when(n % 5 == 0, F.col("n_chars").cast("string")).otherwise(text(F.col("source")))),
+        ("id", always, n.cast("string")),
+        ("tags", always, F.when(n % 7 == 0, text(F.concat("lang", F.lit(", "), "source"))).otherwise(F.concat(F.lit("["), text(F.col("lang")), F.lit("]")))),
+        ("aliases", n % 3 < 2, F.when(n % 3 == 0, '"solo"').otherwise("null")),
+        ("publish", always, F.when(n % 2 == 0, '"Yes"').otherwise("0")),
+        ("rating", n % 4 < 3, F.when(n % 4 == 0, '"4.5"').when(n % 4 == 1, '"none"').otherwise("3")),
+        ("pages", n % 6 < 2, F.when(n % 6 == 0, "12.7").otherwise("8.0")),
+    )
+
+
+_CONVERSIONS = """WITH c AS (SELECT doc_id, 'title' AS field_name, 'integer' AS original_type, 'string' AS converted_type, n_chars::VARCHAR AS original, concat('"', n_chars, '"') AS converted FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'id', 'integer', 'string', doc_id::VARCHAR, concat('"', doc_id, '"') FROM documents
+  UNION ALL SELECT doc_id, 'tags', 'string', 'array', concat('"', lang, ', ', source, '"'), concat('["', lang, '","', source, '"]') FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT doc_id, 'aliases', 'string', 'array', '"solo"', '["solo"]' FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'publish', CASE WHEN doc_id % 2 = 0 THEN 'string' ELSE 'integer' END, 'boolean', CASE WHEN doc_id % 2 = 0 THEN '"Yes"' ELSE '0' END, (doc_id % 2 = 0)::VARCHAR FROM documents
+  UNION ALL SELECT doc_id, 'rating', 'string', 'number', '"4.5"', '4.5' FROM documents WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 'pages', 'number', 'integer', '12.7', '12' FROM documents WHERE doc_id % 6 = 0)"""
+
+
+@query(f"{_CONVERSIONS} SELECT concat('doc_', doc_id) AS path, * EXCLUDE (doc_id) FROM c")
+def q_conversions(spark, d):
+    return repair.conversions(_typed(spark, d), TYPED_SCHEMA)
+
+
+@query(f"{_CONVERSIONS}, k AS (SELECT *, concat(original_type, ' -> ', converted_type) AS conversion FROM c) SELECT conversion, count(*) AS times, count(DISTINCT field_name) AS fields FROM k GROUP BY ROLLUP (conversion)")
+def q_conversion_summary(spark, d):
+    return repair.conversion_summary(repair.conversions(_typed(spark, d), TYPED_SCHEMA))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id AS n, doc_id % 3 = 0 AS whole, doc_id % 5 <> 0 OR doc_id % 10 = 0 AS titled FROM documents), a AS (SELECT *, CASE WHEN whole AND titled THEN []::VARCHAR[] ELSE list_sort(list_filter([CASE WHEN n % 5 = 0 THEN 'title' END,
+  CASE WHEN NOT whole THEN 'aliases' END, CASE WHEN n % 4 <> 0 THEN 'date' END, 'publish', CASE WHEN NOT whole THEN 'published' END, CASE WHEN NOT whole THEN 'image' END, CASE WHEN NOT whole THEN 'description' END], lambda x: x IS NOT NULL)) END AS added FROM d)
+SELECT concat('doc_', n) AS path, array_to_string(added, '; ') AS added, CASE WHEN whole THEN '"p"' WHEN n % 4 = 0 THEN '"2024-01-05"' ELSE '""' END AS published, CASE WHEN whole THEN '"i.png"' ELSE '"{repair.IMAGE}"' END AS image FROM a"""
+)
+def q_templated(spark, d):
+    n, always = F.col("doc_id"), F.lit(True)
+    full = n % 3 == 0
+    rows = _map(
+        adapters.table(spark, d, "documents"),
+        ("title", (n % 5 != 0) | (n % 10 == 0), F.when(n % 5 == 0, '""').otherwise('"T"')),
+        ("id", always, '"20240101000000"'),
+        ("tags", always, "[]"),
+        ("date", n % 4 == 0, '"2024-01-05"'),
+        ("aliases", full, "[]"),
+        ("published", full, '"p"'),
+        ("image", full, '"i.png"'),
+        ("description", full, '""'),
+    )
+    done = repair.templated(rows, TEMPLATE)
+    return joined(done, "added").select("path", "added", F.col("fields")["published"].alias("published"), F.col("fields")["image"].alias("image"))
+
+
 # Vectors
 
 _UNIT = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), q AS (SELECT v FROM u WHERE vec_id = 0)"
@@ -550,3 +620,18 @@ def q_suggest_connections(spark, d):
 def q_connections_by_keywords(spark, d):
     notes = adapters.document_notes(spark, d)
     return rounded(connections.shared_keywords(notes.select("fm_id"), notes), "confidence")
+
+
+@query(
+    f"""{_DEGREES}, lonely AS (SELECT fm_id FROM deg WHERE incoming + outgoing = 0), n AS (SELECT file_id, lower(title) AS low, lower(content) AS c, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS w FROM vault),
+own AS (SELECT * FROM n WHERE file_id IN (SELECT fm_id FROM lonely)), t AS (SELECT DISTINCT low FROM own), u AS (SELECT DISTINCT low FROM n),
+m1 AS (SELECT t.low, file_id AS target_id, least(0.8::DOUBLE, (length(c) - length(replace(c, t.low, ''))) / length(t.low) / w::DOUBLE * 100) AS x FROM t JOIN n ON contains(c, t.low)),
+there AS (SELECT own.file_id AS fm_id, target_id, x FROM (SELECT * FROM m1 WHERE x > 0.1 QUALIFY row_number() OVER (PARTITION BY low ORDER BY x DESC, target_id) <= 6) JOIN own USING (low)),
+m2 AS (SELECT file_id AS fm_id, u.low, least(0.8::DOUBLE, (length(c) - length(replace(c, u.low, ''))) / length(u.low) / w::DOUBLE * 100) AS x FROM own JOIN u ON contains(c, u.low)),
+named AS (SELECT low, file_id AS target_id FROM n QUALIFY row_number() OVER (PARTITION BY low ORDER BY file_id) <= 6), here AS (SELECT fm_id, target_id, x FROM m2 JOIN named USING (low) WHERE x > 0.1)
+SELECT fm_id, target_id, round(max(x), 6) AS confidence, 'title' AS reason FROM (SELECT * FROM there UNION ALL SELECT * FROM here) WHERE fm_id <> target_id GROUP BY 1, 2"""
+)
+def q_title_connections(spark, d):
+    notes = adapters.vault(spark, d)
+    lonely = graph.degrees(notes, graph.edges(notes)).where("incoming + outgoing = 0")
+    return rounded(connections.title_mentions(lonely, notes), "confidence")

@@ -185,3 +185,17 @@ def written(fields: Column, names: list[str]) -> Column:
 def with_body(raw: Column, new_body: Column) -> Column:
     """A file's text with a new body behind its front matter as it was."""
     return F.concat(F.regexp_extract(raw, SPLIT, 0), new_body)
+
+
+def with_fields(raw: Column, fields: Column, order: list[str]) -> Column:
+    """A file's text with its front matter written again: the fields in order first, then the others by name."""
+    names = F.filter(F.array(*[F.lit(n) for n in order]), lambda n: F.map_contains_key(fields, n))
+    rest = F.array_sort(F.array_except(F.map_keys(fields), names))
+    known = F.array_compact(F.array(*[F.when(F.map_contains_key(fields, n), written_line(n, fields[n])) for n in order]))
+    others = F.transform(rest, lambda n: any_line(n, F.element_at(fields, n)))
+    return F.concat(F.lit("---\n"), F.array_join(F.concat(known, others), "\n"), F.lit("\n---\n"), body(raw))
+
+
+def any_line(name: Column, value: Column) -> Column:
+    """One line of front matter for a field that no schema knows: its JSON, which YAML reads too."""
+    return F.concat(name, F.lit(": "), F.coalesce(value, F.lit("null")))
