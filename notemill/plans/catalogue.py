@@ -126,12 +126,25 @@ def q_zones_by_type(spark, d):
     return found.where(F.col("zone_type").isin(kinds)).groupBy("zone_type").agg(F.count("*").alias("zones"))
 
 
+@query(f"WITH {o.LINKS}, {o.ZONES} SELECT path, line_number::INT AS line_number, column_start::INT AS column_start, column_end::INT AS column_end, zone_type FROM zone")
+def q_zones(spark, d):
+    return zones.zones(adapters.vault(spark, d), tables=True)
+
+
 # Statistics
 
 
-@query(f"WITH {o.VAULT} SELECT CASE WHEN grouping(ext) = 0 THEN ext END AS extension, count(*) AS total_files, count(*) AS with_frontmatter, count(*) AS with_id FROM (SELECT '.md' AS ext FROM vault) GROUP BY ROLLUP (ext)")
+@query(
+    f"""WITH {o.VAULT}, e AS (SELECT CASE WHEN path LIKE '%/parts/%' THEN '.markdown' ELSE '.md' END AS ext, NOT ends_with(stem, '3') AS fm, NOT ends_with(stem, '7') AS named FROM vault)
+SELECT CASE WHEN grouping(ext) = 0 THEN ext END AS extension, count(*) AS total_files, count(*) FILTER (fm) AS with_frontmatter, count(*) FILTER (named) AS with_id FROM e GROUP BY ROLLUP (ext)"""
+)
 def q_file_stats(spark, d):
-    return stats.file_statistics(adapters.vault(spark, d))
+    mixed = adapters.vault(spark, d).select(
+        F.when(F.col("path").contains("/parts/"), ".markdown").otherwise(".md").alias("ext"),
+        F.when(F.col("stem").endswith("3"), F.array().cast("array<string>")).otherwise(F.col("present_keys")).alias("present_keys"),
+        F.when(~F.col("stem").endswith("7"), F.col("file_id")).alias("file_id"),
+    )
+    return stats.file_statistics(mixed)
 
 
 @query(f"WITH {o.VAULT}, k AS (SELECT unnest(['title', 'tags', 'id']) AS field FROM order_notes UNION ALL SELECT unnest(['title', 'aliases', 'tags', 'id']) FROM part_notes) SELECT field, count(*) AS files FROM k GROUP BY 1")
@@ -359,7 +372,12 @@ def q_improvement_areas(spark, d):
     return analysis.categorised(analysis.improvements(adapters.document_notes(spark, d)))
 
 
-@query()
+@query(
+    f"""WITH {o.NOTES}, l AS (SELECT path, list_transform(string_split(content, chr(10)), lambda x: trim(x, E' \\n\\t\\r')) AS x FROM notes),
+f AS (SELECT path, x, list_position(list_transform(x, lambda y: y <> '' AND NOT starts_with(y, '#')), true) AS i FROM l), g AS (SELECT path, x[i:] AS x FROM f),
+h AS (SELECT path, array_to_string(list_filter(x[1:coalesce(nullif(list_position(x, ''), 0) - 1, len(x))], lambda y: NOT starts_with(y, '#')), ' ') AS t FROM g)
+SELECT notes.path, CASE WHEN t = '' THEN NULL WHEN length(t) > 150 THEN concat(substring(t, 1, 147), '...') ELSE t END AS description FROM notes LEFT JOIN h USING (path)"""
+)
 def q_description(spark, d):
     return analysis.descriptions(adapters.document_notes(spark, d)).select("path", "description")
 
@@ -369,9 +387,16 @@ def q_metadata(spark, d):
     return analysis.metadata(adapters.document_notes(spark, d))
 
 
-@query("SELECT count(*) AS notes, 0::BIGINT AS without_title, 0::BIGINT AS without_id, 0::BIGINT AS without_tags, 0::BIGINT AS few_tags, 0::BIGINT AS high, 0::BIGINT AS medium, count(*) AS low FROM documents")
+_GAPS = """WITH g AS (SELECT (doc_id % 5 = 0)::INT AS t, (doc_id % 3 = 0)::INT AS i, (doc_id % 7 = 0)::INT AS n, (doc_id % 7 < 2)::INT AS f FROM documents), s AS (SELECT *, t + i + n + f AS k FROM g)"""
+
+
+@query(f"{_GAPS} SELECT count(*) AS notes, sum(t)::BIGINT AS without_title, sum(i)::BIGINT AS without_id, sum(n)::BIGINT AS without_tags, sum(f)::BIGINT AS few_tags, count(*) FILTER (k >= 3) AS high, count(*) FILTER (k = 2) AS medium, count(*) FILTER (k <= 1) AS low FROM s")
 def q_opportunities(spark, d):
-    return analysis.opportunities(adapters.document_notes(spark, d).withColumn("title", F.lit("x")))
+    n = F.col("file_id").cast("long")
+    lacking = adapters.document_notes(spark, d).select(
+        F.when(n % 5 != 0, F.lit("T")).alias("title"), F.when(n % 3 != 0, F.col("fm_id")).alias("fm_id"), F.when(n % 7 == 0, F.array().cast("array<string>")).when(n % 7 == 1, F.array("dir")).otherwise(F.col("tags")).alias("tags")
+    )
+    return analysis.opportunities(lacking)
 
 
 # Validation: a fixed schema on documents, with fields that some rows lack or break.
@@ -535,9 +560,11 @@ def q_enhanced(spark, d):
     return joined(enhancement.enhanced(notes, tags.frequencies(notes)), "tags", "category", "changes")
 
 
-@query(f"WITH {o.NOTES} SELECT 'metadata' AS change, count(*) AS notes FROM notes")
+@query(f"{_CHECKS} SELECT unnest(['metadata', 'description', 'category', 'title']) AS change, unnest([count(*), count(*) FILTER (a), count(*) FILTER (g), count(*) FILTER (NOT has_title)]) AS notes FROM c")
 def q_enhancement_summary(spark, d):
-    return enhancement.summary(enhancement.enhanced(adapters.document_notes(spark, d))).where("change = 'metadata'")
+    changes = enhancement.summary(enhancement.enhanced(adapters.document_notes(spark, d))).where("change <> 'tags'")
+    every = changes.sparkSession.createDataFrame([(c,) for c in ("metadata", "description", "category", "title")], "change string")
+    return every.join(changes, "change", "left").select("change", F.coalesce("notes", F.lit(0).cast("long")).alias("notes"))
 
 
 @query()
@@ -545,7 +572,11 @@ def q_embedded(spark, d):
     return services.embedded(adapters.document_notes(spark, d)).select("document_id", F.size("vector").alias("dimension"), F.round(vectors.norm(F.col("vector")), 4).alias("length"))
 
 
-@query()
+@query(
+    f"""WITH {o.NOTES}, t AS (SELECT path, array_to_string(list_filter(string_split(substring(content, 1, 3000), chr(10)), lambda x: trim(x, E' \\n\\t\\r') <> '' AND NOT starts_with(x, '#')), ' ') AS t FROM notes),
+u AS (SELECT *, substring(t, 1, 200) AS b, 200 - strpos(reverse(substring(t, 1, 200)), '.') AS stop FROM t)
+SELECT path, CASE WHEN length(t) <= 200 THEN t WHEN contains(b, '.') AND stop > 100 THEN substring(b, 1, stop + 1) ELSE concat(b, '...') END AS summary FROM u"""
+)
 def q_summaries(spark, d):
     return services.summarised(adapters.document_notes(spark, d))
 
@@ -588,14 +619,21 @@ def q_technical_tags(spark, d):
     return joined(japanese.technical_tags(adapters.document_notes(spark, d)), "tags")
 
 
-@query(f"{o.term_matches()} SELECT count(*) AS notes, count(*) FILTER (regexp_matches(content, '[぀-ヿ一-龯]')) AS japanese, 0::BIGINT AS mixed, (SELECT count(DISTINCT path) FROM hits) AS technical FROM notes")
+@query(f"{o.term_matches()} SELECT count(*) AS notes, count(*) FILTER (regexp_matches(content, '[぀-ヿ一-龯]')) AS japanese, count(*) FILTER (regexp_matches(content, '[぀-ヿ一-龯]') AND regexp_matches(content, '[A-Za-z]')) AS mixed, (SELECT count(DISTINCT path) FROM hits) AS technical FROM notes")
 def q_japanese_opportunities(spark, d):
     return japanese.opportunities(adapters.document_notes(spark, d))
 
 
-@query()
+# Titles by turns: an English name, a word with other spellings, a Japanese name, and one without any other.
+
+
+@query(
+    f"""WITH {o.NOTES} SELECT path, CASE file_id::BIGINT % 4 WHEN 0 THEN 'アプリケーションプログラミングインターフェース; エーピーアイ' WHEN 1 THEN 'サウバウ; サバ' WHEN 2 THEN 'AI; ai' ELSE '' END AS aliases FROM notes"""
+)
 def q_aliases(spark, d):
-    return joined(japanese.aliases(adapters.document_notes(spark, d)), "aliases")
+    turn = F.col("file_id").cast("long") % 4
+    titled = adapters.document_notes(spark, d).withColumn("title", F.when(turn == 0, "API").when(turn == 1, "サーバー").when(turn == 2, "人工知能").otherwise("plain"))
+    return joined(japanese.aliases(titled), "aliases")
 
 
 # Connections of orphans, by tags: the oracle ranks classes of equal tag sets.

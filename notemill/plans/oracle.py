@@ -45,14 +45,30 @@ target AS (SELECT lower(title) AS low, file_id, title AS text, 'title' AS source
 """
 
 
+def _places(line: str, pattern: str) -> str:
+    """Where the hits of a pattern begin and end in a line, each from what stands before it."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    cut = f"{{'h': regexp_extract_all({line}, {p}), 'g': regexp_split_to_array({line}, {p})}}"
+    n = "(coalesce(list_sum(list_transform(c.g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(c.h[1:i-1], lambda x: length(x))), 0))"
+    return f"flatten(list_transform([{cut}], lambda c: list_transform(range(1, len(c.h) + 1), lambda i: {{'s': {n}, 'e': {n} + length(c.h[i])}})))"
+
+
+def _zones() -> str:
+    """CTE zone, on top of LINKS: every zone of every line, tables included."""
+    whole = "SELECT path, line_number, 0 AS column_start, length(line) AS column_end, '{}' AS zone_type FROM fenced_line WHERE {}"
+    spans = " UNION ALL ".join(f"SELECT path, line_number, z.s, z.e, '{kind}' FROM (SELECT path, line_number, unnest({_places('line', pattern)}) AS z FROM fenced_line WHERE NOT inside)" for kind, pattern in SPAN_ZONES)
+    return f"""fence_count AS (SELECT *, starts_with(trim(line), '```') AS f, sum(starts_with(trim(line), '```')::INT) OVER (PARTITION BY path ORDER BY line_number) AS upto, sum(starts_with(trim(line), '```')::INT) OVER (PARTITION BY path) AS total FROM split),
+fenced_line AS MATERIALIZED (SELECT path, line_number, line, (upto % 2 = 1) OR f AS inside, CASE WHEN upto % 2 = 1 THEN total > upto ELSE true END AS closed FROM fence_count),
+zone AS ({whole.format('code_block', 'inside AND closed')} UNION ALL {whole.format('heading', "NOT inside AND starts_with(trim(line), '# ')")}
+  UNION ALL {whole.format('table', "NOT inside AND starts_with(trim(line), '|') AND ends_with(trim(line), '|')")} UNION ALL {spans})"""
+
+
+ZONES = _zones()
+
+
 def _spans(line: str) -> str:
     """Where the zones of a line outside fences begin and end, each from what stands before it."""
-    each = []
-    for _, pattern in SPAN_ZONES:
-        p = "'" + pattern.replace("'", "''") + "'"
-        cut = f"{{'h': regexp_extract_all({line}, {p}), 'g': regexp_split_to_array({line}, {p})}}"
-        n = "(coalesce(list_sum(list_transform(c.g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(c.h[1:i-1], lambda x: length(x))), 0))"
-        each.append(f"flatten(list_transform([{cut}], lambda c: list_transform(range(1, len(c.h) + 1), lambda i: {{'s': {n}, 'e': {n} + length(c.h[i])}})))")
+    each = [_places(line, pattern) for _, pattern in SPAN_ZONES]
     return f"list_concat({each[0]}, {_concat(each[1:])})"
 
 
