@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
@@ -87,10 +87,63 @@ def summarised(notes: DataFrame, writer: Writer | None = None) -> DataFrame:
     return notes.select("path", mapped(F.col("content"), writer or extractive_summariser(), StringType()).alias("summary"))
 
 
-def sections(answer: Column, names: list[str]) -> Column:
-    """struct of what stands behind each NAME: of a service's answer, up to the next one."""
-    ends = "|".join(f"{n}:" for n in names)
-    return F.struct(*[F.trim(F.regexp_extract(answer, rf"(?s){n}:\s*(.*?)\s*(?=(?:{ends})|\z)", 1)).alias(n.lower()) for n in names])
+def sections(answer: Column, names: list[str], by_line: bool = False) -> Column:
+    """struct of what stands behind each NAME: of a service's answer, up to the next one; by_line: up to the next line that begins with any."""
+    ends = r"\n[A-Z_]+:" if by_line else "|".join(f"{n}:" for n in names)
+    return F.struct(*[F.trim(F.regexp_extract(answer, rf"(?is){n}:\s*(.*?)\s*(?=(?-i:{ends})|\z)", 1)).alias(n.lower()) for n in names])
+
+
+def listed(section: Column) -> Column:
+    """A section's items, cut at commas, without blanks."""
+    return F.filter(F.transform(F.split(section, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def concept_confidence(concept: Column, content: Column, stands: float = 0.3) -> Column:
+    """0.5, and more for a concept that stands in the text (0.1 in the other dialect), is longer than ten characters, or looks technical; at most 1."""
+    more = lambda there, x: F.when(there, x).otherwise(0.0)
+    technical = concept.rlike(r"\p{Lu}") | F.contains(concept, F.lit("_")) | F.contains(concept, F.lit("-"))
+    return F.least(F.lit(1.0), F.lit(0.5) + more(F.contains(F.lower(content), F.lower(concept)), stands) + more(F.length(concept) > 10, 0.1) + more(technical, 0.1))
+
+
+def concepts(notes: DataFrame, writer: Writer, most: int = 5, read: int = 2000) -> DataFrame:
+    """(path, concept, confidence): up to so many concepts of each note, from a service that answers CONCEPTS: a, b."""
+    text = F.substring("content", 1, read)
+    asked = notes.select("path", "content", mapped(text, writer, StringType()).alias("answer"))
+    found = asked.select("path", "content", F.explode(F.slice(listed(sections(F.col("answer"), ["CONCEPTS"], True)["concepts"]), 1, most)).alias("concept"))
+    return found.select("path", "concept", concept_confidence(F.col("concept"), F.col("content")).alias("confidence"))
+
+
+def suggested_metadata(notes: DataFrame, writer: Writer, read: int = 2000) -> DataFrame:
+    """(path, tags, aliases, description) from a service that answers TAGS:, ALIASES: and DESCRIPTION: lines."""
+    s = sections(F.col("answer"), ["TAGS", "ALIASES", "DESCRIPTION"], True)
+    asked = notes.select("path", mapped(F.substring("content", 1, read), writer, StringType()).alias("answer")).select("path", s.alias("s"))
+    return asked.select("path", listed(F.col("s.tags")).alias("tags"), listed(F.col("s.aliases")).alias("aliases"), F.when(F.col("s.description") != "", F.col("s.description")).alias("description"))
+
+
+def _score(answer: Column, name: str) -> Column:
+    """A section as a number between 0 and 1; what is no number is 0.5."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(sections(answer, [name], True)[name.lower()].try_cast("double"), F.lit(0.5))))
+
+
+def relationships(pairs: DataFrame, writer: Writer, read: int = 1500) -> DataFrame:
+    """pairs (a, b, text_a, text_b) to (a, b, relationship, confidence): what a service says two texts are to each other."""
+    asked = F.concat(F.lit("FIRST: "), F.substring("text_a", 1, read), F.lit("\nSECOND: "), F.substring("text_b", 1, read))
+    answer = pairs.select("a", "b", mapped(asked, writer, StringType()).alias("answer"))
+    return answer.select("a", "b", sections(F.col("answer"), ["RELATIONSHIP"], True)["relationship"].alias("relationship"), _score(F.col("answer"), "CONFIDENCE").alias("confidence"))
+
+
+def context_matches(pairs: DataFrame, writer: Writer, read: int = 800) -> DataFrame:
+    """pairs (a, b, text_a, text_b) to (a, b, score): how well a link's surroundings fit its target."""
+    asked = F.concat(F.lit("CONTEXT: "), F.substring("text_a", 1, read), F.lit("\nTARGET: "), F.substring("text_b", 1, read))
+    answer = pairs.select("a", "b", mapped(asked, writer, StringType()).alias("answer"))
+    return answer.select("a", "b", _score(F.col("answer"), "SCORE").alias("score"))
+
+
+def disambiguated(choices: DataFrame, writer: Writer, read: int = 500) -> DataFrame:
+    """choices (key, text, target_id, target_text) to (key, target_id, score, rank): the targets of each key, the best first, ties by id."""
+    scored = context_matches(choices.select(F.col("key").alias("a"), F.col("target_id").alias("b"), F.col("text").alias("text_a"), F.col("target_text").alias("text_b")), writer, read)
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))
+    return scored.select(F.col("a").alias("key"), F.col("b").alias("target_id"), "score", rank.alias("rank"))
 
 
 def agreement(score: Column, dimension: int) -> Column:

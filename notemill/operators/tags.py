@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -101,3 +102,54 @@ def add_pattern(patterns: Sequence[tuple], category: str, name: str, keywords: S
 
 def remove_pattern(patterns: Sequence[tuple], category: str, name: str) -> tuple[tuple, ...]:
     return tuple(p for p in patterns if (p[0], p[2]) != (category, name))
+
+
+def update_pattern(patterns: Sequence[tuple], category: str, name: str, keywords: Sequence[str] | None = None, weight: float | None = None) -> tuple[tuple, ...]:
+    """The catalogue with other keywords or another weight for a pattern that it has; an unknown one is an error."""
+    if not any((p[0], p[2]) == (category, name) for p in patterns):
+        raise ValueError(f"{category}/{name} is unknown")
+    if keywords is not None and not keywords or weight is not None and not 0 <= weight <= 2:
+        raise ValueError("a pattern needs keywords and a weight between 0 and 2")
+    changed = lambda p: (p[0], p[1], p[2], tuple(p[3] if keywords is None else keywords), p[4] if weight is None else weight)
+    return tuple(changed(p) if (p[0], p[2]) == (category, name) else p for p in patterns)
+
+
+def listed(patterns: Sequence[tuple] = TAG_PATTERNS, category: str | None = None) -> list[tuple]:
+    """The patterns, of one category where it is named, those of the highest priority first."""
+    return sorted((p for p in patterns if category is None or p[0] == category), key=lambda p: -p[1])
+
+
+def merged(patterns: Sequence[tuple], others: Sequence[tuple]) -> tuple[tuple, ...]:
+    """Both catalogues; where both have a category and name the other one's pattern counts, and a category keeps its priority."""
+    known = {p[0]: p[1] for p in patterns}
+    found = {(p[0], p[2]): p for p in patterns}
+    for category, priority, name, keywords, weight in others:
+        found[category, name] = (category, known.setdefault(category, priority), name, tuple(keywords), weight)
+    return tuple(found.values())
+
+
+def as_json(patterns: Sequence[tuple] = TAG_PATTERNS) -> str:
+    """A catalogue as JSON: counts, and the patterns of each category."""
+    categories: dict[str, dict] = {}
+    for category, priority, name, keywords, weight in patterns:
+        categories.setdefault(category, {"priority": priority, "patterns": []})["patterns"].append({"tag": name, "keywords": list(keywords), "confidence_weight": weight})
+    return json.dumps({"metadata": {"total_categories": len(categories), "total_patterns": len(patterns)}, "categories": categories}, ensure_ascii=False, indent=2)
+
+
+def from_json(text: str) -> tuple[tuple, ...]:
+    """A catalogue from JSON as as_json writes it; a priority that is missing is 5, a weight 1."""
+    return tuple((c, d.get("priority", 5), p["tag"], tuple(p["keywords"]), float(p.get("confidence_weight", 1.0))) for c, d in json.loads(text)["categories"].items() for p in d.get("patterns", ()))
+
+
+def with_status(suggested: DataFrame, notes: DataFrame, least: float = 0.3) -> DataFrame:
+    """suggested (path, pattern, confidence, ...) of at least so much, with status: Current where the note has the tag, else New."""
+    have = notes.select("path", "tags")
+    status = F.when(F.array_contains("tags", F.col("pattern")), "Current").otherwise("New")
+    return suggested.where(F.col("confidence") >= least).join(have, "path").withColumn("status", status).drop("tags")
+
+
+def vault_statistics(notes: DataFrame) -> DataFrame:
+    """(notes, tagged, tags, uses, single): how many notes, how many with tags, different tags, uses of tags, and tags of a single note."""
+    counted = notes.agg(F.count("*").alias("notes"), F.count_if(F.size("tags") > 0).alias("tagged"))
+    of_tags = frequencies(notes).agg(F.count("*").alias("tags"), F.coalesce(F.sum("files"), F.lit(0)).alias("uses"), F.count_if(F.col("files") == 1).alias("single"))
+    return counted.crossJoin(of_tags)  # one row each

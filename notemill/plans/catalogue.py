@@ -673,3 +673,37 @@ def q_title_connections(spark, d):
     notes = adapters.vault(spark, d)
     lonely = graph.degrees(notes, graph.edges(notes)).where("incoming + outgoing = 0")
     return rounded(connections.title_mentions(lonely, notes), "confidence")
+
+
+# Totals of whole runs
+
+
+@query(f"WITH RECURSIVE {o.CONFLICTS}, kept AS (SELECT * FROM resolved QUALIFY row_number() OVER (PARTITION BY path ORDER BY (conflicts + others > 0)::INT, line_number, column_start) <= 2) SELECT (SELECT count(*) FROM vault) AS files_processed, (SELECT count(DISTINCT path) FROM kept) AS files_with_links_added, (SELECT count(*) FROM kept) AS wikilink_updates, (SELECT sum(conflicts)::BIGINT FROM resolved) AS conflicts_resolved, (SELECT count(*) FROM resolved) - (SELECT count(*) FROM kept) AS candidates_skipped, 0::BIGINT AS files_with_aliases_added, 0::BIGINT AS alias_updates")
+def q_link_summary(spark, d):
+    notes, found = _mentions(spark, d)
+    kept = mentions.resolved(found)
+    chosen = mentions.capped(kept, 2)
+    return report.link_summary(notes, kept, chosen, mentions.alias_updates(chosen, adapters.part_notes(spark, d)))
+
+
+@query(f"{_CHECKS}, n AS (SELECT 1 + a::INT + g::INT + (NOT has_title)::INT AS k FROM c) SELECT count(*) AS analysed, count(*) AS improved, sum(k)::BIGINT AS improvements, count(*) AS with_metadata FROM n")
+def q_improvement_report(spark, d):
+    done = enhancement.enhanced(adapters.document_notes(spark, d))
+    untagged = done.withColumn("changes", F.filter("changes", lambda c: ~c.startswith("Added tags")))
+    return report.improvement_report(untagged).select("analysed", "improved", "improvements", "with_metadata")
+
+
+@query(f"{_IMPROVEMENTS}, n AS (SELECT path, len(i) AS improvements FROM (SELECT path, list(i) AS i FROM (SELECT path, unnest(list_filter([CASE WHEN NOT has_title THEN 1 END, 1, 1, 1, 1, CASE WHEN t THEN 1 END, CASE WHEN a THEN 1 END, CASE WHEN g THEN 1 END, CASE WHEN m THEN 1 END, CASE WHEN s THEN 1 END, CASE WHEN u THEN 1 END], lambda x: x IS NOT NULL)) AS i FROM c) GROUP BY path)) SELECT path, improvements::INT AS improvements FROM n ORDER BY n.improvements DESC, path LIMIT 10")
+def q_high_priority(spark, d):
+    return report.high_priority(analysis.improvements(adapters.document_notes(spark, d)))
+
+
+@query(f"{_TAGS} SELECT (SELECT count(*) FROM vault) AS notes, (SELECT count(*) FROM vault WHERE len(tags) > 0) AS tagged, count(*) AS tags, sum(files)::BIGINT AS uses, count(*) FILTER (files = 1) AS single FROM f")
+def q_tag_statistics(spark, d):
+    return tags.vault_statistics(adapters.vault(spark, d))
+
+
+@query(f"WITH {o.NOTES} SELECT count(*) AS total, count(*) FILTER (file_id::BIGINT % 3 = 0) AS indexed, count(*) FILTER (file_id::BIGINT % 3 <> 0) AS skipped FROM notes")
+def q_indexing_summary(spark, d):
+    notes = adapters.document_notes(spark, d)
+    return report.indexing_summary(notes, notes.where(F.col("file_id").cast("long") % 3 == 0).select(F.col("file_id").alias("document_id")))

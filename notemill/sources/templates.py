@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.operators.validation import PATTERNS, Field
@@ -85,3 +85,11 @@ def template_of(directory: Column, keys: Column) -> Column:
 
 def _partly(parts: Column, name: str) -> Column:
     return F.exists(parts, lambda p: (p != "") & (F.lower(p).contains(name) | F.contains(F.lit(name), F.lower(p))))
+
+
+def scan(notes: DataFrame) -> dict[str, str]:
+    """{template: text} of notes (path, raw) that stand directly in one of DIRECTORIES. Templates are few and small; they are read on the driver."""
+    parts = F.split("path", "/")
+    parent = F.get(parts, F.size(parts) - 2)
+    found = notes.where(parent.isin(*DIRECTORIES)).select("path", "raw").orderBy("path").collect()
+    return {r["path"].rsplit("/", 1)[1].rsplit(".", 1)[0]: r["raw"] for r in found}
