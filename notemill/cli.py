@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.operators import analysis, connections, enhancement, graph, links, mentions, report, services, similarity, stats, tags, validation, vectors
-from notemill.session import local_session
+from notemill.session import cut, local_session
 from notemill.sources import frontmatter, sinks, vault
 
 
@@ -156,7 +156,8 @@ def main(argv: list[str] | None = None) -> int:
         args.threshold = THRESHOLDS.get(args.command, 0.7)
     links.checked_types(args.link_type)
     report.checked_tasks(args.task)
-    notes = vault.notes(local_session("*"), args.vault, args.include or vault.INCLUDE, args.exclude or vault.EXCLUDE)
+    # Commands read the notes several times; files are read and parsed once.
+    notes = cut(vault.notes(local_session("*"), args.vault, args.include or vault.INCLUDE, args.exclude or vault.EXCLUDE))
     COMMANDS[args.command](notes, args)
     return 0
 
