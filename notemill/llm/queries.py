@@ -1,4 +1,4 @@
-"""The queries op1 to op10 of this subpackage, over whole tables."""
+"""The queries op1 to op13 of this subpackage, over whole tables."""
 
 from __future__ import annotations
 
@@ -77,6 +77,12 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_fingerprints,
         op9_forest_secret_scan,
         op10_subword_quality,
+        op13_transducer_bpe,
     )
 }
 
