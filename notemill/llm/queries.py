@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from notemill.llm import divergence, prefix_trie
 from notemill.session import ship
 
 #: Where the vocabularies are; operators take a file's path as their parameter.
@@ -77,6 +78,18 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_systolic_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.divergence import audit_documents
+
+    return audit_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notemill.llm.prefix_trie import conversation_nodes
+
+    return conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notemill.llm.bpe import digests
 
@@ -96,9 +109,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_fingerprints,
         op9_forest_secret_scan,
         op10_subword_quality,
+        op11_systolic_divergence,
+        op12_prefix_ownership,
         op13_transducer_bpe,
     )
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_systolic_divergence": divergence.SQL, "op12_prefix_ownership": prefix_trie.SQL}
