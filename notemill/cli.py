@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.operators import analysis, connections, enhancement, graph, links, mentions, report, services, similarity, stats, tags, validation, vectors
+from notemill.operators import analysis, connections, enhancement, graph, links, mentions, repair, report, services, similarity, stats, tags, validation, vectors
 from notemill.session import cut, local_session
-from notemill.sources import frontmatter, sinks, vault
+from notemill.sources import frontmatter, sinks, templates, vault
 
 
 def show(df: DataFrame, args: argparse.Namespace) -> None:
@@ -30,10 +31,28 @@ def analyze(notes: DataFrame, args: argparse.Namespace) -> None:
         show(df, args)
 
 
+def written(rows: DataFrame, args: argparse.Namespace) -> None:
+    """Writes rows (path, raw), where --execute says so, and shows how it went."""
+    if args.execute:
+        done = sinks.save_notes(rows, args.stamp)
+        show(done.where("status <> 'skipped'"), args)
+        show(sinks.save_totals(done), args)
+
+
 def validate(notes: DataFrame, args: argparse.Namespace) -> None:
-    done = validation.validate(notes.select("path", "fields"))
+    """Against one template (--template FILE), or each note against the one of its folder and fields where the vault has templates, else the plain note's schema."""
+    schemas = {"plain": validation.NOTE_SCHEMA}
+    own = notes.where(~templates.in_templates(notes)).withColumn("template", F.lit("plain"))
+    if args.template:
+        schemas = {"plain": templates.single(args.template)}
+        own = own.where(F.col("path") != os.path.abspath(args.template))
+    elif found := templates.schemas(templates.scan(notes)):
+        schemas, own = found, templates.assigned(notes)
+    done = validation.by_template(own, validation.schema_rows(notes.sparkSession, schemas))
     show(done, args)
-    show(validation.summary(done), args)
+    show(validation.template_summary(done), args)
+    for template, schema in schemas.items():
+        written(repair.rewritten_files(own.where(F.col("template") == template), schema), args)
 
 
 def dead_links(notes: DataFrame, args: argparse.Namespace) -> None:
@@ -52,14 +71,18 @@ def auto_link(notes: DataFrame, args: argparse.Namespace) -> None:
     show(mentions.alias_updates(chosen, notes), args)
     if args.execute:
         rows = changed.select("path", F.col("content").alias("new")).join(notes.select("path", "raw"), "path")
-        sinks.save_notes(rows.select("path", frontmatter.with_body(F.col("raw"), F.col("new")).alias("raw")), args.stamp)
+        written(rows.select("path", frontmatter.with_body(F.col("raw"), F.col("new")).alias("raw")), args)
 
 
 def organize(notes: DataFrame, args: argparse.Namespace) -> None:
     done = analysis.improvements(notes)
     show(analysis.quality(done).orderBy("quality_score", "path"), args)
     show(analysis.categorised(done), args)
-    show(enhancement.enhanced(notes, tags.frequencies(notes)).select("path", "tags", "title", "changes"), args)
+    better = enhancement.enhanced(notes, tags.frequencies(notes), as_of=args.stamp.replace("_", ""))
+    show(better.select("path", "tags", "title", "changes"), args)
+    show(enhancement.summary(better), args)
+    fresh = enhancement.written_fields(better).withColumnRenamed("fields", "new").join(notes.select("path", "raw"), "path")
+    written(fresh.select("path", frontmatter.with_fields(F.col("raw"), F.col("new"), [f.name for f in validation.NOTE_SCHEMA]).alias("raw")), args)
     if args.detect_duplicates:
         show(similarity.merge_strategy(similarity.duplicates(notes, args.threshold)), args)
 
@@ -136,6 +159,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--exclude-content", action="append")
     p.add_argument("--max-links", type=int, default=50)
     p.add_argument("--target", action="append")
+    p.add_argument("--template", help="a template file for validate-frontmatter")
     p.add_argument("--detect-duplicates", action="store_true")
     p.add_argument("--threshold", type=float)
     p.add_argument("--task", action="append")

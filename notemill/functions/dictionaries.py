@@ -87,6 +87,28 @@ TAG_PATTERNS = (
     ("japanese_content", 5, "service", ("サービス", "サーヴィス", "service"), 1.1),
 )
 
+#: (wider tag, tag, keywords)
+KEYWORD_TAGS = (
+    ("programming-languages", "python", ("python", "py", "django", "flask", "pandas", "numpy")),
+    ("programming-languages", "javascript", ("javascript", "js", "node", "react", "vue", "angular")),
+    ("programming-languages", "java", ("java", "spring", "maven", "gradle")),
+    ("programming-languages", "typescript", ("typescript", "ts", "angular", "nest")),
+    ("programming-languages", "rust", ("rust", "cargo", "tokio")),
+    ("programming-languages", "go", ("golang", "go", "gin", "echo")),
+    ("technologies", "database", ("sql", "mysql", "postgresql", "mongodb", "redis")),
+    ("technologies", "cloud", ("aws", "azure", "gcp", "docker", "kubernetes")),
+    ("technologies", "frontend", ("html", "css", "sass", "webpack", "vite")),
+    ("technologies", "backend", ("api", "rest", "graphql", "microservice")),
+    ("technologies", "devops", ("ci/cd", "jenkins", "github actions", "terraform")),
+    ("concepts", "architecture", ("design pattern", "architecture", "microservice", "monolith")),
+    ("concepts", "algorithms", ("algorithm", "data structure", "complexity", "optimization")),
+    ("concepts", "security", ("security", "authentication", "authorization", "encryption")),
+    ("concepts", "testing", ("test", "unit test", "integration test", "tdd", "bdd")),
+    ("japanese-content", "language", ("日本語", "japanese", "nihongo", "katakana", "hiragana", "kanji")),
+    ("japanese-content", "culture", ("文化", "culture", "tradition", "festival", "ceremony")),
+    ("japanese-content", "business", ("ビジネス", "business", "company", "work", "職場")),
+)
+
 #: (group, keywords, tags)
 CONTENT_TAGS = (
     ("programming", ("code", "programming", "development", "software", "algorithm", "function", "class", "method"), ("programming", "development", "code")),

@@ -40,11 +40,12 @@ def _bound(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _sums_before(sizes: str) -> str:
-    total = lambda x: f"aggregate({x}, 0, (sum, n) -> sum + n)"
+def _sums_before(sizes: str, joined: str = "sum + n") -> str:
+    total = lambda x: f"aggregate({x}, 0, (sum, n) -> {joined})"
     runs = f"transform(sequence(0, int(size(s) div {RUN})), r -> {total(f'slice(s, r * {RUN} + 1, {RUN})')})"
     before = _bound("t", runs, f"transform(t, (x, r) -> {total('slice(t, 1, r)')})")
-    each = f"transform(s, (x, i) -> b[int(i div {RUN})] + {total(f'slice(s, int(i div {RUN}) * {RUN} + 1, i % {RUN})')})"
+    within = total(f"slice(s, int(i div {RUN}) * {RUN} + 1, i % {RUN})")
+    each = f"transform(s, (x, i) -> {_bound('sum', f'b[int(i div {RUN})]', _bound('n', within, joined))})"
     return _bound("s", sizes, _bound("b", before, each))
 
 
@@ -57,6 +58,18 @@ def sums_before(sizes: Column) -> Column:
     return worded(_sums_before("it.sizes"), sizes=sizes)
 
 
+def covered(spans: Column) -> Column:
+    """array<string>: 1 for each place of a line that a span array<struct<column_start int, column_end int, ...>> covers, else 0, up to the last span's end.
+
+    Spans are laid one behind the other in the order of their starts, each from where the
+    furthest of those before it ends, so the work grows with their number and length.
+    """
+    ends = _sums_before("transform(z, x -> x.column_end)", "greatest(sum, n)")
+    laid = "concat(repeat('0', x.column_start - m[i]), repeat('1', x.column_end - greatest(x.column_start, m[i])))"
+    mask = _bound("z", "array_sort(it.spans)", _bound("m", ends, f"array_join(transform(z, (x, i) -> {laid}), '')"))
+    return worded(f"split({mask}, '')", spans=spans)
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start int, hit string>>: where a pattern that never matches the empty string hits, in code points.
 

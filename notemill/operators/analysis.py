@@ -11,11 +11,11 @@ from notemill.functions.text import description, jaccard, let, normalised, strip
 # What each kind of improvement takes off the score, and how sure it is.
 PENALTIES = {"missing_required_field": 0.25, "missing_tags": 0.15, "missing_description": 0.15, "missing_category": 0.1, "filename_mismatch": 0.1, "incomplete_content": 0.3, "placeholder_content": 0.25}
 METADATA = {
-    "author": r"(?iu)(?:author|by|written by|作者|著者)[:\s]+([^\n]+)",
-    "source": r"(?iu)(?:source|from|reference|出典|参考)[:\s]+([^\n]+)",
-    "date_created": r"(?iu)(?:created|date|作成日)[:\s]+(\d{4}-\d{2}-\d{2})",
-    "project": r"(?iu)(?:project|プロジェクト)[:\s]+([^\n]+)",
-    "status": r"(?iu)(?:status|状態)[:\s]+([^\n]+)",
+    "author": r"(?iu)(?:author|著者|writer|written by)[:]\s*([^\n]+)",
+    "source": r"(?iu)(?:source|出典|from)[:]\s*([^\n]+)",
+    "date_created": r"(?iu)(?:created|作成日|date)[:]\s*(\d{4}-\d{2}-\d{2})",
+    "project": r"(?iu)(?:project|プロジェクト)[:]\s*([^\n]+)",
+    "status": r"(?iu)(?:status|状態)[:]\s*(draft|complete|in-progress|todo)",
 }
 
 
@@ -106,15 +106,20 @@ def categorised(analysed: DataFrame) -> DataFrame:
 
 
 def metadata(notes: DataFrame) -> DataFrame:
-    """(path, author, source, date_created, project, status, published, created_time, word_count, reading_time, language)."""
+    """(path, author, source, date_created, project, status, published, created_time, word_count, reading_time, language).
+
+    date_created is the file's day (column modified_at, where there is one) if the content names none.
+    """
     text = F.col("content")
-    found = [F.when(F.regexp_extract(text, p, 1) != "", strip(F.regexp_extract(text, p, 1))).alias(k) for k, p in METADATA.items()]
+    day = F.date_format("modified_at", "yyyy-MM-dd") if "modified_at" in notes.columns else F.lit(None).cast("string")
+    said = {k: F.when(F.regexp_extract(text, p, 1) != "", strip(F.regexp_extract(text, p, 1))) for k, p in METADATA.items()}
+    found = [(F.coalesce(v, day) if k == "date_created" else v).alias(k) for k, v in said.items()]
     stamp = F.when(F.col("stem").rlike("^[0-9]{14}$"), F.try_to_timestamp("stem", F.lit("yyyyMMddHHmmss")))
     n = F.regexp_count(text, F.lit(r"(?U)\b\w+\b"))
     ja, en = F.regexp_count(text, F.lit("[぀-ゟ゠-ヿ一-龯]")), F.regexp_count(text, F.lit(r"\b[a-zA-Z]+\b"))
     language = F.when(ja > en * 2, "japanese").when(en > 10, "english").otherwise("mixed")
     return notes.select(
-        "path", *found, F.date_format(stamp, "yyyy-MM-dd").alias("published"), F.date_format(stamp, "HH:mm:ss").alias("created_time"), n.alias("word_count"), F.greatest(F.lit(1), F.floor(n / 200).cast("int")).alias("reading_time"), language.alias("language")
+        "path", *found, F.date_format(stamp, "yyyy-MM-dd").alias("published"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("created_time"), n.alias("word_count"), F.greatest(F.lit(1), F.floor(n / 200).cast("int")).alias("reading_time"), language.alias("language")
     )
 
 

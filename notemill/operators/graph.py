@@ -45,7 +45,8 @@ def most_isolated(orphans: DataFrame) -> DataFrame:
 def unlinked(notes: DataFrame, wikilinks: DataFrame, regular: DataFrame) -> DataFrame:
     """(path, file_id): the maintenance rule; no wiki or regular link out, and no wiki link in from another note."""
     out = wikilinks.select("path").unionByName(regular.select("path")).distinct()
-    into = wikilinks.select(F.col("path").alias("from"), F.col("target").alias("file_id")).distinct()
-    rest = notes.where("file_id IS NOT NULL").select("path", "file_id").join(out, "path", "left_anti").alias("n")
-    linked = (F.col("n.file_id") == into["file_id"]) & (F.col("n.path") != F.col("from"))
-    return rest.join(into, linked, "left_anti").select("path", "file_id")
+    # Of the notes that link to a target two are enough: another one than the note itself is the first or the last.
+    into = wikilinks.groupBy(F.col("target").alias("file_id")).agg(F.min("path").alias("first"), F.max("path").alias("last"))
+    rest = notes.where("file_id IS NOT NULL").select("path", "file_id").join(out, "path", "left_anti")
+    alone = F.col("first").isNull() | ((F.col("first") == F.col("path")) & (F.col("last") == F.col("path")))
+    return rest.join(into, "file_id", "left").where(alone).select("path", "file_id")

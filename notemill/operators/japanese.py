@@ -26,11 +26,36 @@ def matches(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.explode(kinds).alias("h")).select("path", "h.term", "h.matched", "h.kind")
 
 
+def term_tags(content: Column) -> Column:
+    """array<string>: lower-case terms of the hits in the order of the dictionary, short ones with tech- before them."""
+    terms = F.array_distinct(F.transform(F.concat(_hits(content, PAIRS), _hits(content, ABBREVIATIONS)), lambda h: F.lower(h["term"])))
+    return F.transform(terms, lambda t: F.when(F.length(t) <= 3, F.concat(F.lit("tech-"), t)).otherwise(t))
+
+
 def technical_tags(notes: DataFrame) -> DataFrame:
-    """(path, tags): lower-case terms of the hits, short ones with tech- before them, without the note's own tags."""
-    terms = F.array_distinct(F.transform(F.concat(_hits(F.col("content"), PAIRS), _hits(F.col("content"), ABBREVIATIONS)), lambda h: F.lower(h["term"])))
-    named = F.transform(terms, lambda t: F.when(F.length(t) <= 3, F.concat(F.lit("tech-"), t)).otherwise(t))
-    return notes.select("path", F.array_sort(F.array_except(named, "tags")).alias("tags"))
+    """(path, tags): the terms of the hits as tags, without the note's own tags."""
+    return notes.select("path", F.array_sort(F.array_except(term_tags(F.col("content")), "tags")).alias("tags"))
+
+
+def _other_names(text: Column) -> Column:
+    """array<string>: for each pair with its English name in the text the Japanese ones, and the English name for each Japanese one in it."""
+
+    def of(t: Column) -> Column:
+        low = F.lower(t)
+        each = []
+        for term, names in PAIRS:
+            each.append(F.when(F.contains(low, F.lit(term.lower())), F.array(*[F.lit(n) for n in names])))
+            each += [F.when(F.contains(t, F.lit(n)), F.array(F.lit(term))) for n in names]
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*each))))
+
+    return let(text, of)
+
+
+def content_aliases(content: Column, title: Column, own: Column) -> Column:
+    """array<string>: names in the other language of what the content names, other spellings of the note's aliases, and names of the title, without the title and the aliases."""
+    spelled = F.flatten(F.transform(own, variations))
+    found = F.array_distinct(F.concat(_other_names(content), spelled, _other_names(F.coalesce(title, F.lit("")))))
+    return F.filter(F.array_except(found, own), lambda n: F.lower(n) != F.lower(F.coalesce(title, F.lit(""))))
 
 
 def aliases(notes: DataFrame) -> DataFrame:

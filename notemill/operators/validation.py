@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,9 @@ NOTE_SCHEMA = (
     Field("publish", "boolean"),
 )
 
+#: The fields that a template's notes had better have.
+RECOMMENDED = {"booksearchtemplate": ("author", "publisher", "totalPage"), "new-fleeing-note": ("description", "category")}
+
 #: Kinds that a JSON value of a type satisfies; true and false count as numbers too.
 _TYPES = {"string": ("string",), "date": ("string",), "datetime": ("string",), "array": ("array",), "boolean": ("boolean",), "integer": ("integer", "boolean"), "number": ("integer", "number", "boolean")}
 
@@ -75,19 +78,110 @@ def validate(rows: DataFrame, schema: Sequence[Field] = NOTE_SCHEMA) -> DataFram
             found = found.when(there & ~text.rlike(field.pattern), F.lit(f"{field.name}: does not match {field.pattern}"))
         invalid.append(found)
     names = F.array(*[F.lit(x.name) for x in schema])
-    text = lambda n: F.regexp_replace(value(n), '^"|"$', "")
+    out = rows.select("path", F.array_compact(F.array(*missing)).alias("missing_fields"), F.array_compact(F.array(*invalid)).alias("invalid_fields"), _warnings(f, names).alias("warnings"))
+    return out.withColumn("is_valid", (F.size("missing_fields") == 0) & (F.size("invalid_fields") == 0)).select("path", "is_valid", "missing_fields", "invalid_fields", "warnings")
+
+
+def _warnings(f: Column, names: Column, recommended: Column | None = None) -> Column:
+    """array<string> for fields that do not fit each other, that the schema does not know, and that are recommended and absent."""
+    text = lambda n: F.regexp_replace(f[n], '^"|"$', "")
     bad_id = F.map_contains_key(f, "id") & text("id").rlike(r"^\d{14}$") & F.try_to_timestamp(text("id"), F.lit("yyyyMMddHHmmss")).isNull()
-    doubled = F.map_contains_key(f, "aliases") & F.coalesce(F.array_contains(F.from_json(value("aliases"), "array<string>"), text("title")), F.lit(False))
+    doubled = F.map_contains_key(f, "aliases") & F.coalesce(F.array_contains(F.from_json(f["aliases"], "array<string>"), text("title")), F.lit(False))
     bad_date = F.map_contains_key(f, "date") & F.try_to_timestamp(text("date"), F.lit("yyyy-M-d")).isNull()
-    extra = F.array_except(F.map_keys(f), names)
-    warnings = F.array(
+    listed = lambda words, kind: F.when(F.size(words) > 0, F.concat(F.lit(kind), F.array_join(F.array_sort(words), ", ")))
+    said = [
         F.when(bad_id, F.lit("id is not a time stamp")),
         F.when(doubled, F.lit("title is among the aliases")),
         F.when(bad_date, F.lit("date is not a date")),
-        F.when(F.size(extra) > 0, F.concat(F.lit("unexpected fields: "), F.array_join(F.array_sort(extra), ", "))),
+        listed(F.array_except(F.map_keys(f), names), "unexpected fields: "),
+    ]
+    if recommended is not None:
+        said.append(listed(F.array_except(recommended, F.map_keys(f)), "recommended fields: "))
+    return F.array_compact(F.array(*said))
+
+
+# Template mode: the schemas are a table, and each note is checked against the rows of its own template.
+
+SCHEMA_ROWS = "template string, position int, name string, kind string, required boolean, default string, pattern string"
+
+
+def schema_rows(spark: SparkSession, schemas: Mapping[str, Sequence[Field]]) -> DataFrame:
+    """(template, position, name, kind, required, default, pattern): the fields of each template in order."""
+    rows = [(template, i, x.name, x.kind, x.required, None if x.default is None else str(x.default), x.pattern) for template, fields in sorted(schemas.items()) for i, x in enumerate(fields)]
+    return spark.createDataFrame(rows, SCHEMA_ROWS)
+
+
+def _with_schema(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    """rows (path, fields, template) with schema array<struct<name, kind, required, default, pattern>> of their template; null without one.
+
+    One row a template meets the notes, so it is the notes' size that counts.
+    """
+    one = F.struct("position", "name", "kind", "required", "default", "pattern")
+    return rows.join(schemas.groupBy("template").agg(F.array_sort(F.collect_list(one)).alias("schema")), "template", "left")
+
+
+def _gone(f: Column, x: Column) -> Column:
+    """Whether a required field is absent or falsy (false counts for a boolean)."""
+    v = F.try_element_at(f, x["name"])
+    return x["required"] & (~F.map_contains_key(f, x["name"]) | F.when(x["kind"] == "boolean", v.isNull()).otherwise(_falsy(v)))
+
+
+def _fits(found: Column, kind: Column) -> Column:
+    """Whether a JSON type satisfies a kind of field."""
+    allowed = F.create_map(*[y for k, names in _TYPES.items() for y in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
+    return F.array_contains(F.try_element_at(allowed, kind), found)
+
+
+def by_template(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    """rows (path, fields, template) and schemas (SCHEMA_ROWS) to (path, template, is_valid, missing_fields, invalid_fields, warnings).
+
+    The rules are those of validate, with the recommended fields among the warnings. A note
+    whose template has no schema is not valid and says so.
+    """
+    f, schema = F.col("fields"), F.col("schema")
+
+    def invalid(x: Column) -> Column:
+        v = F.try_element_at(f, x["name"])
+        found, there = json_type(v), F.map_contains_key(f, x["name"]) & (json_type(v) != "null")
+        text = F.regexp_replace(v, '^"|"$', "")
+        return F.when(there & ~_fits(found, x["kind"]), F.concat(x["name"], F.lit(": expected "), x["kind"], F.lit(", got "), found)).when(
+            there & x["pattern"].isNotNull() & ~F.coalesce(F.regexp_like(text, x["pattern"]), F.lit(True)), F.concat(x["name"], F.lit(": does not match "), x["pattern"])
+        )
+
+    wanted = F.coalesce(F.try_element_at(F.create_map(*[y for k, names in RECOMMENDED.items() for y in (F.lit(k), F.array(*[F.lit(n) for n in names]))]), F.col("template")), F.array().cast("array<string>"))
+    known = schema.isNotNull()
+    none = F.array().cast("array<string>")
+    out = _with_schema(rows.select("path", "fields", "template"), schemas).select(
+        "path",
+        "template",
+        known.alias("known"),
+        F.when(known, F.transform(F.filter(schema, lambda x: _gone(f, x)), lambda x: x["name"])).otherwise(none).alias("missing_fields"),
+        F.when(known, F.array_compact(F.transform(schema, invalid))).otherwise(none).alias("invalid_fields"),
+        F.when(known, _warnings(f, F.transform(schema, lambda x: x["name"]), wanted)).otherwise(F.array(F.concat(F.lit("no schema of "), F.coalesce("template", F.lit("no template"))))).alias("warnings"),
+    )
+    valid = F.col("known") & (F.size("missing_fields") == 0) & (F.size("invalid_fields") == 0)
+    return out.select("path", "template", valid.alias("is_valid"), "missing_fields", "invalid_fields", "warnings")
+
+
+def template_fixes(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(path, field_name, fix_type, suggested_value): the default of each missing required field; add where the key is absent, else modify. The value is null without a default."""
+    f = F.col("fields")
+    one = lambda x: F.struct(x["name"].alias("field_name"), F.when(F.map_contains_key(f, x["name"]), "modify").otherwise("add").alias("fix_type"), x["default"].alias("suggested_value"))
+    found = _with_schema(rows.select("path", "fields", "template"), schemas)
+    return found.select("path", F.explode(F.transform(F.filter("schema", lambda x: _gone(f, x)), one)).alias("x")).select("path", "x.*")
+
+
+def template_summary(validated: DataFrame) -> DataFrame:
+    """(template, total, valid, invalid, with_warnings, missing_issues, invalid_issues): a row a template, and one for all (template null)."""
+    issues = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    return validated.rollup("template").agg(
+        F.count("*").alias("total"),
+        F.count_if("is_valid").alias("valid"),
+        F.count_if(~F.col("is_valid")).alias("invalid"),
+        F.count_if(F.size("warnings") > 0).alias("with_warnings"),
+        issues("missing_fields").alias("missing_issues"),
+        issues("invalid_fields").alias("invalid_issues"),
     )
-    out = rows.select("path", F.array_compact(F.array(*missing)).alias("missing_fields"), F.array_compact(F.array(*invalid)).alias("invalid_fields"), F.array_compact(warnings).alias("warnings"))
-    return out.withColumn("is_valid", (F.size("missing_fields") == 0) & (F.size("invalid_fields") == 0)).select("path", "is_valid", "missing_fields", "invalid_fields", "warnings")
 
 
 def fixed_date(text: Column) -> Column:

@@ -382,7 +382,7 @@ def q_description(spark, d):
     return analysis.descriptions(adapters.document_notes(spark, d)).select("path", "description")
 
 
-@query()
+@query(f"WITH {o.META} SELECT * FROM meta")
 def q_metadata(spark, d):
     return analysis.metadata(adapters.document_notes(spark, d))
 
@@ -441,6 +441,47 @@ def q_validation_fixes(spark, d):
     return validation.fixes(rows, validation.validate(rows), "20240101000000")
 
 
+# Template mode: documents by turns of three templates, each checked against the rows of its own.
+
+_TEMPLATES = {
+    "plain": validation.NOTE_SCHEMA,
+    "booksearchtemplate": (validation.Field("title", "string", True), validation.Field("tags", "array"), validation.Field("isbn", "string", True, pattern=validation.PATTERNS["isbn"])),
+    "new-fleeing-note": (validation.Field("title", "string", True), validation.Field("id", "string", True, pattern=validation.PATTERNS["id"]), validation.Field("tags", "array"), validation.Field("published", "string", True, "2024-01-01")),
+}
+
+
+def _by_template(spark, d):
+    turn = F.regexp_replace("path", "doc_", "").cast("long") % 3
+    rows = _fields(spark, d).withColumn("template", F.when(turn == 0, "plain").when(turn == 1, "booksearchtemplate").otherwise("new-fleeing-note"))
+    return rows, validation.schema_rows(spark, _TEMPLATES)
+
+
+_TEMPLATED = r"""WITH d AS (SELECT doc_id, concat('doc_', doc_id) AS path, doc_id % 3 AS k, doc_id % 5 = 0 AS untitled, doc_id % 7 = 0 AS one_tag, doc_id % 4 = 0 AS dated FROM documents),
+v AS (SELECT doc_id, path, ['plain', 'booksearchtemplate', 'new-fleeing-note'][k + 1] AS template, k,
+  list_filter([CASE WHEN untitled THEN 'title' END, CASE WHEN k = 1 THEN 'isbn' END, CASE WHEN k = 2 THEN 'published' END], lambda x: x IS NOT NULL) AS missing,
+  list_filter([CASE WHEN k = 2 THEN 'id: does not match ^\d{14}$' END, CASE WHEN one_tag THEN 'tags: expected array, got string' END, CASE WHEN k = 0 AND dated THEN 'date: does not match ^\d{4}-\d{2}-\d{2}$' END], lambda x: x IS NOT NULL) AS invalid,
+  list_filter([CASE WHEN k = 0 THEN 'id is not a time stamp' END, CASE WHEN dated THEN 'date is not a date' END, CASE WHEN k = 1 THEN concat('unexpected fields: ', CASE WHEN dated THEN 'date, ' ELSE '' END, 'id') WHEN k = 2 AND dated THEN 'unexpected fields: date' END,
+    CASE WHEN k = 1 THEN 'recommended fields: author, publisher, totalPage' WHEN k = 2 THEN 'recommended fields: category, description' END], lambda x: x IS NOT NULL) AS warnings FROM d)"""
+
+
+@query(f"{_TEMPLATED} SELECT path, template, len(missing) = 0 AND len(invalid) = 0 AS is_valid, array_to_string(missing, '; ') AS missing_fields, array_to_string(invalid, '; ') AS invalid_fields, array_to_string(warnings, '; ') AS warnings FROM v")
+def q_template_validation(spark, d):
+    return joined(validation.by_template(*_by_template(spark, d)), "missing_fields", "invalid_fields", "warnings")
+
+
+@query(
+    f"""{_TEMPLATED} SELECT template, count(*) AS total, count(*) FILTER (len(missing) + len(invalid) = 0) AS valid, count(*) FILTER (len(missing) + len(invalid) > 0) AS invalid, count(*) FILTER (len(warnings) > 0) AS with_warnings,
+  sum(len(missing))::BIGINT AS missing_issues, sum(len(invalid))::BIGINT AS invalid_issues FROM v GROUP BY ROLLUP (template)"""
+)
+def q_template_summary(spark, d):
+    return validation.template_summary(validation.by_template(*_by_template(spark, d)))
+
+
+@query(f"{_TEMPLATED} SELECT path, field_name, 'add' AS fix_type, CASE WHEN field_name = 'published' THEN '2024-01-01' END AS suggested_value FROM (SELECT path, unnest(missing) AS field_name FROM v)")
+def q_template_fixes(spark, d):
+    return validation.template_fixes(*_by_template(spark, d))
+
+
 # Repair: front matter with values of the wrong type, and with fields that a template asks for and some rows lack.
 
 _Field = validation.Field
@@ -554,17 +595,46 @@ def q_semantic_links(spark, d):
 # Enhancement, services, report, events
 
 
-@query()
+@query(
+    f"""WITH {o.ENHANCED} SELECT path, title, id, array_to_string(tags, '; ') AS tags, array_to_string(aliases, '; ') AS aliases, array_to_string(category, '; ') AS category, description,
+  word_count::VARCHAR AS word_count, language, author, date_created, changes::INT AS changes FROM enh"""
+)
 def q_enhanced(spark, d):
     notes = adapters.document_notes(spark, d)
-    return joined(enhancement.enhanced(notes, tags.frequencies(notes)), "tags", "category", "changes")
+    done = enhancement.enhanced(notes, tags.frequencies(notes))
+    kept = [F.col("fields")[n].alias(n) for n in ("word_count", "language", "author", "date_created")]
+    return joined(done.select("path", "title", "id", "tags", "aliases", "category", "description", *kept, F.size("changes").alias("changes")), "tags", "aliases", "category")
 
 
-@query(f"{_CHECKS} SELECT unnest(['metadata', 'description', 'category', 'title']) AS change, unnest([count(*), count(*) FILTER (a), count(*) FILTER (g), count(*) FILTER (NOT has_title)]) AS notes FROM c")
+@query(
+    f"""WITH {o.ENHANCED}, c AS (SELECT unnest([('tags', 'tags', count(*) FILTER (len(k) > 0), 0), ('technical', 'tags', count(*) FILTER (len(technical) > 0), 0), ('metadata', 'author', count(author), 0), ('metadata', 'source', count(source), 0),
+  ('metadata', 'date_created', count(date_created), 0), ('metadata', 'project', count(project), 0), ('metadata', 'status', count(status), 0), ('metadata', 'word_count', count(*), 0), ('metadata', 'reading_time', count(*), 0),
+  ('metadata', 'language', count(*), 0), ('aliases', 'aliases', count(*) FILTER (named_otherwise), 0), ('required', 'title', count(*) FILTER (untitled), 0), ('required', 'published', count(*), 0), ('required', 'description', count(*), 0),
+  ('required', 'aliases', count(*), count(*) FILTER (named_otherwise)), ('required', 'category', count(*), 0), ('content', 'tags', count(*) FILTER (len(by_content) > 0), 0), ('title', 'title', count(*) FILTER (untitled), 0)]) AS r FROM enh)
+SELECT r[1] AS step, r[2] AS field, r[3] AS notes, r[4]::BIGINT AS replaced FROM c WHERE r[3] > 0"""
+)
 def q_enhancement_summary(spark, d):
-    changes = enhancement.summary(enhancement.enhanced(adapters.document_notes(spark, d))).where("change <> 'tags'")
-    every = changes.sparkSession.createDataFrame([(c,) for c in ("metadata", "description", "category", "title")], "change string")
-    return every.join(changes, "change", "left").select("change", F.coalesce("notes", F.lit(0).cast("long")).alias("notes"))
+    notes = adapters.document_notes(spark, d)
+    return enhancement.summary(enhancement.enhanced(notes, tags.frequencies(notes)))
+
+
+# Dates: orders as notes, with the order's day as the file's time and ids of which every other one is a time stamp.
+
+
+@query(
+    """WITH o AS (SELECT concat('order_', o_orderkey) AS path, strftime(o_orderdate, '%Y-%m-%d') AS file, CASE WHEN o_orderkey % 4 < 2 THEN concat(strftime(o_orderdate + INTERVAL 40 DAY, '%Y%m%d'), '101112') WHEN o_orderkey % 4 = 2 THEN '20249999000000' ELSE 'plain' END AS id, o_orderkey % 3 <> 0 AS timed FROM orders)
+SELECT path, CASE WHEN timed THEN file ELSE '2024-05-06' END AS created, CASE WHEN timed THEN file END AS modified, CASE WHEN id LIKE '%101112' THEN concat(substring(id, 1, 4), '-', substring(id, 5, 2), '-', substring(id, 7, 2)) WHEN timed THEN file ELSE '2024-05-06' END AS published,
+  CASE WHEN timed THEN 'file' ELSE 'clock' END AS created_by, CASE WHEN id LIKE '%101112' THEN 'id' WHEN timed THEN 'file' ELSE 'clock' END AS published_by FROM o"""
+)
+def q_dates(spark, d):
+    key = F.col("o_orderkey")
+    stamp = F.concat(F.date_format(F.date_add("o_orderdate", 40), "yyyyMMdd"), F.lit("101112"))
+    notes = adapters.table(spark, d, "orders").select(
+        F.concat(F.lit("order_"), key.cast("string")).alias("path"),
+        F.when(key % 4 < 2, stamp).when(key % 4 == 2, "20249999000000").otherwise("plain").alias("fm_id"),
+        F.when(key % 3 != 0, F.col("o_orderdate").cast("timestamp")).alias("modified_at"),
+    )
+    return enhancement.dates(notes, "20240506070809")
 
 
 @query()
@@ -686,11 +756,11 @@ def q_link_summary(spark, d):
     return report.link_summary(notes, kept, chosen, mentions.alias_updates(chosen, adapters.part_notes(spark, d)))
 
 
-@query(f"{_CHECKS}, n AS (SELECT 1 + a::INT + g::INT + (NOT has_title)::INT AS k FROM c) SELECT count(*) AS analysed, count(*) AS improved, sum(k)::BIGINT AS improvements, count(*) AS with_metadata FROM n")
+@query(f"WITH {o.ENHANCED} SELECT count(*) AS analysed, count(*) FILTER (changes > 0) AS improved, sum(changes)::BIGINT AS improvements, count(*) AS with_metadata FROM enh")
 def q_improvement_report(spark, d):
-    done = enhancement.enhanced(adapters.document_notes(spark, d))
-    untagged = done.withColumn("changes", F.filter("changes", lambda c: ~c.startswith("Added tags")))
-    return report.improvement_report(untagged).select("analysed", "improved", "improvements", "with_metadata")
+    notes = adapters.document_notes(spark, d)
+    done = enhancement.enhanced(notes, tags.frequencies(notes))
+    return report.improvement_report(done).select("analysed", "improved", "improvements", "with_metadata")
 
 
 @query(f"{_IMPROVEMENTS}, n AS (SELECT path, len(i) AS improvements FROM (SELECT path, list(i) AS i FROM (SELECT path, unnest(list_filter([CASE WHEN NOT has_title THEN 1 END, 1, 1, 1, 1, CASE WHEN t THEN 1 END, CASE WHEN a THEN 1 END, CASE WHEN g THEN 1 END, CASE WHEN m THEN 1 END, CASE WHEN s THEN 1 END, CASE WHEN u THEN 1 END], lambda x: x IS NOT NULL)) AS i FROM c) GROUP BY path)) SELECT path, improvements::INT AS improvements FROM n ORDER BY n.improvements DESC, path LIMIT 10")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notemill.functions.dictionaries import ABBREVIATIONS, CATEGORIES, CONTENT_TAGS, PAIRS, TAG_PATTERNS
+from notemill.functions.dictionaries import ABBREVIATIONS, CATEGORIES, CONTENT_TAGS, KEYWORD_TAGS, PAIRS, TAG_PATTERNS
 from notemill.operators.tags import spelled
 from notemill.operators.zones import SPAN_ZONES
 from notemill.sources.adapters import LINE_SQL
@@ -176,3 +176,60 @@ def term_matches() -> str:
 
     each = [f"SELECT path, tags, '{t}' AS term, {first((t, *n))} AS matched, '{k}' AS kind FROM lowered" for k, table in (("pair", PAIRS), ("abbreviation", ABBREVIATIONS)) for t, n in table]
     return f"WITH {NOTES}, lowered AS (SELECT path, tags, lower(content) AS low FROM notes), hits AS (SELECT * FROM ({' UNION ALL '.join(each)}) WHERE matched IS NOT NULL)"
+
+
+WORDS = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
+
+
+def _metadata() -> str:
+    """CTE meta: what the content of a document says of itself, and counts of its words."""
+    said = {
+        "author": r"(?i)(?:author|著者|writer|written by):\s*([^\n]+)",
+        "source": r"(?i)(?:source|出典|from):\s*([^\n]+)",
+        "date_created": r"(?i)(?:created|作成日|date):\s*(\d{4}-\d{2}-\d{2})",
+        "project": r"(?i)(?:project|プロジェクト):\s*([^\n]+)",
+        "status": r"(?i)(?:status|状態):\s*(draft|complete|in-progress|todo)",
+    }
+    found = ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN trim(regexp_extract(content, '{p}', 1), E' \\t\\r\\n') END AS {k}" for k, p in said.items())
+    return f"""meta AS (SELECT path, {found}, NULL::VARCHAR AS published, NULL::VARCHAR AS created_time, len(w)::INT AS word_count, greatest(1, len(w) // 200)::INT AS reading_time,
+  CASE WHEN ja > en * 2 THEN 'japanese' WHEN en > 10 THEN 'english' ELSE 'mixed' END AS language
+  FROM (SELECT *, len(regexp_extract_all(content, '[぀-ゟ゠-ヿ一-龯]')) AS ja, len(list_filter(w, lambda x: regexp_full_match(x, '[a-zA-Z]+'))) AS en FROM (SELECT *, regexp_extract_all(content, '{WORDS}') AS w FROM notes)))"""
+
+
+def _term_tags(x: str) -> str:
+    """The tags of the dictionary's terms in a text, in the dictionary's order; a term of both tables counts once."""
+    hit = lambda names: "(" + " OR ".join(f"contains({x}, '{n.lower()}')" for n in names) + ")"
+    tag = lambda t: f"'tech-{t.lower()}'" if len(t) <= 3 else f"'{t.lower()}'"
+    pairs = {t: hit((t, *n)) for t, n in PAIRS}
+    each = [f"CASE WHEN {h} THEN {tag(t)} END" for t, h in pairs.items()]
+    each += [f"CASE WHEN {hit((t, *n))}{f' AND NOT {pairs[t]}' if t in pairs else ''} THEN {tag(t)} END" for t, n in ABBREVIATIONS]
+    return f"list_filter([{', '.join(each)}], lambda x: x IS NOT NULL)"
+
+
+def _enhanced() -> str:
+    """CTE enh: documents as notes after all steps of their enhancement, with what each step put in."""
+    keyword = ", ".join(f"CASE WHEN {' + '.join(f'contains(low, {w!r})::INT' for w in words)} >= 3 THEN [{n!r}, {wide!r}] ELSE [] END" for wide, n, words in KEYWORD_TAGS)
+    sure = ", ".join(" + ".join(f"contains(low, {k!r})::INT" for k in kw) for _, kw, _ in CONTENT_TAGS)
+    other = " OR ".join(f"contains(low, '{t.lower()}')" + "".join(f" OR contains(content, '{n}')" for n in names) for t, names in PAIRS)
+    return f"""{NOTES}, {_metadata()},
+lowered AS (SELECT *, lower(content) AS low, coalesce(title, '') AS named FROM notes),
+vault_word AS (SELECT tag, unnest(list_distinct(regexp_extract_all(lower(tag), '{WORDS}'))) AS w FROM (SELECT DISTINCT unnest(tags) AS tag FROM notes)),
+near AS (SELECT path, list(DISTINCT tag) AS near FROM (SELECT path, unnest(list_distinct(regexp_extract_all(low, '{WORDS}'))) AS w FROM lowered) JOIN vault_word USING (w) GROUP BY path),
+s1 AS (SELECT l.*, list_sort(list_distinct(list_filter(flatten([{keyword}, list_transform(list_filter(regexp_extract_all(content, '#({WORDS})', 1), lambda x: length(x) > 2), lambda x: lower(x)), coalesce(near, [])]),
+  lambda x: NOT list_contains(tags, x)))) AS k FROM lowered l LEFT JOIN near USING (path)),
+s2 AS (SELECT *, list_filter({_term_tags("low")}, lambda x: NOT list_contains(tags, x) AND NOT list_contains(k, x)) AS technical, ({other}) AS named_otherwise,
+  {content_tag_list("low")} AS of_content, list_max([{sure}]) >= 3 AS sure FROM s1),
+s3 AS (SELECT *, CASE WHEN sure AND len(list_filter(of_content, lambda x: NOT list_contains(tags, x))) > 0 THEN list_filter(of_content, lambda x: NOT list_contains(tags, x) AND NOT list_contains(k, x) AND NOT list_contains(technical, x)) ELSE [] END AS by_content FROM s2),
+about_line AS (SELECT path, list_transform(string_split(content, chr(10)), lambda x: trim(x, E' \n\t\r')) AS x FROM notes),
+about_from AS (SELECT path, x[list_position(list_transform(x, lambda y: y <> '' AND NOT starts_with(y, '#')), true):] AS x FROM about_line),
+about AS (SELECT path, array_to_string(list_filter(x[1:coalesce(nullif(list_position(x, ''), 0) - 1, len(x))], lambda y: NOT starts_with(y, '#')), ' ') AS a FROM about_from),
+enh AS (SELECT path, file_id AS id, CASE WHEN trim(named) <> '' THEN named ELSE stem END AS title, flatten([tags, k, technical, by_content]) AS tags, CASE WHEN named <> '' THEN [named] ELSE [] END AS aliases,
+  {categories("low")} AS category, CASE WHEN length(coalesce(a, '')) > 150 THEN concat(substring(a, 1, 147), '...') ELSE coalesce(a, '') END AS description, k, technical, by_content, named_otherwise, trim(named) = '' AS untitled,
+  word_count, reading_time, language, author, source, date_created, project, status,
+  (len(k) > 0)::INT + (len(technical) > 0)::INT + 3 + (author IS NOT NULL)::INT + (source IS NOT NULL)::INT + (date_created IS NOT NULL)::INT + (project IS NOT NULL)::INT + (status IS NOT NULL)::INT
+    + named_otherwise::INT + 4 + 2 * (trim(named) = '')::INT + (len(by_content) > 0)::INT AS changes
+  FROM s3 JOIN meta USING (path) LEFT JOIN about USING (path))"""
+
+
+META = f"{NOTES.strip()}, {_metadata()}"
+ENHANCED = _enhanced()

@@ -105,14 +105,17 @@ def parse(text: str | None) -> dict[str, str]:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """rows (path, raw) to (path, raw, fields map<string,string>)."""
+    """rows (path, raw) to (path, raw, fields map<string,string>), with modified_at where the rows have it."""
     kind = pa.map_(pa.string(), pa.string())
+    kept = ["path", "raw", *[c for c in rows.columns if c == "modified_at"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(parse(h.as_py()).items()) for h in b.column(2)], kind)], names=["path", "raw", "fields"])
+            fields = pa.array([list(parse(h.as_py()).items()) for h in b.column(len(kept))], kind)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], fields], names=[*kept, "fields"])
 
-    return rows.select("path", "raw", header(F.col("raw")).alias("header")).mapInArrow(run, "path string, raw string, fields map<string,string>")
+    stamped = ", modified_at timestamp" if len(kept) > 2 else ""
+    return rows.select(*kept, header(F.col("raw")).alias("header")).mapInArrow(run, f"path string, raw string{stamped}, fields map<string,string>")
 
 
 def _text(name: str) -> Column:
@@ -125,7 +128,7 @@ def _list(name: str) -> Column:
 
 
 def as_notes(rows: DataFrame) -> DataFrame:
-    """(path, raw, fields) to notes with the columns of the adapters, and raw and fields."""
+    """(path, raw, fields) to notes with the columns of the adapters, raw and fields, and modified_at where the rows have it."""
     name = F.substring_index("path", "/", -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     fm_id = F.when(_text("id") != "", _text("id"))
@@ -143,6 +146,7 @@ def as_notes(rows: DataFrame) -> DataFrame:
         body(F.col("raw")).alias("content"),
         "raw",
         "fields",
+        *[c for c in rows.columns if c == "modified_at"],
     )
 
 

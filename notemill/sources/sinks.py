@@ -6,31 +6,69 @@ import os
 import shutil
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from notemill.session import cut
+
 
 def backup_name(path: str, stamp: str) -> str:
     return f"{os.path.splitext(path)[0]}.backup_{stamp}.bak"
 
 
-def save_notes(rows: DataFrame, stamp: str | None = None) -> None:
-    """Writes rows (path, raw) to their files, each partition its own; with a stamp the old file is kept as a backup.
+SAVED = "path string, status string, message string"
 
-    A file is written beside its place and moved there, so a task that is run again leaves
-    whole files. The files must be reachable from the executors.
-    """
 
-    def write(part: Iterator) -> None:
-        for row in part:
-            if stamp and os.path.exists(row.path) and not os.path.exists(backup_name(row.path, stamp)):
-                shutil.copy2(row.path, backup_name(row.path, stamp))
-            with open(f"{row.path}.part", "w", encoding="utf-8", newline="") as f:
-                f.write(row.raw)
-            os.replace(f"{row.path}.part", row.path)
+def saved(rows: DataFrame, stamp: str | None = None) -> DataFrame:
+    """Writes rows (path, raw) to their files, each partition its own, and gives (path, status, message) of each.
+
+    status is applied, skipped (the file has this text already, or there is none to write)
+    or error, with what the system said; an error stops no other file. A file is written
+    beside its place and moved there, and with a stamp its old text is kept as a backup,
+    once; so a task that is run again finds its files whole and skips them. The files must
+    be reachable from the executors. Rows are written when the result is read: read it once.
+    """
 
-    rows.select("path", "raw").foreachPartition(write)
+    def one(path: str, raw: str | None) -> tuple[str, str | None]:
+        if raw is None:
+            return "skipped", "no text"
+        if os.path.exists(path):
+            with open(path, encoding="utf-8", newline="") as f:
+                if f.read() == raw:
+                    return "skipped", "unchanged"
+            if stamp and not os.path.exists(backup_name(path, stamp)):
+                shutil.copy2(path, backup_name(path, stamp))
+        part = f"{path}.part{os.getpid()}"
+        with open(part, "w", encoding="utf-8", newline="") as f:
+            f.write(raw)
+        os.replace(part, path)
+        return "applied", None
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    done.append((path, *one(path, raw)))
+                except (OSError, ValueError, TypeError) as e:
+                    done.append((path, "error", f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(3)], names=["path", "status", "message"])
+
+    return rows.select("path", "raw").mapInArrow(write, SAVED)
+
+
+def save_notes(rows: DataFrame, stamp: str | None = None) -> DataFrame:
+    """saved(), done at once: the statuses are kept as a checkpoint and can be read again. Where files failed, the statuses say so."""
+    return cut(saved(rows, stamp))
+
+
+def save_totals(statuses: DataFrame) -> DataFrame:
+    """(files, applied, skipped, errors, success_rate): how a run of writing went; the rate is of those that were to change."""
+    n = {s: F.count_if(F.col("status") == s) for s in ("applied", "skipped", "error")}
+    tried = n["applied"] + n["error"]
+    return statuses.agg(F.count("*").alias("files"), n["applied"].alias("applied"), n["skipped"].alias("skipped"), n["error"].alias("errors"), F.when(tried > 0, n["applied"] / tried).otherwise(1.0).alias("success_rate"))
 
 
 def restore(path: str, backup: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Mapping
 from typing import Any
@@ -93,3 +94,29 @@ def scan(notes: DataFrame) -> dict[str, str]:
     parent = F.get(parts, F.size(parts) - 2)
     found = notes.where(parent.isin(*DIRECTORIES)).select("path", "raw").orderBy("path").collect()
     return {r["path"].rsplit("/", 1)[1].rsplit(".", 1)[0]: r["raw"] for r in found}
+
+
+def in_templates(notes: DataFrame) -> Column:
+    """Whether a note is a template itself."""
+    parts = F.split(notes["path"], "/")
+    return F.coalesce(F.get(parts, F.size(parts) - 2).isin(*DIRECTORIES), F.lit(False))
+
+
+def assigned(notes: DataFrame) -> DataFrame:
+    """notes with the column template, without the templates themselves."""
+    return notes.where(~in_templates(notes)).withColumn("template", template_of(F.col("dir"), F.col("present_keys")))
+
+
+def single(path: str) -> tuple[Field, ...]:
+    """The schema of one template file; a path that is missing, no file, no Markdown or unreadable is an error of its own."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"there is no template {path}")
+    if not os.path.isfile(path):
+        raise ValueError(f"{path} is not a file")
+    if not path.lower().endswith(".md"):
+        raise ValueError(f"{path} is not a Markdown file")
+    with open(path, encoding="utf-8") as f:
+        found = schema(f.read())
+    if found is None:
+        raise ValueError(f"{path} has no front matter that can be read")
+    return found

@@ -26,7 +26,7 @@ def matches(relative: Column, pattern: str) -> Column:
 
 
 def files(spark: SparkSession, root: str, include: Sequence[str] = INCLUDE, exclude: Sequence[str] = EXCLUDE) -> DataFrame:
-    """(path, raw): the Markdown files below a directory. Names are tested before contents are read."""
+    """(path, raw, modified_at): the Markdown files below a directory. Names are tested before contents are read."""
     ship(spark)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
@@ -38,7 +38,7 @@ def files(spark: SparkSession, root: str, include: Sequence[str] = INCLUDE, excl
         kept = kept | matches(relative, p)
     for p in exclude:
         kept = kept & ~matches(relative, p)
-    return listed.where(wanted & kept).select(path.alias("path"), F.col("content").cast("string").alias("raw")).dropDuplicates(["path"])
+    return listed.where(wanted & kept).select(path.alias("path"), F.col("content").cast("string").alias("raw"), F.col("modificationTime").alias("modified_at")).dropDuplicates(["path"])
 
 
 def notes(spark: SparkSession, root: str, include: Sequence[str] = INCLUDE, exclude: Sequence[str] = EXCLUDE) -> DataFrame:

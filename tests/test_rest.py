@@ -53,7 +53,7 @@ def test_quality_and_enhancement(spark):
     assert out["v/20230101120000.md"].title == "Note 20230101" and "deep" in out["v/my-file.md"].tags and "code" in out["v/my-file.md"].tags
     assert out["v/my-file.md"].category == ["technical", "book"]
     meta = {r.path: r for r in analysis.metadata(n).collect()}
-    assert meta["v/20230101120000.md"].published == "2023-01-01" and meta["v/20230101120000.md"].created_time == "12:00:00" and meta["v/my-file.md"].language == "english"
+    assert meta["v/20230101120000.md"].published == "2023-01-01" and meta["v/20230101120000.md"].created_time == "2023-01-01 12:00:00" and meta["v/my-file.md"].language == "english"
 
 
 def test_vectors_and_services(spark):
