@@ -49,8 +49,8 @@ from notemill.session import cut
 LEXICON_WORDS = 1 << 17
 LEXICON_BYTES = 64
 #: Characters of texts whose words are looked up together, and after which a long text is cut.
-BLOCK = 1 << 21
-PIECE = 1 << 20
+BLOCK = 1 << 20
+PIECE = 1 << 19
 #: Bytes of a word up to which words merge in step; longer ones merge over a heap.
 IN_STEP = 64
 NEVER = np.iinfo(np.int64).max
