@@ -1,24 +1,30 @@
 """Main text of web pages by the distribution of line blocks.
 
 1. Markup is stripped. Every block element starts a line, every bound of a container
-   (div, section, table and the like) leaves an empty line, that of an article or main
-   element a whole window of them, and comments, scripts, styles and other elements without
-   readable text go. The lines of page furniture (known by an
-   element's name, role, class or id) are empty ones.
-2. A line weighs its length; one that is mostly links weighs nothing, unless it stands
-   alone between two lines of prose. Lines in an article or main element are raised: they
-   weigh RAISE times their length and one surge more, and the surge asked for on such a
-   page is RAISE times as high, so text beside the article must be that much denser.
-3. The weights are summed over windows of WINDOW lines. A window whose sum exceeds the
-   surge, at a line with weight, is a surge point; the next window of sum 0 is the dive
-   point. Without a surge, the block between two dives that weighs most is taken.
-4. The lines with weight between a surge and its dive are kept, in page order.
+   (div, section, table and the like) leaves an empty line; comments, scripts, styles and
+   other elements without readable text go, as do elements that are furniture by their
+   kind (nav, footer, aside, form, or a role of that sort).
+2. Lines run in flows: that of the page, one for each article or main element, and one for
+   each element whose class or id holds a name of furniture. A line weighs its length; one
+   that is mostly links weighs nothing, unless it stands alone between two lines of prose.
+   In an article a line weighs RAISE times as much; behind a name of furniture a part of
+   it, DOUBTED, or DISMISSED where the element has no other name. An article within such
+   an element is a flow of its own and not doubted.
+3. The weights are summed over windows of WINDOW lines of a flow. A window of sum 0 is a
+   dive point; what lies between two dives is a block. A block with a window whose sum
+   exceeds the surge has a surge point. On a page with an article the surge asked for is
+   MARKED times as high. Without any surge the block that weighs most is taken.
+4. The lines with weight of the blocks with a surge are kept, in page order.
+
+So neither a tag nor a name decides by itself: an article surges by more than 40
+characters in three lines, text beside it by more than 320, text behind a name of
+furniture by eight or sixty-four times as many as without it. A short article beside
+text that surges is lost, and furniture without any usual name within an article is kept.
 
 Within a line character references are decoded and white space is folded; lines are
 joined by one space. The end tags that HTML lets out (p, li, dt, dd, option, tr, td, th)
-are implied, so a paragraph of furniture ends where the next one begins. A paragraph in an
-article whose class only hints at furniture (HINTS) is furniture if it is shorter than
-SURGE or mostly links.
+are implied, so an element ends where the next one begins. A paragraph in an article whose
+class only hints at furniture (HINTS) is like any other if it has SURGE characters or more.
 
 Defined cases: a null or empty page has the empty text, as has one of furniture only; of
 blocks that weigh the same the first is taken; repeated rows give equal texts; unclosed
@@ -38,8 +44,10 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
-#: How much more a line of an article weighs than one beside it.
-RAISE = 4
+#: What a character weighs: on the page, in an article (RAISE times as much), and behind a name of furniture.
+ONE, RAISE, DOUBTED, DISMISSED = 64, 8, 1 / 8, 1 / 64
+#: How many times the surge is asked for on a page with an article.
+MARKED = 4
 LINKED = 0.5
 
 # Element names of the HTML standard and usual names of page furniture.
@@ -82,94 +90,169 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 PROSE, LINKS, EMPTY = range(3)
 
 
-def _named(name: str, rest: str) -> tuple[bool, bool]:
-    """(whether an element is furniture, whether no more than hints say so)."""
+def _named(name: str, rest: str) -> tuple[bool, float, bool]:
+    """(whether an element is furniture by its kind, what its names leave of a line's weight, whether no more than hints say so)."""
     if name in FURNITURE:
-        return True, False
+        return True, 0, False
     if not rest or name in ("html", "body", "article", "main") or "=" not in rest:
-        return False, False
-    found: set[str] = set()
+        return False, 1, False
+    found, parts = set(), set()
     for kind, *value in _NAMED.findall(rest):
-        found |= (ROLES if kind.lower() == "role" else NAMES).intersection(_PARTS.split("".join(value).lower()))
-    return bool(found), found <= HINTS
+        own = set(filter(None, _PARTS.split("".join(value).lower())))
+        if kind.lower() == "role":
+            if ROLES & own:
+                return True, 0, False
+        else:
+            found |= NAMES & own
+            parts |= own
+    return False, 1 if not found else DISMISSED if found == parts else DOUBTED, found <= HINTS
+
+
+class Line:
+    """A line of text: what it is, its flow, and its share of a full weight."""
+
+    __slots__ = ("text", "kind", "flow", "share")
+
+    def __init__(self, text: str, kind: int, flow: int, share: float):
+        self.text, self.kind, self.flow, self.share = text, kind, flow, share
+
+
+class _Scope:
+    """An open element that decides for what stands in it, with the flow and share around it."""
+
+    __slots__ = ("flow", "hinted", "kind", "opened", "share")
+
+    def __init__(self, kind: int, name: str, flow: int, share: float, hinted: bool = False):
+        self.kind, self.opened, self.flow, self.share, self.hinted = kind, [name], flow, share, hinted
+
+
+#: Scopes: furniture by its kind, an element with a name of furniture, an article.
+BARRED, NAMED, ARTICLE = range(3)
 
 
 class _Page:
-    """The lines of a page as (text, kind, whether in an article), built tag by tag."""
+    """The lines of a page, built tag by tag."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.barred: list[str] = []
-        self.hinted = False
-        self.articles, self.marked = 0, False
+        self.flow, self.flows, self.share = 0, 1, 1.0
+        self.scopes: list[_Scope] = []
+        self.marked = False
         self.in_link = self.fresh_link = False
 
+    def within(self, kind: int) -> bool:
+        return bool(self.scopes) and self.scopes[-1].kind == kind
+
     def text(self, piece: str) -> None:
         self.parts.append(piece)
         if self.in_link:
             self.linked += len(piece.strip())
 
+    def empty(self, n: int = 1) -> None:
+        """Empty lines part the blocks of the page; an article and what has a name of furniture are one block each."""
+        if self.flow == 0:
+            self.lines += [Line("", EMPTY, 0, 1)] * n
+
     def flush(self) -> None:
         if self.parts:
-            if text := " ".join(html.unescape("".join(self.parts)).split()):
+            text = " ".join(html.unescape("".join(self.parts)).split())
+            if text and self.within(BARRED):
+                self.empty()
+            elif text:
                 links = self.linked > LINKED * len(text)
-                if self.barred and not (self.hinted and len(text) >= SURGE and not links):
-                    self.lines.append(("", EMPTY, False))
-                else:
-                    self.lines.append((text, LINKS if links else PROSE, self.articles > 0))
+                plain = self.within(NAMED) and self.scopes[-1].hinted and len(text) >= SURGE and not links
+                flow, share = (self.scopes[-1].flow, self.scopes[-1].share) if plain else (self.flow, self.share)
+                self.lines.append(Line(text, LINKS if links else PROSE, flow, share))
             self.parts.clear()
         self.linked = 0
 
+    def enter(self, kind: int, name: str, share: float, hinted: bool = False) -> None:
+        self.scopes.append(_Scope(kind, name, self.flow, self.share, hinted))
+        if kind != BARRED:
+            self.flow, self.flows, self.share = self.flows, self.flows + 1, share
+
+    def leave(self) -> None:
+        scope = self.scopes.pop()
+        self.flow, self.share = scope.flow, scope.share
+
     def tag(self, name: str, end: bool, rest: str) -> None:
         if name in BLOCKS:
             self.flush()
             if end and self.fresh_link:  # a link that its block leaves open ends with it
                 self.in_link = False
             self.fresh_link = False
-        if self.barred and self._in_furniture(name, end):
+        if self._inside(name, end):
+            return
+        if name in ("article", "main"):
+            self._article(name, end)
             return
         if name == "a":
             self.in_link = self.fresh_link = not end
         if not end and name not in VOID:
-            furniture, hints = _named(name, rest)
-            if furniture:
+            furniture, share, hints = _named(name, rest)
+            if furniture or (share < 1 and not self.within(NAMED)):
                 self.flush()
-                self.barred, self.hinted = [name], hints and name == "p" and self.articles > 0
+                article = self.within(ARTICLE)
+                self.enter(BARRED if furniture else NAMED, name, self.share * share, hints and name == "p" and article)
                 return
         if name in CONTAINERS:
-            # What stands in an article and what stands beside it surge apart.
-            self.lines += [("", EMPTY, False)] * (WINDOW if name in ("article", "main") else 1)
-        if name in ("article", "main"):
-            self.articles = max(0, self.articles + (-1 if end else 1))
+            self.empty()
+
+    def _article(self, name: str, end: bool) -> None:
+        if not end:
+            self.empty(WINDOW)
+            self.enter(ARTICLE, name, RAISE)
             self.marked = True
+        elif any(x.kind == ARTICLE for x in self.scopes):
+            while not self.within(ARTICLE):
+                self.leave()
+            self.leave()
+            self.empty(WINDOW)
 
-    def _in_furniture(self, name: str, end: bool) -> bool:
-        """Follows the elements within furniture; whether the tag still belongs to it."""
-        if name not in BLOCKS and name not in self.barred:
+    def _inside(self, name: str, end: bool) -> bool:
+        """Follows the elements of the scopes; whether the tag is done with."""
+        while self.scopes and self.scopes[-1].kind != ARTICLE:
+            scope = self.scopes[-1]
+            if end and name not in scope.opened and any(name in x.opened for x in self.scopes[:-1]):
+                self.leave()  # what stands around it ends, and so does it
+                continue
+            if scope.kind == NAMED and name in ("article", "main", "a"):
+                return False  # an article within a mere name is one of its own
+            belongs = self._follow(scope.opened, name, end)
+            if scope.opened:
+                return belongs and (scope.kind == BARRED or end)
+            self.leave()
+            if belongs:
+                return True
+        return False
+
+    def _follow(self, opened: list[str], name: str, end: bool) -> bool:
+        """Notes an element's begin or end among the open ones; whether it belongs to them."""
+        if name not in BLOCKS and name not in opened:
             return True
         if end:
-            if name in self.barred:
-                del self.barred[len(self.barred) - 1 - self.barred[::-1].index(name) :]
+            if name in opened:
+                del opened[len(opened) - 1 - opened[::-1].index(name) :]
                 return True
-            if name in BLOCKS and all(x in IMPLIED for x in self.barred):
-                self.barred = []  # the end of what the furniture stands in
+            if name in BLOCKS and all(x in IMPLIED for x in opened):
+                opened.clear()  # the end of what it stands in
                 return False
             return True
-        while self.barred and name in IMPLIED.get(self.barred[-1], ()):
-            self.barred.pop()
-        if self.barred == ["head"] and name == "body":
-            self.barred = []
-        if not self.barred:
+        while opened and name in IMPLIED.get(opened[-1], ()):
+            opened.pop()
+        if opened == ["head"] and name == "body":
+            opened.clear()
+        if not opened:
             return False
         if name not in VOID:
-            self.barred.append(name)
+            opened.append(name)
         return True
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """([(text, kind, in an article)], whether the page marks an article)."""
+def lines_of(page: str) -> tuple[list[Line], bool]:
+    """(the lines of a page in its order, whether it marks an article)."""
     made = _Page()
     at = 0
     for m in _MARKUP.finditer(page):
@@ -184,44 +267,50 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return made.lines, made.marked
 
 
-def weights(lines: list[tuple[str, int, bool]]) -> list[int]:
-    """What each line weighs."""
-    texts = [i for i, (_, kind, _) in enumerate(lines) if kind != EMPTY]
+def weights(lines: list[Line]) -> list[int]:
+    """What each line of a flow weighs."""
+    texts = [i for i, x in enumerate(lines) if x.kind != EMPTY]
     alone = set()
     for before, i, after in zip(texts, texts[1:], texts[2:], strict=False):
-        if after == before + 2 and lines[before][1] == PROSE == lines[after][1]:
+        if after <= before + 2 + 2 * (after - before > 2) and lines[before].kind == PROSE == lines[after].kind:
             alone.add(i)
-    out = []
-    for i, (text, kind, inside) in enumerate(lines):
-        n = len(text) if kind == PROSE or i in alone or (inside and kind == LINKS) else 0
-        out.append(RAISE * (n + SURGE) + 1 if inside and n else n)
-    return out
+    return [int(ONE * x.share * len(x.text)) if x.kind == PROSE or i in alone or (x.kind == LINKS and x.share > 1) else 0 for i, x in enumerate(lines)]
 
 
-def between_surge_and_dive(weighed: list[int], surge: int) -> list[int]:
-    """The places of the lines that are kept."""
+def blocks(weighed: list[int]) -> list[tuple[int, list[int]]]:
+    """(greatest sum of a window, places of the lines with weight) of what lies between two dives."""
     padded = [*weighed, *[0] * WINDOW]
     sums = sum(padded[:WINDOW])
-    kept: list[int] = []
-    blocks: list[list[int]] = [[]]
-    surged = False
+    found: list[tuple[int, list[int]]] = []
+    most, places = 0, []
     for i, weight in enumerate(weighed):
-        if not sums:
-            surged = False
-            blocks.append([])
-        elif weight:
-            surged = surged or sums > surge
-            blocks[-1].append(i)
-            if surged:
-                kept.append(i)
+        if weight:
+            places.append(i)
+            most = max(most, sums)
+        elif not sums and places:
+            found.append((most, places))
+            most, places = 0, []
         sums += padded[i + WINDOW] - weight
-    return kept or max(blocks, key=lambda b: sum(weighed[i] for i in b))
+    return [*found, (most, places)] if places else found
+
+
+def between_surge_and_dive(lines: list[Line], surge: int) -> list[int]:
+    """The places of the lines that are kept."""
+    flows: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        flows.setdefault(x.flow, []).append(i)
+    found = []
+    for places in flows.values():
+        weighed = weights([lines[i] for i in places])
+        found += [(most, sum(weighed[i] for i in kept), [places[i] for i in kept]) for most, kept in blocks(weighed)]
+    surged = sorted(i for most, _, kept in found if most > surge for i in kept)
+    return surged or max(found, key=lambda b: (b[1], -b[2][0]), default=(0, 0, []))[2]
 
 
 def main_text(page: str | None) -> str:
     """The text between the surge and dive points of a page."""
     lines, marked = lines_of(page or "")
-    return " ".join(lines[i][0] for i in between_surge_and_dive(weights(lines), RAISE * SURGE if marked else SURGE))
+    return " ".join(lines[i].text for i in between_surge_and_dive(lines, ONE * SURGE * (MARKED if marked else 1)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
