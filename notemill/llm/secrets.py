@@ -1,7 +1,12 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are assignments to a name that says secret, private-key blocks, tokens of a
-known form and long runs of key characters that hold a digit, of any length. Each gets
+Candidates are assignments to a name that says secret (any white space beside the sign, a
+value on the next line, in quotes with whatever stands in them, or behind Bearer, Basic or
+Digest), passwords in addresses (//user:password@), private-key blocks, tokens of a known
+form and long runs of key characters that hold a digit, of any length. No candidates are
+values of fewer than 8 characters, unquoted values beyond their first blank, comma, quote,
+semicolon or angle bracket, and names with more than 32 characters behind the word that
+says secret. A whole private-key block is a secret whatever its body is made of. Each gets
 features of its length, its character transitions (the mean log-odds of its pairs of
 neighbouring characters in secrets against others, learned from labelled findings), how
 much of it common words cover, whether it looks like part of a path, and the words beside
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import string
 from dataclasses import dataclass
 
@@ -64,15 +70,21 @@ BLOCK = (
     r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr])*+(?:[A-Za-z][A-Za-z-]*+: [^\r\n\\]*+(?:[\r\n]|\\[nr])++)*+"
     r"[A-Za-z0-9+/=\\\s]*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 )
-NAMED = rf"(?i:{NAMING})[A-Za-z0-9_-]{{0,32}}+[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
-KEYED = rf"{NAMED}(?:{BLOCK}|[^\s\"',;<>]{{8,}})"
+SIGN = r"[\"']?[ \t]*+[:=][ \t]*+(?:\r?\n[ \t]*+)?(?:(?i:bearer|basic|digest)[ \t]++)?"
+NAMED = rf"(?i:{NAMING})[A-Za-z0-9_-]{{0,32}}+{SIGN}"
+KEYED = rf"{NAMED}(?:[\"']?{BLOCK}|\"[^\"\r\n]{{8,}}+(?=\")|'[^'\r\n]{{8,}}+(?=')|[\"']?[^\s\"',;<>]{{8,}})"
+# User and password of an address.
+USER = r"[^\s/:@\"'<>]*+:"
+LOGIN = rf"(?<=://){USER}[^\s/@\"'<>]{{8,}}+(?=@)"
+# What comes before the value of a candidate that has a name.
+NAME = rf"^(?:{NAMED}[\"']?(?=[^\r\n]{{8}})|{USER}(?=[^\s/@\"'<>]{{8,}}+$))"
 # A run that is the name of an assignment leaves its place to KEYED.
 RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Za-z0-9+/_-]{{16}})(?![A-Za-z0-9_-]*?{NAMED}[^\s\"',;<>]{{8}})[A-Za-z0-9+/_-]{{16,}}+(?:\.[A-Za-z0-9_-]{{16,}}+){{0,2}}={{0,2}}"
-CANDIDATE = f"{BLOCK}|{KEYED}|{KNOWN}|{RUN}"
+CANDIDATE = f"{BLOCK}|{LOGIN}|{KEYED}|{KNOWN}|{RUN}"
 
 #: Letters, a digit and any other sign: what transitions are counted between.
 SIGNS_TOLD = 28
-FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "transitions", "distinct", "hex_only", "digits_only", "covered", "slashes", "path_before", "dashes", "named", "harmless", "harmless_after", "block", "known")
+FEATURES = ("length", "digits", "uppers", "class_changes", "case_changes", "transitions", "distinct", "hex_only", "digits_only", "covered", "slashes", "blanks", "path_before", "dashes", "named", "harmless", "harmless_after", "block", "known")
 
 
 def pair_codes(value: Column) -> Column:
@@ -102,9 +114,10 @@ def features(before: Column, value: Column, after: Column, odds: np.ndarray) ->
         flag(value.rlike("^[0-9_-]+$")),
         1 - F.length(F.regexp_replace(low, WORDS, "")) / n,
         count(value, "/") / n,
+        count(value, " ") / n,
         flag(before.rlike(r"[/\\.#?&-]$|://\S*$")),
         count(value, "[_-]") / n,
-        flag(before.rlike(rf"(?i)(?:{NAMING})[A-Za-z0-9_-]{{0,32}}\S{{0,8}}\s{{0,3}}\S{{0,3}}\s{{0,3}}[\"']?$")),
+        flag(before.rlike(rf"(?i)(?:{NAMING})[A-Za-z0-9_-]{{0,32}}\S{{0,8}}\s{{0,3}}\S{{0,3}}\s{{0,3}}(?:(?:bearer|basic|digest)\s+)?[\"']?$|://{USER}$")),
         flag(before.rlike(rf"(?i)\b(?:{HARMLESS})")),
         flag(after.rlike(rf"(?i)^\W{{0,4}}(?:{HARMLESS})")),
         flag(value.startswith("-----BEGIN")),
@@ -114,7 +127,7 @@ def features(before: Column, value: Column, after: Column, odds: np.ndarray) ->
 
 # How the labelled findings name a secret, and the signs behind the name.
 NAMES = ("token", "secret", "api_key", "API-KEY", "password", "access_key", "auth_token", "client_secret", "SECRET_KEY", "AWS_ACCESS_KEY_ID", "DB_PASSWORD_2", "GITHUB_PAT", "STRIPE_KEY")
-SIGNS = (" = ", "=", ": ", ' = "', "='", '": "')
+SIGNS = (" = ", "=", ": ", ' = "', "='", '": "', "     = ", "\t\t\t\t=\t", ":\n    ", ": Bearer ")
 B64 = string.ascii_letters + string.digits + "+/"
 #: Kinds of secret_values that are known by their form, so that they need no name; the others need one of NAMES that says secret.
 FORMED = (2, 3, 4, 5, 7, 8, 9, 10, 11, 12)
@@ -159,12 +172,17 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
         name = rng.choice(NAMES if kind in FORMED else NAMES[:SAYING])
         if kind in FORMED and rng.random() < 0.5:
             return prose() + rng.choice(("", "", "", "https://", "https://" + word() + ".com/api?key=", "https://" + word() + ".com/")), values[kind]
+        if kind == 6 and rng.random() < 0.4:
+            # In quotes, with signs that end other values, or as the password of an address.
+            if rng.random() < 0.5:
+                return prose() + name + rng.choice((' = "', '": "', ': "')), rng.choice((" ", ", ", "<", "; ")).join(secret_values(rng)[6] for _ in range(2))
+            return prose() + rng.choice(("https", "postgres", "ftp")) + "://" + word() + ":", values[6].replace("@", "9")
         # A harmless word somewhere before the name says nothing about what the name says.
         aside = rng.choice(("in the file ", "version 2: ", "for the build ", "order it by path, ")) if rng.random() < 0.3 else ""
         return prose() + aside + name + rng.choice(SIGNS), values[kind]
 
     def other() -> tuple[str, str]:
-        kind = rng.randrange(15)
+        kind = rng.randrange(17)
         hexes = "0123456789abcdef"
         return (
             lambda: (prose() + rng.choice(("commit ", "revision ", "sha1 ", "checksum: ", "md5 ", "digest ", "etag ", "hash: ", "commit=", "sha256=", "?v=", "etag=")), pick(hexes, rng.choice((32, 40, 64)))),
@@ -182,12 +200,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
             lambda: (prose() + "https://" + word() + ".com/" + word() + rng.choice(("?id=", "?page=", "?q=", "?ref=", "?slug=")), "-".join(rng.choice(terms) for _ in range(4)) + "-" + str(rng.randrange(1000))),
             lambda: (prose() + rng.choice(("id=", "class=", "name=", "target=")), "_".join(rng.choice(terms) for _ in range(4)) + str(rng.randrange(100))),
             lambda: (prose() + "data:image/png;base64,", pick(B64, 120)),
+            lambda: (prose() + rng.choice(('password: "', 'secret = "', 'token": "', "auth:\n  ")), prose() + prose().strip() + rng.choice(("", ".", "?", ", " + word()))),
+            lambda: (prose() + "https://" + word() + ":", rng.choice(("password", "changeme", "xxxxxxxx", "yourpassword", "<password>", "********"))),
         )[kind]()
 
     rows = []
     for i in range(n):
         before, value = secret() if i % 2 else other()
-        rows.append((before[-BESIDE:], value, rng.choice((" ", '" ', "' ", ". ", ", ")) + prose(), i % 2))
+        rows.append((re.sub(r"\s{4,}", " ", before)[-BESIDE:], value, rng.choice((" ", '" ', "' ", ". ", ", ")) + prose(), i % 2))
     return rows
 
 
@@ -282,7 +302,7 @@ def judged(pieces: Column, forest: Forest) -> Column:
     """array<struct<name, value, kind, score>> of the candidates of a text that was cut up: name is what an assignment has before its value."""
 
     def named(hit: Column) -> Column:
-        value = F.regexp_replace(hit, rf"^{NAMED}(?=[^\s\"',;<>]{{8}})", "")
+        value = F.regexp_replace(hit, NAME, "")
         return F.struct(F.substring(hit, F.lit(1), F.length(hit) - F.length(value)).alias("name"), value.alias("value"))
 
     # Only the ends of a piece can stand beside a candidate; the pieces next to it hold BESIDE characters, as no candidate is shorter than 8.
@@ -301,14 +321,17 @@ def judged(pieces: Column, forest: Forest) -> Column:
             low = F.greatest(i - PIECES, F.lit(0))
             ahead = F.concat(F.array_join(F.slice(e["before"], low + 1, i - low), ""), F.get(e["gap_before"], i))
             behind = F.concat(F.get(e["gap_after"], i + 1), F.array_join(F.slice(e["after"], i + 2, PIECES), ""))
-            return let(named(h), lambda v: F.struct(v["name"].alias("name"), v["value"].alias("value"), last(F.concat(ahead, v["name"])).alias("before"), first(behind).alias("after")))
+            # However far a value is moved from its name, the name is beside it.
+            near = lambda name: F.regexp_replace(name, r"\s{4,}", " ")
+            return let(named(h), lambda v: F.struct(v["name"].alias("name"), v["value"].alias("value"), last(F.concat(ahead, near(v["name"]))).alias("before"), first(behind).alias("after")))
 
         return F.transform(e["hits"], one)
 
     def scored(c: Column) -> Column:
         kind = F.when(c["value"].startswith("-----BEGIN"), "private_key").when(c["name"] != "", "assignment").otherwise("run")
         f = F.array(*features(c["before"], c["value"], c["after"], forest.odds))
-        score = let(f, lambda x: probability(forest, [F.get(x, F.lit(i)) for i in range(len(FEATURES))]))
+        by_forest = let(f, lambda x: probability(forest, [F.get(x, F.lit(i)) for i in range(len(FEATURES))]))
+        score = F.when(kind == "private_key", F.lit(1.0)).otherwise(by_forest)
         return F.struct(c["name"].alias("name"), c["value"].alias("value"), kind.alias("kind"), score.alias("score"))
 
     return F.transform(let(let(pieces, ends), beside), scored)
