@@ -293,34 +293,33 @@ def encoded(texts: list[str], words: Vocabulary, lexicon: Lexicon) -> tuple[np.n
     return ids, np.diff(np.concatenate(([0], np.cumsum(counts)))[first])
 
 
-def _encode(path: str, name: str):
+def _encode(path: str, name: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, lexicon = vocabulary(path), _lexicon(name)
 
-        def made(doc_ids: list, owners: list[int], pieces: list[str]) -> pa.RecordBatch:
-            ids, n = encoded(pieces, words, lexicon)
-            per_row = np.bincount(np.array(owners, dtype=np.int64), weights=n, minlength=len(doc_ids)).astype(np.int64)
-            offsets = np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
+        def made(doc_ids: list, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            ends = np.concatenate(([0], np.cumsum(n)))
+            columns = [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+            if decode:
+                columns.append(pa.array([words.decoded(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
 
         for batch in batches:
-            doc_ids, owners, pieces, size = [], [], [], 0
+            doc_ids, texts, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 if len(text) > BLOCK:  # alone, piece by piece
-                    parts = [encoded([p], words, lexicon)[0].astype(np.int32) for p in cut_pieces(text)]
-                    ids = pa.array(np.concatenate(parts))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["doc_id", "ids"])
+                    ids = np.concatenate([encoded([p], words, lexicon)[0] for p in cut_pieces(text)])
+                    yield made([doc_id], ids, np.array([len(ids)]))
                     continue
-                owners.append(len(doc_ids))
                 doc_ids.append(doc_id)
-                pieces.append(text)
+                texts.append(text)
                 size += len(text)
                 if size >= BLOCK:
-                    yield made(doc_ids, owners, pieces)
-                    doc_ids, owners, pieces, size = [], [], [], 0
+                    yield made(doc_ids, *encoded(texts, words, lexicon))
+                    doc_ids, texts, size = [], [], 0
             if doc_ids:
-                yield made(doc_ids, owners, pieces)
+                yield made(doc_ids, *encoded(texts, words, lexicon))
 
     return run
 
@@ -420,9 +419,10 @@ def lexicon_of(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS)
     return _handed_out(docs.sparkSession, compiled(rows))
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, ids array<int>): one row for each row of docs."""
-    return _plain(docs).mapInArrow(_encode(tokenizer_path, lexicon_of(docs, tokenizer_path, most)), "doc_id long, ids array<int>")
+def encode_documents(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS, decode: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>): one row for each row of docs; with decode also text, what the ids decode to, in the same pass."""
+    schema = "doc_id long, ids array<int>" + ", text string" * decode
+    return _plain(docs).mapInArrow(_encode(tokenizer_path, lexicon_of(docs, tokenizer_path, most), decode), schema)
 
 
 def decode_documents(encoded_docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -432,8 +432,7 @@ def decode_documents(encoded_docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding each text."""
-    done = decode_documents(encode_documents(docs, tokenizer_path), tokenizer_path)
-    return done.select(
+    return encode_documents(docs, tokenizer_path, decode=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

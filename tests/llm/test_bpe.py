@@ -108,6 +108,10 @@ def test_odd_rows(odd, empty, monkeypatch):
     got = Counter(tuple(r) for r in bpe.digests(odd, PATH).collect())
     assert got == Counter((r.doc_id, *expected(r.text)) for r in odd.collect())
     assert bpe.digests(empty, PATH).count() == 0
+    back = bpe.decode_documents(bpe.encode_documents(odd, PATH, 5), PATH)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text or "") for r in odd.collect())
+    loose = odd.sparkSession.createDataFrame([(1, [None, 50257, 10**6, -1, 64]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode_documents(loose, PATH).collect()} == {1: "a", 2: "", 3: ""}
 
 
 def test_long_texts_and_a_lexicon_of_any_size(spark):
