@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from notemill.operators import analysis, connections, enhancement, graph, links, mentions, repair, report, services, similarity, stats, tags, validation, vectors
 from notemill.session import cut, local_session
-from notemill.sources import frontmatter, sinks, templates, vault
+from notemill.sources import frontmatter, index_store, sinks, templates, vault
 
 
 def show(df: DataFrame, args: argparse.Namespace) -> None:
@@ -102,14 +102,17 @@ def summarize(notes: DataFrame, args: argparse.Namespace) -> None:
 def index(notes: DataFrame, args: argparse.Namespace) -> None:
     made = services.embedded(notes)
     if args.output:
-        sinks.write_index(made, args.output)
+        spark = notes.sparkSession
+        gone = index_store.load(spark, args.output).join(made, "document_id", "left_anti") if index_store.saved(spark, args.output) else None
+        print(index_store.update(spark, args.output, made, len(services.hashing_embedder()(["text"])[0]), gone))
     else:
         show(vectors.statistics(made), args)
 
 
 def ask(notes: DataFrame, args: argparse.Namespace) -> None:
     question = services.hashing_embedder()([args.question])[0]
-    hits = vectors.search(services.embedded(notes), question, args.max_docs, args.threshold)
+    known = index_store.load(notes.sparkSession, args.index) if args.index else services.embedded(notes)
+    hits = vectors.search(known, question, args.max_docs, args.threshold)
     if hits.isEmpty():
         print("No relevant documents.")
     else:
@@ -164,6 +167,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold", type=float)
     p.add_argument("--task", action="append")
     p.add_argument("--max-length", type=int, default=200)
+    p.add_argument("--index", help="a saved index for ask")
     p.add_argument("--max-docs", type=int, default=5)
     p.add_argument("--search")
     p.add_argument("--related")

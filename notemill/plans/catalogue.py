@@ -6,6 +6,8 @@ strings; the operators themselves return them unrounded.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from notemill.operators import analysis, connections, enhancement, graph, japanese, keywords, links, mentions, repair, report, services, similarity, stats, tags, validation, vectors, zones
 from notemill.plans import oracle as o
-from notemill.sources import adapters
+from notemill.sources import adapters, index_store
 from notemill.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,6 +594,19 @@ def q_semantic_links(spark, d):
     return rounded(vectors.semantic_links(index, index.where("ordinal % 100 = 0"), 5, 0.3), "similarity")
 
 
+@query(
+    """WITH e AS (SELECT vec_id, len(embedding)::INT AS d FROM embeddings) SELECT 1 AS version, count(*) AS documents, max(d) AS dimension FROM e WHERE vec_id % 10 <> 0 UNION ALL SELECT 2, count(*), max(d) FROM e"""
+)
+def q_saved_index(spark, d):
+    """Nine tenths of the vectors saved, then all of them, of which only the last tenth is new; both versions read back."""
+    every = _index(spark, d)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='notemill-')}/index-{uuid.uuid4().hex}"
+    size = F.size("vector")
+    made = [index_store.update(spark, path, rows, every.select(size).first()[0]).version for rows in (every.where("ordinal % 10 <> 0"), every)]
+    read = [index_store.load(spark, path, v).agg(F.lit(v).alias("version"), F.count("*").alias("documents"), F.max(size).alias("dimension")) for v in made]
+    return read[0].unionByName(read[1])
+
+
 # Enhancement, services, report, events
 
 
