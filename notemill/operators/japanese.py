@@ -73,3 +73,43 @@ def opportunities(notes: DataFrame) -> DataFrame:
     ja = F.col("content").rlike("[぀-ヿ一-龯]")
     hit = F.size(F.concat(_hits(F.col("content"), PAIRS), _hits(F.col("content"), ABBREVIATIONS))) > 0
     return notes.agg(F.count("*").alias("notes"), F.count_if(ja).alias("japanese"), F.count_if(ja & F.col("content").rlike("[A-Za-z]")).alias("mixed"), F.count_if(hit).alias("technical"))
+
+
+def _has_spellings(word: Column) -> Column:
+    """Whether a word has another spelling or is a name of a pair."""
+    names = F.array(*[F.lit(n) for _, names in PAIRS for n in names])
+    return (F.size(variations(word)) > 0) | F.array_contains(names, word)
+
+
+def linking_opportunities(notes: DataFrame) -> DataFrame:
+    """(notes, japanese, mixed, katakana_variations, cross_references, technical_terms, japanese_percentage, mixed_percentage) of a vault.
+
+    japanese and mixed count notes with Japanese signs, and with English words beside them.
+    The others count occurrences: words in katakana that have another spelling or name; the
+    names in the other language of what a text names, from either side; the English names
+    of pairs in a text. A text is cut into its katakana words in one pass.
+    """
+    text, low = F.col("content"), F.lower("content")
+    ja, en = F.regexp_count(text, F.lit("[぀-ゟ゠-ヿ一-龯]")) > 0, F.regexp_count(text, F.lit(r"\b[a-zA-Z]+\b")) > 0
+    katakana = F.size(F.filter(F.regexp_extract_all(text, F.lit("[゠-ヿ]+"), F.lit(0)), _has_spellings))
+
+    def counted(x: Column) -> Column:
+        english = [F.contains(x["low"], F.lit(t.lower())) for t, _ in PAIRS]
+        from_english = sum((F.when(e, len(names)).otherwise(0) for e, (_, names) in zip(english[1:], PAIRS[1:], strict=True)), F.when(english[0], len(PAIRS[0][1])).otherwise(0))
+        from_japanese = sum((F.contains(x["text"], F.lit(n)).cast("int") for _, names in PAIRS for n in names), F.lit(0))
+        return F.struct((from_english + from_japanese).alias("crossed"), sum((e.cast("int") for e in english[1:]), english[0].cast("int")).alias("named"))
+
+    each = notes.select(ja.alias("ja"), en.alias("en"), katakana.alias("katakana"), let(F.struct(text.alias("text"), low.alias("low")), counted).alias("c"))
+    n, both = F.count("*"), F.col("ja") & F.col("en")
+    share = lambda c: F.when(n > 0, F.count_if(c) / n * 100).otherwise(0.0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(
+        n.alias("notes"),
+        F.count_if("ja").alias("japanese"),
+        F.count_if(both).alias("mixed"),
+        total("katakana").alias("katakana_variations"),
+        total("c.crossed").alias("cross_references"),
+        total("c.named").alias("technical_terms"),
+        share(F.col("ja")).alias("japanese_percentage"),
+        share(both).alias("mixed_percentage"),
+    )

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notemill import sql
 from notemill.operators import analysis, connections, enhancement, graph, japanese, keywords, links, mentions, repair, report, services, similarity, stats, tags, validation, vectors, zones
 from notemill.plans import oracle as o
 from notemill.sources import adapters, index_store
@@ -710,6 +711,22 @@ def q_japanese_opportunities(spark, d):
     return japanese.opportunities(adapters.document_notes(spark, d))
 
 
+# Texts of which every third has words in katakana, some with other spellings, and names of a pair in both languages.
+
+
+@query(
+    f"""WITH {o.NOTES}, t AS (SELECT path, CASE WHEN file_id::BIGINT % 3 = 0 THEN concat(content, ' サーバー、ティム カメラ 人工知能') ELSE content END AS content FROM notes),
+k AS (SELECT *, lower(content) AS low, len(regexp_extract_all(content, '[぀-ゟ゠-ヿ一-龯]')) > 0 AS ja, len(list_filter(regexp_extract_all(content, '{o.WORDS}'), lambda x: regexp_full_match(x, '[a-zA-Z]+'))) > 0 AS en FROM t),
+c AS (SELECT ja, en, len(list_filter(regexp_extract_all(content, '[゠-ヿ]+'), lambda x: {o.has_spellings('x')})) AS katakana, {o.pair_hits('low', 'content')} AS crossed, {o.pair_names('low')} AS named FROM k)
+SELECT count(*) AS notes, count(*) FILTER (ja) AS japanese, count(*) FILTER (ja AND en) AS mixed, sum(katakana)::BIGINT AS katakana_variations, sum(crossed)::BIGINT AS cross_references, sum(named)::BIGINT AS technical_terms,
+  round(count(*) FILTER (ja) / count(*)::DOUBLE * 100, 6) AS japanese_percentage, round(count(*) FILTER (ja AND en) / count(*)::DOUBLE * 100, 6) AS mixed_percentage FROM c"""
+)
+def q_linking_opportunities(spark, d):
+    notes = adapters.document_notes(spark, d)
+    more = F.when(F.col("file_id").cast("long") % 3 == 0, F.concat("content", F.lit(" サーバー、ティム カメラ 人工知能"))).otherwise(F.col("content"))
+    return rounded(japanese.linking_opportunities(notes.withColumn("content", more)), "japanese_percentage", "mixed_percentage")
+
+
 # Titles by turns: an English name, a word with other spellings, a Japanese name, and one without any other.
 
 
@@ -722,6 +739,33 @@ def q_aliases(spark, d):
     return joined(japanese.aliases(titled), "aliases")
 
 
+# The SQL front end: what other queries ask of operators, asked of views and table functions.
+
+
+@query(f"WITH {o.LINKS} SELECT source_file, link_text, line_number::INT AS line_number, target FROM dead WHERE link_type = 'wikilink'")
+def q_sql_dead_links(spark, d):
+    sql.register(spark, adapters.vault(spark, d))
+    return spark.sql("SELECT source_file, link_text, line_number, target FROM dead_links_of('wikilink')")
+
+
+@query(f"{_DEGREES} SELECT fm_id, incoming, outgoing FROM deg WHERE incoming + outgoing = 0 ORDER BY ALL")
+def q_sql_orphans(spark, d):
+    sql.register(spark, adapters.vault(spark, d))
+    return spark.sql("SELECT o.fm_id, o.incoming, o.outgoing FROM orphans o JOIN degrees USING (fm_id) WHERE o.incoming + o.outgoing = 0")
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT v AS q FROM e ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, list_dot_product(v, q) / sqrt(list_dot_product(q, q)) AS x FROM e, a)
+SELECT vec_id::VARCHAR AS document_id, round(x, 6) AS similarity, (row_number() OVER (ORDER BY x DESC, vec_id))::INT AS rank FROM s ORDER BY rank LIMIT 10"""
+)
+def q_sql_nearest(spark, d):
+    index = adapters.vectors(spark, d)
+    sql.register(spark, adapters.part_notes(spark, d), index)
+    asked = index.orderBy("ordinal").limit(1).first()["vector"]
+    return rounded(spark.sql("SELECT * FROM nearest(:asked, 10)", args={"asked": asked}), "similarity")
+
+
 # Connections of orphans, by tags: the oracle ranks classes of equal tag sets.
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notemill.functions.dictionaries import ABBREVIATIONS, CATEGORIES, CONTENT_TAGS, KEYWORD_TAGS, PAIRS, TAG_PATTERNS
+from notemill.functions.dictionaries import ABBREVIATIONS, CATEGORIES, CONSONANTS, CONTENT_TAGS, KEYWORD_TAGS, LONG_VOWELS, PAIRS, TAG_PATTERNS
 from notemill.operators.tags import spelled
 from notemill.operators.zones import SPAN_ZONES
 from notemill.sources.adapters import LINE_SQL
@@ -231,5 +231,23 @@ enh AS (SELECT path, file_id AS id, CASE WHEN trim(named) <> '' THEN named ELSE
   FROM s3 JOIN meta USING (path) LEFT JOIN about USING (path))"""
 
 
+def has_spellings(x: str) -> str:
+    """Whether a word in katakana has another spelling or another name."""
+    signs = [rule for rule, _ in (*LONG_VOWELS, *CONSONANTS)]
+    names = ", ".join(f"'{n}'" for _, names in PAIRS for n in names)
+    return "(" + " OR ".join(f"contains({x}, '{s}')" for s in signs) + f" OR {x} IN ({names}))"
+
+
+def pair_hits(low: str, text: str) -> str:
+    """How often a pair's names meet a text: each Japanese name of an English one that stands in it, and each Japanese one that does."""
+    each = [f"CASE WHEN contains({low}, '{t.lower()}') THEN {len(names)} ELSE 0 END" for t, names in PAIRS] + [f"contains({text}, '{n}')::INT" for _, names in PAIRS for n in names]
+    return "(" + " + ".join(each) + ")"
+
+
+def pair_names(low: str) -> str:
+    """How many English names of pairs stand in a text."""
+    return "(" + " + ".join(f"contains({low}, '{t.lower()}')::INT" for t, _ in PAIRS) + ")"
+
+
 META = f"{NOTES.strip()}, {_metadata()}"
 ENHANCED = _enhanced()
