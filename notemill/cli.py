@@ -81,6 +81,8 @@ def organize(notes: DataFrame, args: argparse.Namespace) -> None:
     better = enhancement.enhanced(notes, tags.frequencies(notes), as_of=args.stamp.replace("_", ""))
     show(better.select("path", "tags", "title", "changes"), args)
     show(enhancement.summary(better), args)
+    if args.report:
+        sinks.write_report(report.improvement_report(better), better.select("path", F.size("changes").alias("improvements"), "changes"), args.report)
     fresh = enhancement.written_fields(better).withColumnRenamed("fields", "new").join(notes.select("path", "raw"), "path")
     written(fresh.select("path", frontmatter.with_fields(F.col("raw"), F.col("new"), [f.name for f in validation.NOTE_SCHEMA]).alias("raw")), args)
     if args.detect_duplicates:
@@ -96,7 +98,13 @@ def maintain(notes: DataFrame, args: argparse.Namespace) -> None:
 
 
 def summarize(notes: DataFrame, args: argparse.Namespace) -> None:
-    show(services.summarised(notes, services.extractive_summariser(args.max_length)), args)
+    chosen = notes.where(F.col("path").isin(args.target)) if args.target else notes
+    made = services.summarised(chosen, services.extractive_summariser(args.max_length))
+    if args.markdown:
+        os.makedirs(args.markdown, exist_ok=True)
+        show(sinks.save_notes(sinks.summary_files(made, args.markdown, args.max_length)), args)
+    else:
+        show(made, args)
 
 
 def index(notes: DataFrame, args: argparse.Namespace) -> None:
@@ -167,6 +175,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold", type=float)
     p.add_argument("--task", action="append")
     p.add_argument("--max-length", type=int, default=200)
+    p.add_argument("--markdown", help="a folder for summaries as Markdown files")
+    p.add_argument("--report", help="a folder for the report of organize")
     p.add_argument("--index", help="a saved index for ask")
     p.add_argument("--max-docs", type=int, default=5)
     p.add_argument("--search")

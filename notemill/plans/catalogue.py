@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from notemill import sql
 from notemill.operators import analysis, connections, enhancement, graph, japanese, keywords, links, mentions, repair, report, services, similarity, stats, tags, validation, vectors, zones
 from notemill.plans import oracle as o
-from notemill.sources import adapters, index_store
+from notemill.sources import adapters, index_store, rules
 from notemill.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -739,6 +739,23 @@ def q_aliases(spark, d):
     return joined(japanese.aliases(titled), "aliases")
 
 
+@query(
+    f"""WITH {o.NOTES} SELECT path, CASE file_id::BIGINT % 4 WHEN 0 THEN 'アプリケーションプログラミングインターフェース; エーピーアイ' WHEN 1 THEN 'サウバウ; サバ' WHEN 2 THEN 'AI; ai' ELSE '' END AS aliases FROM notes"""
+)
+def q_aliases_by_rules(spark, d):
+    """As q_aliases, with the rules as tables that meet the notes."""
+    turn = F.col("file_id").cast("long") % 4
+    titled = adapters.document_notes(spark, d).withColumn("title", F.when(turn == 0, "API").when(turn == 1, "サーバー").when(turn == 2, "人工知能").otherwise("plain"))
+    return joined(rules.title_aliases(titled, rules.spellings(spark), rules.names(spark)), "aliases")
+
+
+@query(f"WITH {o.MENTIONS} SELECT path, line_number, column_start, target_file_id, text, CASE WHEN lower(text) <> lower(p.title) THEN text END AS alias FROM mention m JOIN part_notes p ON p.file_id = m.target_file_id".replace("SELECT path, line_number", "SELECT m.path, line_number"))
+def q_link_aliases(spark, d):
+    titles = adapters.part_notes(spark, d).select(F.col("file_id").alias("target_file_id"), "title")
+    found = _mentions(spark, d)[1].join(titles, "target_file_id")
+    return found.select("path", "line_number", "column_start", "target_file_id", "text", mentions.best_alias(F.col("text"), F.col("title")).alias("alias"))
+
+
 # The SQL front end: what other queries ask of operators, asked of views and table functions.
 
 

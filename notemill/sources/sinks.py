@@ -98,3 +98,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_index(index: DataFrame, path: str) -> None:
     """A vector index as Parquet, dealt by document."""
     index.repartition("document_id").write.mode("overwrite").parquet(path)
+
+
+def summary_files(summaries: DataFrame, folder: str, most: int) -> DataFrame:
+    """(path, raw) of a Markdown file for each (path, summary), named after its note; saved() writes them."""
+    name = F.substring_index("path", "/", -1)
+    lines = ["# Summary of {n}", "", "**Source:** {p}", "**Generated:** notemill summarize", f"**Max Length:** {most} characters", "", "## Summary", "", "{s}", ""]
+    parts = [F.lit(x) if "{" not in x else F.concat(F.lit(x.split("{")[0]), {"n": name, "p": F.col("path"), "s": F.col("summary")}[x.split("{")[1][0]]) for x in lines]
+    return summaries.select(F.concat(F.lit(f"{folder.rstrip('/')}/"), F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(".summary.md")).alias("path"), F.array_join(F.array(*parts), "\n").alias("raw"))
+
+
+def write_report(totals: DataFrame, details: DataFrame, path: str) -> None:
+    """A report as two folders of JSON: one row of totals, and a row a note."""
+    write_json(totals, f"{path.rstrip('/')}/summary")
+    write_json(details, f"{path.rstrip('/')}/details")
