@@ -38,6 +38,8 @@ from notemill.session import cut
 
 LANES = 0x0101010101010101
 RUN = 127
+#: Fingerprints of one key that are compared together.
+BUCKET = 4096
 #: Ids in a range of the neighbour search, about.
 RANGE_ROWS = 20_000
 
@@ -87,14 +89,20 @@ def likeness(a: Column, b: Column) -> Column:
 def near_fingerprints(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(query_fp, fp, distance, documents): all corpus fingerprints within the radius of each query's.
 
-    queries and corpus have a column fp; documents is how many corpus rows have it.
+    queries and corpus have a column fp; documents is how many corpus rows have it. A key
+    that more than BUCKET fingerprints share is dealt into parts of about so many, and its
+    queries go to each part, so a hot bucket is the work of many tasks.
     """
     rows = corpus.groupBy("fp").agg(F.count("*").alias("documents"))
     keyed = rows.select("fp", "documents", F.explode(table_keys(F.col("fp"), radius, blocks)).alias("key"))
     asked = queries.select(F.col("fp").alias("query_fp")).distinct()
     asked = asked.select("query_fp", F.explode(table_keys(F.col("query_fp"), radius, blocks)).alias("key"))
+    hot = keyed.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int")
+    keyed = keyed.join(hot, "key", "left").select("key", part.alias("part"), "fp", "documents")
+    asked = asked.join(hot, "key", "left").select("key", "query_fp", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("query_fp")))
-    return asked.join(keyed, "key").where(distance <= radius).select("query_fp", "fp", distance.alias("distance"), "documents").distinct()
+    return asked.join(keyed, ["key", "part"]).where(distance <= radius).select("query_fp", "fp", distance.alias("distance"), "documents").distinct()
 
 
 def neighbours(ids: DataFrame, rows: int) -> DataFrame:

@@ -70,6 +70,28 @@ def test_search_in_block_tables(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bucket", [3, 4096])
+def test_search_in_hot_buckets(spark, monkeypatch, bucket):
+    """A third of all fingerprints share all their blocks but one, and meet in the same keys."""
+    monkeypatch.setattr(f, "BUCKET", bucket)
+    fps = [0x5A5A << 40 | i for i in range(80)] + [(i * 0x9E3779B97F4A7C15) % 2**63 for i in range(1, 160)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(fps)], "doc_id long, fp long")
+    got = {(r.query_fp, r.fp, r.distance, r.documents) for r in f.near_fingerprints(rows.where("doc_id % 4 = 0"), rows).collect()}
+    assert got == {(a, b, (a ^ b).bit_count(), 1) for a in fps[::4] for b in fps if (a ^ b).bit_count() <= 3}
+
+
+def test_search_on_documents(spark, sf, monkeypatch):
+    monkeypatch.setattr(f, "BUCKET", 5)
+    made = op8_simhash_fingerprints(spark, sf.replace("0.001", "0.01")).select("doc_id", "fingerprint").collect()
+    signed = lambda h: int(h, 16) - (int(h, 16) >> 63 << 64)
+    fps = [signed(r.fingerprint) for r in made]
+    rows = spark.createDataFrame([(r.doc_id, x) for r, x in zip(made, fps)], "doc_id long, fp long")
+    got = {(r.query_fp, r.fp, r.documents) for r in f.near_fingerprints(rows.where("doc_id % 100 = 0"), rows).collect()}
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    asked = {x for r, x in zip(made, fps) if r.doc_id % 100 == 0}
+    assert got == {(a, b, fps.count(b)) for a in asked for b in set(fps) if bits(a, b) <= 3} and len(got) >= len(asked)
+
+
 def test_odd_rows(odd, empty, spark):
     out = f.fingerprint_documents(odd).collect()
     assert len(out) == odd.count()
