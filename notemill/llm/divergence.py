@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,8 +159,8 @@ _ARROW = pa.schema([("lang", pa.string()), ("slice", pa.int32()), ("g", pa.int32
 def _slice_vectors(key: tuple, table: pa.Table) -> pa.Table:
     """The vectors and the best terms of each group in a slice."""
     lang, part = (k.as_py() for k in key)
-    heads = {h["g"]: h for h in table.filter(pa.compute.is_null(table["term"])).select(["g", "m", "lang_m", "blocks"]).to_pylist()}
-    rows = table.filter(pa.compute.is_valid(table["term"]))
+    heads = {h["g"]: h for h in table.filter(pc.is_null(table["term"])).select(["g", "m", "lang_m", "blocks"]).to_pylist()}
+    rows = table.filter(pc.is_valid(table["term"]))
     coded = rows["term"].combine_chunks().dictionary_encode()
     names = coded.dictionary.to_pylist()
     place, g, n, total = (np.asarray(c, dtype=np.int64) for c in (coded.indices, rows["g"], rows["n"], rows["total"]))

@@ -1,4 +1,7 @@
+import os
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -116,3 +119,9 @@ def test_langs_without_kept_terms_and_ties(spark):
     got = ran(divergence.audit_documents(spark.createDataFrame(docs, DOCS)))
     assert got == brute(docs)
     assert [r for r in got if r[0] == "x"] and all(r[4] == 0 for r in got if r[0] == "x") and not [r for r in got if r[0] == "y"]
+
+
+def test_a_fresh_worker_has_what_a_slice_needs():
+    # In a worker that imported nothing else, pyarrow brings no compute module by itself.
+    code = "import sys; import pyarrow; from notemill.llm import divergence; assert 'pyarrow.compute' in sys.modules"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).returncode == 0
