@@ -21,11 +21,10 @@ def checked_tasks(tasks: list[str] | None) -> list[str]:
 
 def task_counts(notes: DataFrame, tasks: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
     """(task, issues): one row for each task."""
-    wiki = links.wikilinks(notes)
     found = {
         "organize": lambda: analysis.improvements(notes).where(F.size("improvements") > 0),
         "duplicates": lambda: similarity.duplicates(notes, threshold),
-        "orphans": lambda: graph.unlinked(notes, wiki, links.regular_links(notes)),
+        "orphans": lambda: graph.unlinked(notes),
         "dead-links": lambda: links.dead_links(notes),
     }
     rows = [found[t]().agg(F.count("*").alias("issues")).select(F.lit(t).alias("task"), "issues") for t in checked_tasks(tasks)]
@@ -91,5 +90,5 @@ def task_details(notes: DataFrame, task: str, most: int = 20, threshold: float =
     if name == "duplicates":
         return similarity.duplicates(notes, threshold).orderBy(F.col("confidence").desc(), "a", "b").limit(most)
     if name == "orphans":
-        return graph.unlinked(notes, links.wikilinks(notes), links.regular_links(notes)).orderBy("path").limit(most)
+        return graph.unlinked(notes).orderBy("path").limit(most)
     return links.selected(links.dead_links(notes), limit=most)
