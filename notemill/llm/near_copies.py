@@ -1,16 +1,21 @@
-"""Near copies by word shingles: pairs whose Jaccard index is SIMILAR or more, verified exactly.
-
-1. Every whole text gets the set of the XXH64 values of its five-word shingles. Texts with
-   equal sets become one node, its id the smallest doc_id that has it.
-2. Candidates: ROWS * BANDS random permutations of the set give a least value each. Two
-   texts of Jaccard index j agree in a whole band with probability 1 - (1 - j**ROWS)**BANDS:
-   of pairs at 0.8 all but 6 in a million meet, above it still more, of those at 0.3 3 in a hundred.
-3. Nodes that meet in a band are linked with its least node; the components of these links
-   hold all candidates, and each node goes to its component once.
-4. Within a component the sets are compared through an inverted index, whole sets, no
+"""Near copies: candidates by bit-sliced SimHash and by bands of least values, pairs of Jaccard index SIMILAR or more, verified exactly.
+
+1. Every whole text gets the set of the XXH64 values of its five-word shingles and op4's
+   fingerprint. Texts with equal sets and fingerprints become one node, its id the smallest
+   doc_id that has them.
+2. Candidates by fingerprint: op4's bit-sliced comparison in block tables (simhash_dedup)
+   links the fingerprints that differ in at most 3 bits; nodes of equal ones meet.
+3. Candidates by bands, for the near copies beyond 3 bits: ROWS * BANDS random permutations
+   of the set give a least value each. Two texts of Jaccard index j agree in a whole band with
+   probability 1 - (1 - j**ROWS)**BANDS: of pairs at 0.8 all but 6 in a million meet, above it
+   still more, of those at 0.3 3 in a hundred.
+4. Nodes that meet in a band or a fingerprint are linked with its least node; the components
+   of these links and of those between fingerprints hold all candidates, and each node goes
+   to its component once.
+5. Within a component the sets are compared through an inverted index, whole sets, no
    sample. Only links that join two classes leave it. A component of more than PART members
    is dealt into parts and every pair of parts is compared in a task of its own.
-5. Connected components of the verified links.
+6. Connected components of the verified links.
 
 Defined cases: texts without words are copies of each other and of nothing else; a text of
 fewer than five words has one shingle of all its words; rows with a null doc_id stay.
@@ -26,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notemill.llm import simhash_dedup
 from notemill.llm.components import components
 from notemill.session import cut
 
@@ -65,14 +71,17 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        same, keys = [], []
+        same, keys, prints = [], [], []
         for t in batch.column(1):
-            found = shingles(t.as_py() or b"")
+            text = t.as_py() or b""
+            found = shingles(text)
             same.append(xxhash.xxh3_128_digest(found.tobytes()))
             keys.append(band_keys(found))
+            prints.append(simhash_dedup.fingerprint(text))
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         values = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "same", "keys"])
+        fps = np.array(prints, dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "same", "fp", "keys"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +162,25 @@ def verified_links(texts: DataFrame, loose: DataFrame, part: int = PART) -> Data
     return met.repartition("component", "pair").sortWithinPartitions("component", "pair", "side").mapInArrow(_compare, "a long, b long").distinct()
 
 
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp, keys) to links (a, b) between nodes that meet by fingerprint or in a band.
+
+    Texts without words have no keys; they are one node and meet nothing.
+    """
+    worded = nodes.where(F.size("keys") > 0)
+    near = simhash_dedup.fingerprint_links(worded.groupBy("fp").agg(F.min("node").alias("node")))
+    keyed = worded.select("node", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    met = keyed.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return met.unionByName(near).distinct()
+
+
 def classes(docs: DataFrame, part: int = PART) -> DataFrame:
-    """(node, component_id): one row for each different set of shingles that a row with a doc_id has."""
+    """(node, component_id): one row for each different set of shingles and fingerprint that a row with a doc_id has."""
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    prints = texts.mapInArrow(_print_batches, "doc_id long, same binary, keys array<long>")
-    nodes = cut(prints.groupBy("same", "keys").agg(F.min("doc_id").alias("node")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    loose = components(keyed.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    found = components(verified_links(texts, loose, part))
+    prints = texts.mapInArrow(_print_batches, "doc_id long, same binary, fp long, keys array<long>")
+    nodes = cut(prints.groupBy("same", "fp", "keys").agg(F.min("doc_id").alias("node")))
+    found = components(verified_links(texts, components(candidate_links(nodes)), part))
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component_id"))
 
 

@@ -61,6 +61,12 @@ def test_stage_drops_a_near_copy_beyond_three_bits(spark, sf):
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, sf).collect()) == [1, 3]
 
 
+def test_near_fingerprints_are_candidates_without_a_common_band(spark):
+    far = lambda k: list(range(k * 40, k * 40 + 40))
+    nodes = spark.createDataFrame([(1, 0b0, far(1)), (2, 0b111, far(2)), (3, 0b1111000, far(3)), (4, 0b0, far(4)), (5, 0b0, [])], "node long, fp long, keys array<long>")
+    assert {tuple(sorted(r)) for r in n.candidate_links(nodes).collect()} == {(1, 2), (1, 4)}
+
+
 def test_links_between_parts_only():
     sets = [np.arange(10, dtype=np.uint64), np.arange(10, dtype=np.uint64), np.arange(9, dtype=np.uint64), np.arange(90, 95, dtype=np.uint64)]
     assert n.links(sets) == [(0, 1), (0, 2)] and n.links(sets, 2) == [(0, 2), (1, 2)]
