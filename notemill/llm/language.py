@@ -143,10 +143,19 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from at most so many documents with a language, outside the held-out fifth."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     texts = sampled_texts(docs, bounded_sample(known.select("doc_id", "lang"), rows), "doc_id", "lang").select("text", "lang")
-    found = texts.mapInArrow(_count_batches, "buckets binary, counts binary, lang string").toArrow()
-    data = [(np.frombuffer(b, "<i4"), np.frombuffer(n, "<i4"), y) for b, n, y in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    # The bounded sample is learned from in one task; the driver gets the model alone.
+    found = texts.mapInArrow(_count_batches, "buckets binary, counts binary, lang string").repartition(1).mapInArrow(_train_batches, "languages array<string>, idf binary, weights binary, temperature double").first()
+    if found is None:
+        return None
+    return Model(found.languages, np.frombuffer(found.idf), np.frombuffer(found.weights).reshape(1 << BITS, -1), found.temperature)
+
+
+def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    data = [(np.frombuffer(b.as_py(), "<i4"), np.frombuffer(n.as_py(), "<i4"), y.as_py()) for batch in batches for b, n, y in zip(*batch.columns, strict=True)]
     data.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes(), r[2]))
-    return train(data)
+    if model := train(data):
+        columns = [pa.array([model.languages]), pa.array([model.idf.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.temperature], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["languages", "idf", "weights", "temperature"])
 
 
 def identify(docs: DataFrame) -> DataFrame:

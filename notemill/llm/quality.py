@@ -111,11 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     sample = bounded_sample(known, rows)
     texts = sampled_texts(docs, sample, "doc_id").select("text", "label")
-    found = texts.mapInArrow(_count_batches, "buckets binary, counts binary, label int").toArrow()
-    data = [(np.frombuffer(b, "<i4"), np.frombuffer(n, "<i4"), y) for b, n, y in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    # The bounded sample is learned from in one task; the driver gets the model alone.
+    found = texts.mapInArrow(_count_batches, "buckets binary, counts binary, label int").repartition(1).mapInArrow(_train_batches, "projection binary, bias double").first()
+    return train([]) if found is None else (np.frombuffer(found.projection, "<f4"), found.bias)
+
+
+def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    data = [(np.frombuffer(b.as_py(), "<i4"), np.frombuffer(n.as_py(), "<i4"), y.as_py()) for batch in batches for b, n, y in zip(*batch.columns, strict=True)]
     # Rows come in any order; the order of training must not depend on it.
     data.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes(), r[2]))
-    return train(data)
+    table, bias = train(data)
+    yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["projection", "bias"])
 
 
 def _score_batches(table: np.ndarray, bias: float):
