@@ -128,4 +128,12 @@ CATEGORIES = (
 )
 
 PLACEHOLDERS = ("TODO", "FIXME", "placeholder", "coming soon", "to be written", "未完成", "作成中")
+#: What a text says of itself: the words before a colon, and what stands behind it.
+METADATA = {
+    "author": r"(?iu)(?:author|著者|writer|written by)[:]\s*([^\n]+)",
+    "source": r"(?iu)(?:source|出典|from)[:]\s*([^\n]+)",
+    "date_created": r"(?iu)(?:created|作成日|date)[:]\s*(\d{4}-\d{2}-\d{2})",
+    "project": r"(?iu)(?:project|プロジェクト)[:]\s*([^\n]+)",
+    "status": r"(?iu)(?:status|状態)[:]\s*(draft|complete|in-progress|todo)",
+}
 REQUIRED_FIELDS = ("title", "aliases", "tags", "id", "published", "description", "category")

@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.functions.dictionaries import CATEGORIES, CONTENT_TAGS, PLACEHOLDERS, REQUIRED_FIELDS
+from notemill.functions import facts
+from notemill.functions.dictionaries import CATEGORIES, CONTENT_TAGS, METADATA, REQUIRED_FIELDS
 from notemill.functions.text import description, jaccard, let, normalised, strip, words
 
 # What each kind of improvement takes off the score, and how sure it is.
 PENALTIES = {"missing_required_field": 0.25, "missing_tags": 0.15, "missing_description": 0.15, "missing_category": 0.1, "filename_mismatch": 0.1, "incomplete_content": 0.3, "placeholder_content": 0.25}
-METADATA = {
-    "author": r"(?iu)(?:author|著者|writer|written by)[:]\s*([^\n]+)",
-    "source": r"(?iu)(?:source|出典|from)[:]\s*([^\n]+)",
-    "date_created": r"(?iu)(?:created|作成日|date)[:]\s*(\d{4}-\d{2}-\d{2})",
-    "project": r"(?iu)(?:project|プロジェクト)[:]\s*([^\n]+)",
-    "status": r"(?iu)(?:status|状態)[:]\s*(draft|complete|in-progress|todo)",
-}
 
 
 def category(content: Column) -> Column:
@@ -61,6 +55,12 @@ def improvements(notes: DataFrame) -> DataFrame:
 
     Fields that a view of the notes does not have count as missing.
     """
+    return checked(facts.read(notes, "checks")).drop("facts")
+
+
+def checked(notes: DataFrame) -> DataFrame:
+    """The improvements of notes whose contents were read for their checks (facts.read)."""
+    said = F.col("facts.checks")
     one = lambda kind, field, sure: F.struct(F.lit(kind).alias("improvement_type"), F.lit(field).alias("field_name"), F.lit(sure).alias("confidence"))
     has = {"title": strip(F.coalesce("title", F.lit(""))) != "", "aliases": F.size("aliases") > 0, "tags": F.size("tags") > 0, "id": F.coalesce("fm_id", F.lit("")) != ""}
     for name in ("published", "description", "category"):
@@ -68,14 +68,14 @@ def improvements(notes: DataFrame) -> DataFrame:
         has[name] = F.lit(False) if kind is None else (F.coalesce(F.size(name), F.lit(0)) > 0) if kind.startswith("array") else strip(F.coalesce(name, F.lit(""))) != ""
     required = [F.when(~has[f], one("missing_required_field", f, 0.9)) for f in REQUIRED_FIELDS]
     fresh = lambda s: F.when(F.size(F.array_except(s["tags"], "tags")) > 0, F.struct(F.lit("missing_tags").alias("improvement_type"), F.lit("tags").alias("field_name"), s["confidence"].alias("confidence")))
-    tags = let(content_tags(F.col("content")), fresh)
-    about = F.when(~has["description"] & description(F.col("content")).isNotNull(), one("missing_description", "description", 0.7))
-    kind = F.when(~has["category"] & (F.size(category(F.col("content"))) > 0), one("missing_category", "category", 0.7))
+    tags = fresh(said)
+    about = F.when(~has["description"] & said["description"].isNotNull(), one("missing_description", "description", 0.7))
+    kind = F.when(~has["category"] & (F.size(said["categories"]) > 0), one("missing_category", "category", 0.7))
     a, b = normalised(F.col("stem")), normalised(F.col("title"))
     differs = has["title"] & ~F.col("stem").rlike("^[0-9]{14}$") & (a != b) & (jaccard(words(F.col("stem")), words(F.col("title"))) < 0.5)
     name = F.when(differs, one("filename_mismatch", "title", 0.6))
-    short = F.when(F.length(strip(F.col("content"))) < 100, one("incomplete_content", "content", 0.8))
-    unfinished = F.when(F.col("content").rlike("(?iu)" + "|".join(PLACEHOLDERS)), one("placeholder_content", "content", 0.9))
+    short = F.when(said["short"], one("incomplete_content", "content", 0.8))
+    unfinished = F.when(said["unfinished"], one("placeholder_content", "content", 0.9))
     return notes.withColumn("improvements", F.array_compact(F.array(*required, tags, about, kind, name, short, unfinished)))
 
 
@@ -92,9 +92,14 @@ def _penalty(kind: Column) -> Column:
     return out
 
 
+def _each(analysed: DataFrame) -> DataFrame:
+    """(i): one row for each improvement; from a plain explode Spark infers a filter that makes the improvements twice."""
+    return analysed.select(F.explode_outer("improvements").alias("i")).where("i IS NOT NULL")
+
+
 def improvement_counts(analysed: DataFrame) -> DataFrame:
     """(improvement_type, field_name, notes)."""
-    return analysed.select(F.explode("improvements").alias("i")).groupBy("i.improvement_type", "i.field_name").agg(F.count("*").alias("notes"))
+    return _each(analysed).groupBy("i.improvement_type", "i.field_name").agg(F.count("*").alias("notes"))
 
 
 def categorised(analysed: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def categorised(analysed: DataFrame) -> DataFrame:
     kind = F.col("i.improvement_type")
     area = F.when(kind.contains("required") | kind.contains("frontmatter"), "frontmatter").when(kind.contains("description") | kind.contains("category"), "metadata").when(kind.contains("tags"), "tags")
     area = area.when(kind.contains("content"), "content").otherwise("other")
-    return analysed.select(F.explode("improvements").alias("i")).groupBy(area.alias("area")).agg(F.count("*").alias("improvements"))
+    return _each(analysed).groupBy(area.alias("area")).agg(F.count("*").alias("improvements"))
 
 
 def metadata(notes: DataFrame) -> DataFrame:
@@ -110,17 +115,26 @@ def metadata(notes: DataFrame) -> DataFrame:
 
     date_created is the file's day (column modified_at, where there is one) if the content names none.
     """
-    text = F.col("content")
+    return facts.read(notes, "meta", "words").select("path", *stated(notes))
+
+
+def counted(content: Column) -> Column:
+    """struct<word_count, reading_time, language> of a text, by expressions: for texts whose words facts.read leaves open."""
+    n = F.regexp_count(content, F.lit(r"(?U)\b\w+\b"))
+    ja, en = F.regexp_count(content, F.lit("[぀-ゟ゠-ヿ一-龯]")), F.regexp_count(content, F.lit(r"\b[a-zA-Z]+\b"))
+    language = F.when(ja > en * 2, "japanese").when(en > 10, "english").otherwise("mixed")
+    return F.struct(n.alias("word_count"), F.greatest(F.lit(1), F.floor(n / 200).cast("int")).alias("reading_time"), language.alias("language"))
+
+
+def stated(notes: DataFrame) -> list[Column]:
+    """The columns of metadata, of notes whose contents were read for meta and words (facts.read)."""
     day = F.date_format("modified_at", "yyyy-MM-dd") if "modified_at" in notes.columns else F.lit(None).cast("string")
-    said = {k: F.when(F.regexp_extract(text, p, 1) != "", strip(F.regexp_extract(text, p, 1))) for k, p in METADATA.items()}
+    said = {k: F.col("facts.meta")[k] for k in METADATA}
     found = [(F.coalesce(v, day) if k == "date_created" else v).alias(k) for k, v in said.items()]
+    read = F.col("facts.words")
+    words = F.when(read.isNotNull(), F.struct(*[read[n].alias(n) for n in ("word_count", "reading_time", "language")])).otherwise(counted(F.col("content")))
     stamp = F.when(F.col("stem").rlike("^[0-9]{14}$"), F.try_to_timestamp("stem", F.lit("yyyyMMddHHmmss")))
-    n = F.regexp_count(text, F.lit(r"(?U)\b\w+\b"))
-    ja, en = F.regexp_count(text, F.lit("[぀-ゟ゠-ヿ一-龯]")), F.regexp_count(text, F.lit(r"\b[a-zA-Z]+\b"))
-    language = F.when(ja > en * 2, "japanese").when(en > 10, "english").otherwise("mixed")
-    return notes.select(
-        "path", *found, F.date_format(stamp, "yyyy-MM-dd").alias("published"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("created_time"), n.alias("word_count"), F.greatest(F.lit(1), F.floor(n / 200).cast("int")).alias("reading_time"), language.alias("language")
-    )
+    return [*found, F.date_format(stamp, "yyyy-MM-dd").alias("published"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("created_time"), *[words[n].alias(n) for n in ("word_count", "reading_time", "language")]]
 
 
 def descriptions(notes: DataFrame) -> DataFrame:
