@@ -2,8 +2,9 @@
 
 The state of a note is a map of its text fields and its lists of tags, aliases and
 categories; the log has an entry for every value that a step put in, with how sure it is
-and whether it replaced another. All steps work within the note's row. Only the tags of
-the vault meet the notes in a join, by the words that tags and contents share.
+and whether it replaced another. All steps work within the note's row, on what one reading
+of its content found (functions/facts). Only the tags of the vault, where they are more than
+FEW, meet the notes in a join, by the words that tags and contents share.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.functions.dictionaries import KEYWORD_TAGS
-from notemill.functions.text import description, let
-from notemill.operators.analysis import METADATA, category, content_tags, improvements, metadata
-from notemill.operators.japanese import content_aliases, term_tags
+from notemill.functions import facts
+from notemill.functions.dictionaries import KEYWORD_TAGS, METADATA
+from notemill.functions.facts import KEYWORDS
+from notemill.functions.text import let
+from notemill.operators.analysis import checked, stated
+from notemill.operators.japanese import other_aliases
 
 WORD = r"(?U)\w+"
-# Keywords that make a tag sure enough, and the confidence from which improvements are applied.
-KEYWORDS, SURE = 3, 0.7
+# Fixed value: the confidence from which improvements are applied.
+SURE = 0.7
+#: Up to so many tags by their words are looked up within a note's row; more meet the notes' words in a join.
+FEW = 256
 LISTS = ("tags", "aliases", "category")
 ENTRY = "array<struct<step:string,field:string,value:string,confidence:double,overwrote:boolean>>"
 #: What the list of changes says of each step before the field's name.
@@ -54,13 +59,34 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
+def _by_word(vault_tags: DataFrame) -> DataFrame:
+    return vault_tags.select(F.explode(_words(F.col("tag"))).alias("w"), "tag")
+
+
+def _few_tags(vault_tags: DataFrame, few: int) -> dict[str, list[str]] | None:
+    """The tags by their words as a table of the driver, where they are few."""
+    known = _by_word(vault_tags).distinct().limit(few + 1).collect()
+    table: dict[str, list[str]] = {}
+    for w, tag in sorted(known):
+        table.setdefault(w, []).append(tag)
+    return table if len(known) <= few else None
+
+
+def _looked_up(content: Column, near: dict[str, list[str]]) -> Column:
+    """The tags of the table's words that stand in a text, by expressions: for texts whose words facts.read leaves open."""
+    if not near:
+        return _none()
+    table = F.create_map(*[x for w, found in near.items() for x in (F.lit(w), F.array(*[F.lit(t) for t in found]))])
+    return F.array_distinct(F.flatten(F.transform(F.filter(_words(content), lambda w: w.isin(list(near))), lambda w: table[w])))
+
+
 def near_tags(notes: DataFrame, vault_tags: DataFrame) -> DataFrame:
     """(path, near): the tags of the vault that share a word with the note's content.
 
     The tags of a word are gathered once, however many notes hold it, so a note meets one
     row for each of its words that is a tag's.
     """
-    of_word = vault_tags.select(F.explode(_words(F.col("tag"))).alias("w"), "tag").groupBy("w").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    of_word = _by_word(vault_tags).groupBy("w").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     held = notes.select("path", F.explode(_words(F.col("content"))).alias("w"))
     return held.join(of_word, "w").groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("near"))
 
@@ -73,20 +99,23 @@ def dates(notes: DataFrame, as_of: str | None = None) -> DataFrame:
     Where there is no file time, created and published are the day of as_of
     (yyyyMMddHHmmss), if that is given, and modified is null. _by is id, file or clock.
     """
+    return notes.select("path", *_days(notes, as_of))
+
+
+def _days(notes: DataFrame, as_of: str | None) -> list[Column]:
+    """The columns of dates."""
     stamp = F.date_format("modified_at", "yyyy-MM-dd") if "modified_at" in notes.columns else F.lit(None).cast("string")
     clock = F.lit(None).cast("string") if as_of is None else F.lit(f"{as_of[:4]}-{as_of[4:6]}-{as_of[6:8]}")
     day = F.date_format(F.try_to_timestamp(F.substring("fm_id", 1, 8), F.lit("yyyyMMdd")), "yyyy-MM-dd")
     by_id = F.when(F.col("fm_id").rlike("^[0-9]{14}$") & ~F.col("fm_id").startswith("0000"), day)
-    days = notes.select("path", stamp.alias("file"), by_id.alias("by_id"))
-    created, kind = F.coalesce("file", clock), F.when(F.col("file").isNotNull(), "file").when(clock.isNotNull(), "clock")
-    return days.select(
-        "path",
+    created, kind = F.coalesce(stamp, clock), F.when(stamp.isNotNull(), "file").when(clock.isNotNull(), "clock")
+    return [
         created.alias("created"),
-        F.col("file").alias("modified"),
-        F.coalesce("by_id", created).alias("published"),
+        stamp.alias("modified"),
+        F.coalesce(by_id, created).alias("published"),
         kind.alias("created_by"),
-        F.when(F.col("by_id").isNotNull(), "id").otherwise(kind).alias("published_by"),
-    )
+        F.when(by_id.isNotNull(), "id").otherwise(kind).alias("published_by"),
+    ]
 
 
 def _text(value: Column) -> Column:
@@ -95,7 +124,7 @@ def _text(value: Column) -> Column:
 
 
 def _prepared(notes: DataFrame) -> DataFrame:
-    """notes with what the steps ask of them: texts map<string,string>, the lists, and the improvements of the analysis."""
+    """Notes that were read (facts.read) with what the steps ask of them: texts map<string,string>, the lists, and the improvements of the analysis."""
     own = F.map_from_entries(F.filter(F.array(F.struct(F.lit("title").alias("k"), F.col("title").alias("v")), F.struct(F.lit("id").alias("k"), F.col("fm_id").alias("v"))), lambda x: x["v"].isNotNull()))
     kinds = dict(notes.dtypes)
     if "fields" in kinds:
@@ -107,7 +136,7 @@ def _prepared(notes: DataFrame) -> DataFrame:
         notes = notes.withColumns(said | {"category": F.coalesce(categories, _none())})
     elif "category" not in kinds:
         notes = notes.withColumn("category", _none())
-    return improvements(notes).withColumns({c: F.coalesce(c, _none()) for c in LISTS} | {"texts": own})
+    return checked(notes).withColumns({c: F.coalesce(c, _none()) for c in LISTS} | {"texts": own})
 
 
 PROPOSAL = "struct<step:string,field:string,value:string,list:array<string>,confidence:double,rule:string>"
@@ -148,7 +177,7 @@ def _folded(texts: Column, lists: Column, proposals: Column) -> Column:
     return F.aggregate(proposals, start, step)
 
 
-def enhanced(notes: DataFrame, vault_tags: DataFrame | None = None, suggested: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
+def enhanced(notes: DataFrame, vault_tags: DataFrame | None = None, suggested: DataFrame | None = None, as_of: str | None = None, few: int = FEW) -> DataFrame:
     """(path, title, id, tags, aliases, category, description, fields, changes, log) of each note after all steps.
 
     In order: 1 tags of keywords, hashtags and the vault; 2 technical tags; 3 metadata of
@@ -158,14 +187,18 @@ def enhanced(notes: DataFrame, vault_tags: DataFrame | None = None, suggested: D
     Dates and ids without a source take as_of (yyyyMMddHHmmss), where it is given.
     """
     content, title = F.col("content"), F.coalesce("title", F.lit(""))
-    state = _prepared(notes)
-    state = state.join(metadata(notes).select("path", F.struct(*METADATA_FIELDS).alias("meta")), "path").join(dates(notes, as_of).select("path", F.struct("created", "modified", "published").alias("days")), "path")
-    tagged = F.array_union(keyword_tags(content), hashtags(content))
-    if vault_tags is not None:
+    table = None if vault_tags is None else _few_tags(vault_tags, few)
+    state = _prepared(facts.read(notes, "checks", "names", "meta", "words", near=table))
+    state = state.withColumns({"meta": F.struct(*stated(notes)), "days": F.struct(*_days(notes, as_of)[:3])})
+    words, names, checks = F.col("facts.words"), F.col("facts.names"), F.col("facts.checks")
+    tagged = F.array_union(F.coalesce(names["keyword_tags"], _none()), F.when(words.isNotNull(), words["hashtags"]).otherwise(hashtags(content)))
+    if table is not None:
+        tagged = F.array_union(tagged, F.when(words.isNotNull(), words["near"]).otherwise(F.coalesce(_looked_up(content, table), _none())))
+    elif vault_tags is not None:
         state = state.join(near_tags(notes, vault_tags), "path", "left")
         tagged = F.array_union(tagged, F.coalesce("near", _none()))
-    found = {"tagged": F.array_sort(tagged), "terms": term_tags(content), "others": content_aliases(content, F.col("title"), F.col("aliases")), "about": description(content), "kinds": category(content), "sure": content_tags(content)}
-    state = state.withColumns(found)
+    others = other_aliases(F.coalesce(names["other_names"], _none()), F.col("title"), F.col("aliases"))
+    state = state.withColumns({"tagged": F.array_sort(tagged), "terms": F.coalesce(names["terms"], _none()), "others": others, "about": checks["description"], "kinds": F.coalesce(checks["categories"], _none()), "sure": checks})
     asked = lambda name: _missing("missing_required_field", name)
     stamp = F.coalesce(F.date_format("modified_at", "yyyy-MM-dd"), F.lit("")) if "modified_at" in state.columns else F.lit("")
     proposals = [_proposal("tags", "tags", F.col("tagged"), ADD), _proposal("technical", "tags", F.col("terms"), ADD)]
@@ -195,8 +228,11 @@ def enhanced(notes: DataFrame, vault_tags: DataFrame | None = None, suggested: D
 
 
 def summary(enhanced: DataFrame) -> DataFrame:
-    """(step, field, notes, replaced): how many notes each step changed in each field, and in how many it replaced a value."""
-    each = enhanced.select(F.explode("log").alias("e")).select("e.step", "e.field", "e.overwrote")
+    """(step, field, notes, replaced): how many notes each step changed in each field, and in how many it replaced a value.
+
+    From a plain explode Spark would infer a filter for which it makes the whole log twice.
+    """
+    each = enhanced.select(F.explode_outer("log").alias("e")).where("e IS NOT NULL").select("e.step", "e.field", "e.overwrote")
     return each.groupBy("step", "field").agg(F.count("*").alias("notes"), F.count_if("overwrote").alias("replaced"))
 
 

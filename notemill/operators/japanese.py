@@ -53,8 +53,13 @@ def _other_names(text: Column) -> Column:
 
 def content_aliases(content: Column, title: Column, own: Column) -> Column:
     """array<string>: names in the other language of what the content names, other spellings of the note's aliases, and names of the title, without the title and the aliases."""
+    return other_aliases(_other_names(content), title, own)
+
+
+def other_aliases(named: Column, title: Column, own: Column) -> Column:
+    """The aliases of content_aliases, for a content whose names in the other language are known."""
     spelled = F.flatten(F.transform(own, variations))
-    found = F.array_distinct(F.concat(_other_names(content), spelled, _other_names(F.coalesce(title, F.lit("")))))
+    found = F.array_distinct(F.concat(named, spelled, _other_names(F.coalesce(title, F.lit("")))))
     return F.filter(F.array_except(found, own), lambda n: F.lower(n) != F.lower(F.coalesce(title, F.lit(""))))
 
 
